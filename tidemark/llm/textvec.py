@@ -107,6 +107,14 @@ class Words:
         return np.repeat(np.arange(len(self.range) - 1), self.counts())
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, with A-Z as a-z."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[buf] * _power_table(_BASE, len(buf)), out=total[1:])
+        return mix((total[ends] - total[starts]) * _power_table(_BASE_INV, len(buf))[starts])
+
+
 def words(chunk: Chunk, table: np.ndarray, hashed: bool = True) -> Words:
     buf, bounds = chunk.buf, chunk.bounds
     n = len(buf)
@@ -124,10 +132,7 @@ def words(chunk: Chunk, table: np.ndarray, hashed: bool = True) -> Words:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     hashes = np.zeros(0, dtype=np.uint64)
     if hashed:
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_VALUE[buf] * _power_table(_BASE, n), out=total[1:])
-            hashes = mix((total[ends] - total[starts]) * _power_table(_BASE_INV, n)[starts])
+        hashes = span_hashes(buf, starts, ends)
     return Words(starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
