@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, licenses, packing, quality, sharding, url_filters
+from tidemark.llm import chat, decontam, licenses, packing, quality, sharding, suffix_tree, url_filters
 from tidemark.llm.shared import table
 
 #: The rules that op5 applies.
@@ -62,6 +62,14 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
+    tree, counts = suffix_tree.fit(docs.filter("NOT held_out").select("text"))
+    scored = suffix_tree.score(docs, tree, counts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     # A rule is written as its host and path, such as "net/" and "de/".
@@ -107,6 +115,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_format": op2_chat_format,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
