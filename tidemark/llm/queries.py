@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, licenses, packing, quality, sharding, suffix_tree, url_filters
+from tidemark.llm import chat, decontam, jaccard_join, licenses, packing, quality, sharding, suffix_tree, url_filters
 from tidemark.llm.shared import table
 
 #: The rules that op5 applies.
@@ -62,6 +62,11 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs, words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
@@ -115,6 +120,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_format": op2_chat_format,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
