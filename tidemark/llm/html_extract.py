@@ -2,8 +2,9 @@
 
 A page's nodes (block elements and runs of text) each have a hidden label, content
 or not. A potential on every parent and child says how the label passes down, by
-the child's kind of element; a potential on every node says how well its features
-fit the label: the names an element bears, or a run's length, links and ending.
+the child's kind: its element and what its names tell, or for a run the element
+around it. A potential on every run says how well its length, links and ending
+fit the label.
 Sum-product messages go up from the leaves and down from the root once, which on a
 tree gives each node's exact marginal; runs with a marginal above one half are the
 text, in page order, joined by single spaces.
@@ -33,6 +34,9 @@ from tidemark.llm.page_samples import sample_pages
 
 TRAINING_PAGES = 1500
 TRAINING_SEED = 7
+#: A kind seen less often in training is replaced by a coarser one, at last by ANY.
+LEAST_SEEN = 10
+ANY = "any"
 
 #: What names of classes, ids and roles tell about a part of a page.
 NAMES = {
@@ -60,17 +64,23 @@ def name_kind(names: str) -> str:
 
 
 def features(node: Node) -> tuple[tuple[str, object], ...]:
+    """What is seen of a run of text; elements speak through their kind."""
     if node.tag:
-        return (("name", "hidden" if node.hidden else name_kind(node.names) if node.names else "none"),)
+        return ()
     n = len(node.text)
     link = 0 if not node.linked else 1 if 3 * node.linked < n else 2 if 5 * node.linked < 4 * n else 3
     return (("run", (min(n.bit_length(), 9), link)), ("end", (node.text[-1] in ".!?\"»”", "©" in node.text)))
 
 
-def edge_kind(node: Node, parent: Node | None) -> str:
-    if node.tag:
-        return node.tag if node.tag in TAGS else "other"
-    return "run in " + (parent.tag if parent and parent.tag in TAGS else "other")
+def kinds_of(node: Node, parent: Node | None) -> tuple[str, ...]:
+    """A node's kind, then the coarser kinds that stand in for one too rarely seen."""
+    if not node.tag:
+        around = parent.tag if parent and parent.tag in TAGS else "other"
+        return f"run in {around}", "run"
+    tag = node.tag if node.tag in TAGS else "other"
+    name = "hidden" if node.hidden else name_kind(node.names)
+    own = (f"{tag} {name}", f"* {name}", tag) if name not in ("none", "other") else (f"{tag} {name}", tag)
+    return (f"{tag} {name} in body", *own) if parent and parent.tag in ("body", "#page") else own
 
 
 @dataclass(frozen=True)
@@ -91,19 +101,23 @@ def train(pages: list[tuple[str, list[tuple[int, int]]]], smoothing: float = 0.5
         nodes = parse(page)
         of = [int(any(a <= x.at < b for a, b in spans)) for x in nodes]
         for x, y in zip(nodes, of, strict=True):
-            kind = edge_kind(x, nodes[x.parent] if x.parent >= 0 else None)
-            down[kind, of[x.parent] if x.parent >= 0 else 0, y] += 1
+            for kind in kinds_of(x, nodes[x.parent] if x.parent >= 0 else None):
+                down[kind, of[x.parent] if x.parent >= 0 else 0, y] += 1
             for f in features(x):
                 seen[f, y] += 1
                 labels[f[0], y] += 1
                 values.setdefault(f[0], set()).add(f[1])
 
     def share(kind: str, parent: int) -> tuple[float, float]:
-        # Little-seen kinds lean towards the parent's label.
-        a, b = (down[kind, parent, y] + smoothing * (3 if y == parent else 1) for y in (0, 1))
+        # Where a parent label is little seen, the kind's own share stands in.
+        own = [down[kind, 0, y] + down[kind, 1, y] + smoothing for y in (0, 1)]
+        a, b = (down[kind, parent, y] + 2 * own[y] / sum(own) for y in (0, 1))
         return math.log(a / (a + b)), math.log(b / (a + b))
 
-    kinds = {k for k, _, _ in down} | TAGS | {f"run in {t}" for t in TAGS} | {"other", "run in other"}
+    total: Counter = Counter()
+    for (kind, _, _), count in down.items():
+        total[kind] += count
+    kinds = {k for k, count in total.items() if count >= LEAST_SEEN} | {ANY}
     fit = {(name, v): tuple(math.log((seen[(name, v), y] + smoothing) / (labels[name, y] + smoothing * (len(vs) + 1))) for y in (0, 1)) for name, vs in values.items() for v in vs}
     return Model({k: (share(k, 0), share(k, 1)) for k in kinds}, fit)
 
@@ -114,9 +128,10 @@ def marginals(nodes: list[Node], model: Model) -> list[float]:
     own0, own1 = [0.0] * n, [0.0] * n
     up0, up1 = [0.0] * n, [0.0] * n
     edges = []
-    fit = model.fit
+    fit, down = model.fit, model.pass_down
     for i, x in enumerate(nodes):
-        edges.append(model.pass_down[edge_kind(x, nodes[x.parent] if x.parent >= 0 else None)])
+        kinds = kinds_of(x, nodes[x.parent] if x.parent >= 0 else None)
+        edges.append(down[next((k for k in kinds if k in down), ANY)])
         for f in features(x):
             found = fit.get(f)
             if found:

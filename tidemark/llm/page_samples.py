@@ -19,6 +19,7 @@ class _Maker:
         self.spans: list[tuple[int, int]] = []
         self.size = 0
         self.careless = rng.random() < 0.4
+        self.bare = rng.random() < 0.08  # no element around the article
 
     def put(self, text: str) -> None:
         self.parts.append(text)
@@ -152,6 +153,10 @@ class _Maker:
                 self.put(f"<p><b>{self.prose(1)}<br>")
 
         self.spans.append((self.size, 0))
+        if self.bare:
+            body()
+            self.spans[-1] = (self.spans[-1][0], self.size)
+            return
         self.element(*r.choice((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content"), ("section", "article-body"), ("div", "post"), ("div", "story"), ("div", "x1"))), body)
         self.spans[-1] = (self.spans[-1][0], self.size)
 
@@ -163,7 +168,7 @@ class _Maker:
             r.shuffle(before)
         for f in before:
             f()
-        wrapped = r.random() < 0.35
+        wrapped = r.random() < 0.35 and not self.bare
         if wrapped:
             self.put(r.choice(('<div class="wrapper">', '<div id="page">', "<div>", "<main>")))
         self.article()
