@@ -79,8 +79,9 @@ def kinds_of(node: Node, parent: Node | None) -> tuple[str, ...]:
         return f"run in {around}", "run"
     tag = node.tag if node.tag in TAGS else "other"
     name = "hidden" if node.hidden else name_kind(node.names)
-    own = (f"{tag} {name}", f"* {name}", tag) if name not in ("none", "other") else (f"{tag} {name}", tag)
-    return (f"{tag} {name} in body", *own) if parent and parent.tag in ("body", "#page") else own
+    where = " in body" if parent and parent.tag in ("body", "#page") else ""
+    by_name = (f"* {name}",) if name not in ("none", "other") else ()
+    return (f"{tag} {name}{where}", *by_name, f"{tag}{where}")
 
 
 @dataclass(frozen=True)
