@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), words=5, num=80, den=100)
     found = written(found.select("doc_id", "component_id"), "groups")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = jaccard_join.without_ids(docs, gone, "doc_id")
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not repeated:
         return kept

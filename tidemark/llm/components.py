@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,11 +27,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and root (the component's smallest vertex) of every vertex of links (a, b long)."""
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = scratch.written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
-        new = written(_star(_star(edges, True), False), "stars")
+        new = scratch.written(_star(_star(edges, True), False), "stars")
         # Finished when it is a set of stars: no vertex is both a centre and a ray.
         open_ends = new.select(F.col("u").alias("x")).join(new.select(F.col("v").alias("x")).distinct(), "x", "left_semi").limit(1).count()
         many = new.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() if not open_ends else 1

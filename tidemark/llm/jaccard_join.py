@@ -8,17 +8,19 @@ Candidates. Sets of one size class can differ in at most D shingles and still
 link, so of D + 1 + K fragments at least K + 1 agree exactly. Each set gives one
 key for each non-empty fragment; sets that link share a key unless all agreeing
 fragments are empty, which needs more than K empty ones; a set with so many also
-gives the keys of another order, and so on. A set too small for fragments gives
-its prefix instead: as many of its first shingles as no linked set can miss.
-Sets at a class edge give the keys of both classes. Keys of several shingles
-make common passages harmless: a key is shared only by sets that agree on a whole
-fragment.
+gives the keys of another order, and so on. Where fragments would be too thin (in
+small sets, or at low similarities) a set gives its prefix instead: as many of
+its first shingles as no linked set can miss, in an order by rarity, for which
+the bytes of a shingle stand, as long words are rare. Sets at a class edge give
+the keys of both classes. Keys of several shingles make common passages harmless:
+a key is shared only by sets that agree on a whole fragment.
 
 Filter. Each set has a parity sketch: bit i is the parity of how many shingles
 hash to i. The number of bits in which two sketches differ is never above the
 size of the sets' difference, so a pair beyond D is dropped safely.
 
-Groups. Texts with equal sets are one vertex. Of a key's vertices, the one that
+Groups. Texts with equal sets are one vertex. Of keys with the same vertices one
+is kept. Of a key's vertices, the one that
 passes with most others leads; those that pass with it are paired with it, and so
 on with the rest. After these pairs are verified, pairs within a key are needed
 only between different components; a second round tests the ones that pass. Keys
@@ -44,6 +46,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +54,17 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textvec
 from tidemark.llm.components import components
-from tidemark.llm.shared import written
+from tidemark.llm.shared import Scratch, written
 
 BLOCK = 2048
+MAX_SKETCH_BITS = 1 << 14
 #: Fragments into which verification cuts a set.
 VERIFY_FRAGMENTS = 8
 #: Bits of the table that says which vertices a pass over the texts must deliver.
 WANTED_BITS = 1 << 25
 _SEEN = 1_000_000
+#: Keys by which the second round tells in which group a pair is given.
+LEAST_KEYS = 24
 _U = np.uint64
 
 
@@ -131,15 +137,13 @@ def _size_class(plan: Plan, k: int) -> SizeClass:
                 spare = empty
             if fragments * 2 > least:
                 fragments = 0
-        bits = 64
-        while bits < 8 * (apart + 1) and bits < 1 << 14:
-            bits *= 2
+        bits = min(64 * -(-5 * (apart + 1) // 64), MAX_SKETCH_BITS)
         _class_cache[plan, k] = SizeClass(low, high, apart, fragments, spare, bits)
     return _class_cache[plan, k]
 
 
-def set_keys(plan: Plan, k: int, s: np.ndarray) -> np.ndarray:
-    """The candidate keys of a sorted shingle set in class k."""
+def set_keys(plan: Plan, k: int, s: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The candidate keys of a sorted shingle set in class k; length has the bytes of each shingle."""
     c = plan.size_class(k)
     if not c.most_apart:
         return np.zeros(0, dtype=np.uint64)
@@ -147,7 +151,8 @@ def set_keys(plan: Plan, k: int, s: np.ndarray) -> np.ndarray:
         salt = _U((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
         if not c.fragments:
             prefix = len(s) - -(-plan.num * len(s) // plan.den) + 1
-            return textvec.mix(s[:prefix] ^ salt)
+            longest = np.lexsort((s, -length))[:prefix]
+            return textvec.mix(s[longest] ^ salt)
         out = []
         order = 0
         while True:
@@ -171,7 +176,7 @@ def set_keys(plan: Plan, k: int, s: np.ndarray) -> np.ndarray:
 
 
 def sketch(bits: int, s: np.ndarray) -> bytes:
-    at = (textvec.mix(s ^ _U(0x5851F42D4C957F2D)) & _U(bits - 1)).astype(np.int64)
+    at = (textvec.mix(s ^ _U(0x5851F42D4C957F2D)) % _U(bits)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -200,7 +205,7 @@ def _first_pass(docs: DataFrame, column: str, plan: Plan, seed: int) -> DataFram
         seen: set[int] = set()
         for batch in batches:
             for chunk in textvec.chunks(batch[column]):
-                owner, found = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+                owner, found, length = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
                 sizes, node, check = _vertices(owner, found, len(chunk), seed)
                 ends = np.cumsum(sizes)
                 keys: list[list | None] = []
@@ -211,10 +216,10 @@ def _first_pass(docs: DataFrame, column: str, plan: Plan, seed: int) -> DataFram
                         keys.append(None)
                         continue
                     seen.add(v)
-                    s = found[ends[i] - n : ends[i]]
+                    s, bytes_of = found[ends[i] - n : ends[i]], length[ends[i] - n : ends[i]]
                     of = []
                     for k in plan.classes_of(n):
-                        mine = set_keys(plan, k, s)
+                        mine = set_keys(plan, k, s, bytes_of)
                         if len(mine):
                             of.append({"k": k, "sketch": sketch(plan.size_class(k).bits, s), "keys": mine.view(np.int64)})
                     keys.append(of)
@@ -293,6 +298,13 @@ def _members(first: DataFrame) -> DataFrame:
     return dealt.select("key", "k", "node").mapInArrow(run, "key long, k int, node long, place int")
 
 
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """One key of those that the very same vertices share: near copies share many, which all give the same pairs."""
+    of = F.col("node")
+    sets = members.groupBy("key", "k").agg(F.bit_xor(F.xxhash64(of)).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y"), F.count("*").alias("n"))
+    return members.join(sets.groupBy("k", "x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _passing(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, plan: Plan) -> np.ndarray:
     """Whether the sketches allow a link, for each of a (rows) with each of b (columns)."""
     out = np.zeros((len(a), len(b)), dtype=bool)
@@ -342,11 +354,16 @@ def _leaders(groups: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _across(groups: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs that pass between different components, in each pair of blocks of each key."""
+    """Pairs that pass between different components, in each pair of blocks of each key.
+
+    Near copies share many keys. `least` has the smallest keys of a vertex, and of
+    the keys that both lists hold only the smallest gives the pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _complete_groups(batches, ("key", "one", "two")):
-            nodes, sizes, roots, sides = (table[c].to_numpy() for c in ("node", "n", "root", "side"))
+            keys, nodes, sizes, roots, sides = (table[c].to_numpy() for c in ("key", "node", "n", "root", "side"))
+            lists = table["least"].combine_chunks() if table["least"].num_chunks != 1 else table["least"].chunk(0)
             binary = table["sketch"].combine_chunks() if table["sketch"].num_chunks != 1 else table["sketch"].chunk(0)
             left: list[np.ndarray] = []
             right: list[np.ndarray] = []
@@ -359,24 +376,53 @@ def _across(groups: DataFrame, plan: Plan) -> DataFrame:
                 ok = _passing(x[one], x[two], sizes[i:j][one], sizes[i:j][two], plan)
                 ok &= roots[i:j][one][:, None] != roots[i:j][two][None, :]
                 p, q = np.nonzero(ok)
-                left.append(nodes[i:j][one[p]])
-                right.append(nodes[i:j][two[q]])
+                if not len(p):
+                    continue
+                least = {k: set(lists[i + k].as_py()) for k in {*one[p].tolist(), *two[q].tolist()}}
+                mine = np.fromiter((min(least[a] & least[b], default=keys[i]) == keys[i] for a, b in zip(one[p].tolist(), two[q].tolist(), strict=True)), dtype=bool, count=len(p))
+                left.append(nodes[i:j][one[p[mine]]])
+                right.append(nodes[i:j][two[q[mine]]])
             a, b = np.concatenate(left or [np.zeros(0, dtype=np.int64)]), np.concatenate(right or [np.zeros(0, dtype=np.int64)])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return groups.select("key", "one", "two", "side", "node", "n", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("key", "one", "two", "side", "node", "n", "root", "sketch", "least").mapInArrow(run, "a long, b long").distinct()
+
+
+def bit_table(bits: DataFrame) -> np.ndarray:
+    """A table of WANTED_BITS bits with those of the column bit set; its size is fixed, so it may be broadcast."""
+    at = F.col("bit") + 1
+    per = bits.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
+    for r in per.collect():  # at most WANTED_BITS / 32768 rows of 4 KB
+        start = (r["bucket"] - 1) * 4096
+        out[start : start + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is not in gone.
+
+    A fixed table of bits tells most rows that their key is surely not there, and
+    these stay where they are; only the others are joined, with their texts.
+    """
+    bit = F.xxhash64(F.col(f"`{key}`")).bitwiseAND(WANTED_BITS - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(bit.alias("bit"))))
+
+    @F.pandas_udf("boolean")
+    def perhaps(at: pd.Series) -> pd.Series:
+        n = at.to_numpy()
+        return pd.Series((shared.value[n >> 3] >> (n & 7).astype(np.uint8)) & 1 == 1)
+
+    flagged = docs.withColumn("_perhaps", perhaps(bit))
+    sure = flagged.filter("NOT _perhaps").drop("_perhaps")
+    rest = flagged.filter("_perhaps").drop("_perhaps").join(gone.select(f"`{key}`"), key, "left_anti")
+    return sure.unionByName(rest)
 
 
 def _fragments(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataFrame) -> DataFrame:
     """node, f, shingles: the fragments of every vertex in pairs (and of some besides)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).select((F.col("node").bitwiseAND(WANTED_BITS - 1) + 1).alias("bit"))
-    # WANTED_BITS bits in all, whatever the input: that bound is what allows the broadcast.
-    per = wanted.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bits = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
-    for r in per.collect():
-        at = (r["bucket"] - 1) * 4096
-        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
+    bits = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.col("node").bitwiseAND(WANTED_BITS - 1).alias("bit")))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     named = docs.select(F.col(f"`{column}`").alias("text"))
 
@@ -384,7 +430,7 @@ def _fragments(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataF
         seen: set[int] = set()
         for batch in batches:
             for chunk in textvec.chunks(batch["text"]):
-                owner, found = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+                owner, found, _ = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
                 sizes, node, _ = _vertices(owner, found, len(chunk), seed)
                 if len(seen) > _SEEN:
                     seen.clear()
@@ -414,10 +460,10 @@ def _fragments(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataF
     return named.mapInArrow(sets, "node long, f int, shingles array<long>")
 
 
-def _verified(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that link: overlaps are counted in each fragment and summed for each pair."""
     made = _fragments(docs, column, plan, seed, pairs).groupBy("node", "f").agg(F.first("shingles").alias("shingles"))
-    cut = written(made, "fragments")
+    cut = scratch.written(made, "fragments")
     each = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("f"))
     one = each.join(cut.select(F.col("node").alias("a"), "f", F.col("shingles").alias("x")), ["a", "f"])
     both = one.join(cut.select(F.col("node").alias("b"), "f", F.col("shingles").alias("y")), ["b", "f"])
@@ -446,35 +492,42 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", column: str =
     kept = [c for c in docs.columns if c not in (column, *named)]
     docs = docs.select(*[f"`{c}`" for c in kept], f"`{column}`")
     plan = Plan(words, num, den)
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_linked(docs, id_column, column, plan, kept, scratch), "linked")
+
+
+def _linked(docs: DataFrame, id_column: str, column: str, plan: Plan, kept: list[str], scratch: Scratch) -> DataFrame:
     seed = 0
     while True:
-        first = written(_first_pass(docs, column, plan, seed), "sets")
+        first = scratch.written(_first_pass(docs, column, plan, seed), "sets")
         grouped = first.filter("_node IS NOT NULL").groupBy(F.col("_node").alias("node")).agg(F.min(f"`{id_column}`").alias("id"), F.min("_n").alias("n"), F.min("_check").alias("low"), F.max("_check").alias("high"))
-        nodes = written(grouped, "vertices")
+        nodes = scratch.written(grouped, "vertices")
         if not nodes.filter("low <> high").limit(1).count():
             break
         seed += 1  # two sets with one hash: again with others
 
-    members = written(_members(first), "members")
+    members = scratch.written(_distinct_groups(scratch.written(_members(first), "keyed")), "members")
     sketches = first.filter("_keys IS NOT NULL").select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.explode("_keys").alias("c")).groupBy("node", "c.k").agg(F.first("c.sketch").alias("sketch"), F.first("n").alias("n"))
-    sketched = written(sketches.join(members.select("node", "k").distinct(), ["node", "k"], "left_semi"), "sketches")
+    sketched = scratch.written(sketches.join(members.select("node", "k").distinct(), ["node", "k"], "left_semi"), "sketches")
 
     blocked = members.withColumn("block", (F.col("place") / BLOCK).cast("int")).join(sketched, ["node", "k"])
-    pairs = written(_leaders(blocked.repartition("key", "block").sortWithinPartitions("key", "block", "node"), plan), "pairs")
-    links = written(_verified(docs, column, plan, seed, pairs, nodes), "links")
-    roots = written(components(links), "roots")
+    pairs = scratch.written(_leaders(blocked.repartition("key", "block").sortWithinPartitions("key", "block", "node"), plan), "pairs")
+    links = scratch.written(_verified(docs, column, plan, seed, pairs, nodes, scratch), "links")
+    roots = scratch.written(components(links, scratch), "roots")
 
     of = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last")).filter("low <> high AND last > 1")
-    open_rows = _blocks_in_pairs(of.join(mixed.select("key", "last"), "key")).join(sketched, ["node", "k"])
+    left = of.join(mixed.select("key", "last"), "key")
+    least = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    open_rows = _blocks_in_pairs(left).join(sketched, ["node", "k"]).join(least, "node")
     across = _across(open_rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node"), plan)
-    more = written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = scratch.written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        links = links.union(_verified(docs, column, plan, seed, more, nodes))
-        roots = written(components(links), "roots")
+        links = links.union(_verified(docs, column, plan, seed, more, nodes, scratch))
+        roots = scratch.written(components(links, scratch), "roots")
 
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named_root = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = written(rooted.join(named_root, "root").select(F.col("node").alias("_node"), "component_id"), "components")
+    final = scratch.written(rooted.join(named_root, "root").select(F.col("node").alias("_node"), "component_id"), "components")
     out = first.drop("_keys", "_check").join(final, "_node", "left")
     return out.select(*[f"`{c}`" for c in kept], F.col("_n").alias("n_shingles"), F.coalesce("component_id", F.col(f"`{id_column}`")).alias("component_id"))

@@ -156,29 +156,32 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix(out + _U(n))
 
 
-def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of each text's distinct n-word shingles, by owner and hash.
+def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, bytes) of each text's distinct n-word shingles, by owner and hash.
 
     A text of 1 to n-1 words has its whole sequence as its one shingle; a text
-    without words has none.
+    without words has none. bytes is the length of the shingle's words.
     """
     counts = w.counts()
+    size = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
     if len(w.hashes) >= n:
         whole = window_hashes(w.hashes, n)
         at = np.arange(len(whole))
         owner = w.owner()[: len(whole)]
         fits = at + n <= w.range[1:][owner]
         owner, found = owner[fits], whole[fits]
+        length = (size[n:] - size[:-n])[fits]
     else:
-        owner, found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        owner, found, length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         alone = np.array([window_hashes(w.hashes[w.range[i] : w.range[i + 1]], int(counts[i]))[0] for i in short], dtype=np.uint64)
         owner, found = np.concatenate([owner, short]), np.concatenate([found, alone])
+        length = np.concatenate([length, (size[w.range[1:]] - size[w.range[:-1]])[short]])
     order = np.lexsort((found, owner))
-    owner, found = owner[order], found[order]
+    owner, found, length = owner[order], found[order], length[order]
     if len(owner):
         new = np.ones(len(owner), dtype=bool)
         new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-        owner, found = owner[new], found[new]
-    return owner, found
+        owner, found, length = owner[new], found[new], length[new]
+    return owner, found, length
