@@ -54,9 +54,9 @@ class SumOfSquares:
         rest = c - length
         fits = n[length:c] > 0
         if fits.any():
-            # Moving a bin from gap g to g - length changes the sum of squares by 2 (N(g - length) - N(g) + 1).
-            after = n[: c - length] - n[length:c] + 1
-            after[0] = -n[length]  # a full bin has no gap to count
+            # How the sum of squares changes when a bin moves from gap g to g - length.
+            after = 2 * (n[: c - length] - n[length:c] + 1)
+            after[0] = 1 - 2 * n[length]  # a full bin has no gap to count
             gap = length + int(np.argmin(np.where(fits, after, np.iinfo(np.int64).max)))
             at = self.open[gap].pop()
             n[gap] -= 1
