@@ -280,8 +280,8 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, column: str = "text") ->
                     pa.array(row + np.arange(n)),
                     pa.array(np.diff(edges)),
                     pa.array(np.bincount(owner[frequent], minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(owner[frequent], weights=base[frequent], minlength=n)),
-                    pa.array(np.bincount(owner, weights=logs, minlength=n)),
+                    pa.array(np.bincount(owner[frequent], weights=base[frequent], minlength=n).astype(np.float64)),
+                    pa.array(np.bincount(owner, weights=logs, minlength=n).astype(np.float64)),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(rare)),
                 ]
                 row += n
