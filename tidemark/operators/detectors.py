@@ -75,6 +75,15 @@ TOP_KEYS, OUTPUT_KEYS, ERROR_KEYS = ("success", "error", "output", "message"), (
 WORKER_TOOLS = ("codex_trust_prompt", "same_model_review", "codex_fallback_main", "codex_missing_hook_state")
 
 
+def where_once(df: DataFrame, condition: Column) -> DataFrame:
+    """df filtered by a condition on columns that are dear to compute.
+
+    Pushed down, the filter would repeat their expressions for each mention. A row
+    number, always true here, keeps it above the projection that computes them.
+    """
+    return df.withColumn("_ok", condition & (F.monotonically_increasing_id() >= 0)).filter("_ok").drop("_ok")
+
+
 def any_match(x: Column, patterns: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -128,13 +137,13 @@ def corrections(messages: DataFrame, patterns: Sequence[str] = CORRECTIONS, low:
     placed = messages.select("session_id", "seq", "role", "content", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
     turns = placed.filter("role = 'user' AND before = 'assistant' AND after = 'assistant'").filter(~C.has_block(F.col("content"), "tool_result"))
     said = turns.select("session_id", "seq", C.content_string(F.col("content")).alias("said"))
-    return said.filter(is_correction(F.col("said"), patterns, low, high)).select("session_id", "seq", X.trim_all(F.col("said")).alias("context"))
+    return where_once(said, is_correction(F.col("said"), patterns, low, high)).select("session_id", "seq", X.trim_all(F.col("said")).alias("context"))
 
 
 def _labelled(messages: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     said = messages.filter("role = 'assistant'").select("session_id", "seq", C.assistant_text(F.col("content")).alias("said"))
-    clean = said.filter(~has_system_mark(F.col("said")) & ~is_review(F.col("said")) & ~is_memory_file(F.col("said")))
-    return clean.withColumn("label", first_label(F.col("said"), patterns)).filter("label IS NOT NULL")
+    labelled = said.withColumn("label", first_label(F.col("said"), patterns))
+    return where_once(labelled, F.col("label").isNotNull() & ~has_system_mark(F.col("said")) & ~is_review(F.col("said")) & ~is_memory_file(F.col("said")))
 
 
 def workarounds(messages: DataFrame, patterns: Sequence[tuple[str, str]] = WORKAROUNDS) -> DataFrame:
@@ -146,52 +155,52 @@ def deferrals(messages: DataFrame, patterns: Sequence[tuple[str, str]] = DEFERRA
     return _labelled(messages, patterns).select("session_id", "seq", F.col("label").alias("item"))
 
 
-def _blank(v: Column) -> Column:
-    """A stream that is absent, null or white space; false for any other kind of value."""
-    return C.is_null(v) | F.coalesce((C.kind(v) == "string") & (X.trim_all(v.cast("string")) == ""), F.lit(False))
-
-
-def _integer(v: Column) -> Column:
-    return F.coalesce((C.kind(v) == "number") & C.compact(v).rlike(r"^-?\d+$"), F.lit(False))
+def with_shape(df: DataFrame) -> DataFrame:
+    """df with the parts of a failed result `data`, and the kind of each, as columns of their own."""
+    parts = {"error": "$.error", "output": "$.output", "said": "$.message", "code": "$.output.returncode", "out": "$.output.stdout", "err": "$.output.stderr", "inner": "$.error.message"}
+    wide = df.withColumns({f"_{n}": C.at(F.col("data"), p) for n, p in parts.items()})
+    kinds = {f"_{n}_kind": F.coalesce(C.kind(F.col(f"_{n}")), F.lit("null")) for n in parts}
+    return wide.withColumns(kinds | {"_data_kind": C.kind(F.col("data")), "_output_keys": C.keys(F.col("_output")), "_error_keys": C.keys(F.col("_error")), "_keys": C.keys(F.col("data"))})
 
 
-def error_text(data: Column) -> Column:
-    """struct(kind, text): absent, text, or unrecognized, of a failed result."""
-    error, message = C.at(data, "$.error"), C.at(data, "$.message")
-    shape = (
-        F.when(C.is_null(error) & C.is_null(message), F.struct(F.lit("absent").alias("kind"), F.lit(None).cast("string").alias("text")))
-        .when(C.is_null(error) & (C.kind(message) == "string"), F.struct(F.lit("text").alias("kind"), C.text_at(data, "$.message").alias("text")))
-        .when(~C.is_null(error) & ~C.is_null(message), F.struct(F.lit("unrecognized").alias("kind"), F.lit(None).cast("string").alias("text")))
-        .when(C.kind(error) == "string", F.struct(F.lit("text").alias("kind"), C.text_at(data, "$.error").alias("text")))
-        .when(C.text_at(data, "$.error.message").isNotNull(), F.struct(F.lit("text").alias("kind"), C.text_at(data, "$.error.message").alias("text")))
-    )
-    return F.coalesce(shape, F.struct(F.lit("unrecognized").alias("kind"), F.lit(None).cast("string").alias("text")))
+def error_text() -> tuple[Column, Column]:
+    """(kind, text) of the error: absent, text, or unrecognized; over columns of with_shape()."""
+    e, m, i = F.col("_error_kind"), F.col("_said_kind"), F.col("_inner_kind")
+    kind = F.when((e == "null") & (m == "null"), "absent").when(((e == "null") & (m == "string")) | ((m == "null") & ((e == "string") | (i == "string"))), "text").otherwise("unrecognized")
+    text = F.when(e == "null", F.col("_said").try_cast("string")).when(e == "string", F.col("_error").try_cast("string")).otherwise(F.col("_inner").try_cast("string"))
+    return kind, text
 
 
-def is_mode_denial(tool: Column, data: Column) -> Column:
+def is_mode_denial() -> Column:
+    """The mode tool refusing a switch: by status, by the presence of a field, or by code."""
+    data = F.col("data")
     by_code = F.coalesce(C.text_at(data, "$.error.code").endswith("_denied"), F.lit(False)) | F.coalesce(C.text_at(data, "$.code").endswith("_denied"), F.lit(False))
     by_status = F.coalesce(C.text_at(data, "$.output.status") == "denied", F.lit(False))
-    return (tool == "mode") & (by_status | F.array_contains(C.keys(C.at(data, "$.output")), "denied_mode") | by_code)
-
-
-def is_empty_shell_failure(tool: Column, data: Column) -> Column:
-    """A shell call that timed out or exited nonzero and says nothing else at all."""
-    error, output = C.at(data, "$.error"), C.at(data, "$.output")
-    error_ok = C.is_null(error) | (C.kind(error) == "string") | ((C.kind(error) == "object") & C.keys_within(error, ERROR_KEYS))
-    output_ok = C.is_null(output) | (C.kind(output) == "string") | ((C.kind(output) == "object") & C.keys_within(output, OUTPUT_KEYS))
-    bare = (C.kind(data) == "object") & C.keys_within(data, TOP_KEYS) & error_ok & output_ok
-    said = X.trim_all(output.try_cast("string"))
-    code = C.at(data, "$.output.returncode")
-    no_code = ~F.array_contains(C.keys(output), "returncode")
-    blank = (
-        C.is_null(output)
-        | ((C.kind(output) == "string") & ((said == "") | said.rlike(TIMEOUT)))
-        | ((C.kind(output) == "object") & (no_code | _integer(code)) & _blank(C.at(data, "$.output.stdout")) & _blank(C.at(data, "$.output.stderr")))
-    )
-    found = error_text(data)
-    timed_out = (found["kind"] == "text") & X.trim_all(found["text"]).rlike(TIMEOUT)
-    exited = (found["kind"] == "absent") & _integer(code) & (C.compact(code) != "0")
-    return (tool == "bash") & F.coalesce(bare & blank & (timed_out | exited), F.lit(False))
+    return (F.col("tool_name") == "mode") & (by_status | F.array_contains("_output_keys", "denied_mode") | by_code)
+
+
+def _within(keys: str, allowed: tuple[str, ...]) -> Column:
+    return F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) == 0
+
+
+def _blank(stream: str) -> Column:
+    """A stream that is absent, null or white space; false for any other kind of value."""
+    kind = F.col(f"{stream}_kind")
+    return (kind == "null") | ((kind == "string") & (X.trim_all(F.col(stream).try_cast("string")) == ""))
+
+
+def is_empty_shell_failure() -> Column:
+    """A shell call that timed out or exited nonzero and says nothing else at all; over columns of with_shape()."""
+    e, o = F.col("_error_kind"), F.col("_output_kind")
+    bare = (F.col("_data_kind") == "object") & _within("_keys", TOP_KEYS) & (e.isin("null", "string") | ((e == "object") & _within("_error_keys", ERROR_KEYS))) & (o.isin("null", "string") | ((o == "object") & _within("_output_keys", OUTPUT_KEYS)))
+    code = C.compact(F.col("_code"))
+    integer = (F.col("_code_kind") == "number") & code.rlike(r"^-?\d+$")
+    said = X.trim_all(F.col("_output").try_cast("string"))
+    blank = F.when(o == "null", True).when(o == "string", (said == "") | said.rlike(TIMEOUT)).otherwise((~F.array_contains("_output_keys", "returncode") | integer) & _blank("_out") & _blank("_err"))
+    kind, text = error_text()
+    timed_out = (kind == "text") & X.trim_all(text).rlike(TIMEOUT)
+    exited = (kind == "absent") & integer & (code != "0")
+    return (F.col("tool_name") == "bash") & F.coalesce(bare & blank & (timed_out | exited), F.lit(False))
 
 
 def error_message(data: Column) -> Column:
@@ -206,8 +215,8 @@ def errors(messages: DataFrame) -> DataFrame:
     text = F.when(C.kind(F.col("content")) == "string", F.col("content").cast("string")).otherwise(C.compact(F.col("content")))
     results = messages.filter("role = 'tool'").select("session_id", "seq", F.coalesce("name", F.lit("unknown")).alias("tool_name"), F.try_parse_json(text).alias("data"))
     success = C.at(F.col("data"), "$.success")
-    failed = results.filter((C.kind(success) == "boolean") & (success.try_cast("boolean") == F.lit(False)))
-    loud = failed.filter(~F.coalesce(is_mode_denial(F.col("tool_name"), F.col("data")), F.lit(False)) & ~is_empty_shell_failure(F.col("tool_name"), F.col("data")))
+    failed = where_once(results, F.coalesce((C.kind(success) == "boolean") & (success.try_cast("boolean") == F.lit(False)), F.lit(False)))
+    loud = where_once(with_shape(failed), ~F.coalesce(is_mode_denial(), F.lit(False)) & ~is_empty_shell_failure())
     native = loud.select("session_id", "seq", F.lit(0).alias("block"), "tool_name", error_message(F.col("data")).alias("message"), F.lit(False).alias("call_level"))
     return native.unionByName(_block_errors(messages))
 
@@ -227,7 +236,7 @@ def _block_errors(messages: DataFrame) -> DataFrame:
     flag = C.at(F.col("b"), "$.is_error")
     flagged = F.coalesce((C.kind(flag) == "boolean") & flag.try_cast("boolean"), F.lit(False))
     failed = F.when(flagged, ~any_match(X.trim_all(F.col("message")), EXPECTED_RESULTS)).otherwise((F.col("tool_name") == FETCH_TOOL) & F.col("message").rlike(FETCH_FAILURE))
-    return told.filter(failed).select("session_id", "seq", "block", "tool_name", "message", any_match(X.trim_start(F.col("message")), CALL_LEVEL).alias("call_level"))
+    return where_once(told, F.coalesce(failed, F.lit(False))).select("session_id", "seq", "block", "tool_name", "message", any_match(X.trim_start(F.col("message")), CALL_LEVEL).alias("call_level"))
 
 
 def priority_alerts(found: DataFrame, least: int = ALERT_SESSIONS) -> DataFrame:

@@ -42,6 +42,7 @@ class Args:
 class Scan:
     """The tables of one run, before any state is touched."""
 
+    held: list[DataFrame]
     sessions: DataFrame
     signals: DataFrame
     alerts: DataFrame
@@ -74,14 +75,15 @@ def scan(spark: SparkSession, readers: Sequence[Reader], since: datetime, pendin
     sessions = windows.first_rows(windows.first_rows(fresh.join(shown, "path", "left_semi"), ["dedupe_key"], ["reader_rank", "path"]), ["session_id"], ["reader_rank", "path"]).persist()
 
     own = sessions.select("path", "session_id")
-    m, e, u = (x.join(own, "path") for x in (messages, events, usage))
+    # Five detectors read the messages and four the events: each is made once.
+    m, e, u = (x.join(own, "path").persist() for x in (messages, events, usage))
     every = signals.all_signals(detectors.corrections(m), detectors.errors(m), detectors.workarounds(m), detectors.deferrals(m), health.health_patterns(e, limits))
     dims = sessions.select("session_id", "seat", "agent", "machine", "persona", F.when(F.col("persona").isNotNull(), F.col("channel")).alias("channel"), "modified", "reader_rank", "path")
     stamped = every.join(dims, "session_id").withColumn("title", signals.title()).withColumn("scan_ord", F.struct("reader_rank", "path")).persist()
     role = F.when(F.col("reader") != "pi", F.nullif(F.regexp_extract("session_id", r"(?s)^[^_]*_(.+)$", 1), F.lit("")))
     sums = rollup.usage_sums(u).join(sessions.select("session_id", role.alias("role")), "session_id")
     costs = u.filter("model IS NOT NULL AND cost IS NOT NULL").select("session_id", "model", "cost")
-    return Scan(sessions, stamped, detectors.priority_alerts(stamped.filter("kind = 'error'")), sums, costs)
+    return Scan([sessions, stamped, m, e, u], sessions, stamped, detectors.priority_alerts(stamped.filter("kind = 'error'")), sums, costs)
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -207,6 +209,6 @@ def review(spark: SparkSession, readers: Sequence[Reader], args: Args, tracker:
         done = processed | set(scanned) | {r["dedupe_key"] for r in scanned.values()}
         done -= back | {scanned[s]["dedupe_key"] for s in back if s in scanned}
         state.save_processed(base, done)
-    found.sessions.unpersist()
-    found.signals.unpersist()
+    for df in found.held:
+        df.unpersist()
     return report
