@@ -189,7 +189,7 @@ def test_worker_evidence(spark):
     d = {"id": "d1", "harness": "codex", "seat": "s", "host": "h", "pane": "%4", "worktree": "/w", "dispatched_at": "2026-07-05T09:00:00Z"}
     doc = {
         "issue": {"uid": "u1", "qualified_id": "p#1", "status": "open", "metadata": {"dispatch": d, "kickoff": {"id": "d1", "state": "failed", "detail": "dialog:dir-trust:/w", "at": "2026-07-05T09:01:00Z"}}},
-        "comments": [{"created_at": "2026-07-05T09:02:00Z", "body": "quote: review: fresheyes --gpt"}, {"created_at": "2026-07-05T09:03:00Z", "body": "review: fresheyes x --gpt\nmore"}, {"created_at": "2026-07-05T09:04:00Z", "body": "review: fresheyes --gpt"}],
+        "comments": [{"created_at": "2026-07-05T09:02:00Z", "body": "quote: review: reviewer --gpt"}, {"created_at": "2026-07-05T09:03:00Z", "body": "review: reviewer x --gpt\nmore"}, {"created_at": "2026-07-05T09:04:00Z", "body": "review: reviewer --gpt"}],
     }
     found = workers.dispatches(spark.createDataFrame([(json.dumps(doc),)], "t string").select(F.parse_json("t").alias("v")))
     since = F.lit("2026-07-01").cast("timestamp")
@@ -199,7 +199,7 @@ def test_worker_evidence(spark):
     rollouts = spark.createDataFrame([("/w", "se", "2026-07-05 09:01:00", "cli", "2026-07-05 09:02:00", "r.jsonl")], "cwd string, session string, started string, originator string, first_turn string, path string").withColumns({"started": F.col("started").cast("timestamp"), "first_turn": F.col("first_turn").cast("timestamp")})
     live = spark.createDataFrame([("default", "4", "/w")], "socket string, pane string, cwd string")
     states = empty("name string")
-    parts = [workers.trust_prompts(found, since), workers.same_model_reviews(found, since), workers.allocations(log, since, True), workers.missing_hook_states(found, owners, states, rollouts, live, since, "h", True)]
+    parts = [workers.trust_prompts(found, since), workers.same_model_reviews(found, since, "reviewer"), workers.allocations(log, since, True), workers.missing_hook_states(found, owners, states, rollouts, live, since, "h", True)]
     rows = workers.evidence(*parts, parts[0]).orderBy("session_id").collect()
     assert [r["session_id"] for r in rows] == ["allocation:host1:2026-07-05:codex_fallback_main", "d1:codex_missing_hook_state", "d1:codex_trust_prompt", "d1:same_model_review"]
     assert "2 exec row(s)" in rows[0]["detail"] and str(rows[3]["at"]) == "2026-07-05 09:03:00"

@@ -43,19 +43,19 @@ def trust_prompts(found: DataFrame, since: Column) -> DataFrame:
     return _records(timed, "codex_trust_prompt", F.lit("kickoff stopped at directory-trust prompt"))
 
 
-def same_model(body: Column, harness: Column) -> Column:
+def same_model(body: Column, harness: Column, command: str) -> Column:
     """Whether a review comment's first line runs the builder's own model family."""
     first = F.regexp_replace(F.substring_index(body, "\n", 1), "\r$", "")
     words = F.split(F.trim(F.regexp_replace(F.substring(first, 9, 1 << 20), r"(?U)\s+", " ")), " ")
     gpt, claude = F.array_contains(words, "--gpt"), F.array_contains(words, "--claude")
-    return first.startswith("review: ") & (F.element_at(words, 1) == "fresheyes") & (((harness == "codex") & gpt & ~claude) | ((harness == "claude") & claude & ~gpt))
+    return first.startswith("review: ") & (F.element_at(words, 1) == command) & (((harness == "codex") & gpt & ~claude) | ((harness == "claude") & claude & ~gpt))
 
 
-def same_model_reviews(found: DataFrame, since: Column) -> DataFrame:
-    """The first comment of each dispatch that is such a review."""
+def same_model_reviews(found: DataFrame, since: Column, command: str) -> DataFrame:
+    """The first comment of each dispatch that is such a review by the given command."""
     each = found.select("id", "harness", "seat", "path", "start", F.posexplode("comments").alias("n", "c"))
     timed = each.withColumn("at", X.parsed_time(C.text_at(F.col("c"), "$.created_at"))).filter((F.col("at") >= since) & (F.col("at") >= F.col("start")))
-    hits = timed.filter(same_model(F.coalesce(C.text_at(F.col("c"), "$.body"), F.lit("")), F.coalesce("harness", F.lit(""))))
+    hits = timed.filter(same_model(F.coalesce(C.text_at(F.col("c"), "$.body"), F.lit("")), F.coalesce("harness", F.lit("")), command))
     first = F.row_number().over(Window.partitionBy("path", "id").orderBy("n"))
     return _records(hits.withColumn("_n", first).filter("_n = 1"), "same_model_review", F.lit("review used builder model family"))
 
