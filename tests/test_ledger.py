@@ -154,3 +154,13 @@ def test_config():
     assert cfg.parse_since("2w", now) == datetime(2026, 6, 21, tzinfo=UTC) and cfg.parse_since("2026-07-01", now) == datetime(2026, 7, 1, tzinfo=UTC)
     with pytest.raises(ValueError):
         cfg.parse_since("soon", now)
+
+
+def test_rows_are_decoded_as_well_as_can_be(spark):
+    good = "0e91a2b4-7d3f-4e2a-9c1b-44a7f3d8a1e2"
+    rows = [(good, "2026-07-05T09:00:00Z", good, None, "statechange", "confidential", '{"a":1}'), ("bad", "bad", "bad", "bad", "strange", "strange", "{oops")]
+    df = spark.createDataFrame(rows, "event_id string, timestamp string, correlation_id string, causation_id string, event_class string, payload_tier string, payload string")
+    now = F.lit("2026-07-06 00:00:00").cast("timestamp")
+    found = [tuple(str(x) if x is not None else None for x in r) for r in ledger.decoded(df, now).collect()]
+    assert found[0] == (good, "2026-07-05 09:00:00", good, None, "state_change", "confidential", '{"a":1}')
+    assert found[1] == ("00000000-0000-0000-0000-000000000000", "2026-07-06 00:00:00", None, None, "health", "metadata_only", None)

@@ -21,6 +21,32 @@ def class_key(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[_-]", "")
 
 
+def _as_written(x: Column, names: Sequence[str], default: str) -> Column:
+    """A class or tier in either spelling as segments write it; the default for any other."""
+    table = F.create_map(*[F.lit(v) for n in names for v in (n.replace("_", ""), n)])
+    return F.coalesce(F.try_element_at(table, class_key(x)), F.lit(default))
+
+
+def decoded(events: DataFrame, now: Column) -> DataFrame:
+    """Stored rows (all strings but source_seq) as typed events, as well as can be.
+
+    What can't be read gets a default rather than failing the query: a nil id, the
+    time now, class health, tier metadata_only, a null payload or reference.
+    """
+    uuid = lambda c: F.when(F.col(c).rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lower(c))
+    return events.withColumns(
+        {
+            "event_id": F.coalesce(uuid("event_id"), F.lit("00000000-0000-0000-0000-000000000000")),
+            "timestamp": F.coalesce(X.parsed_time(F.col("timestamp")), now),
+            "correlation_id": uuid("correlation_id"),
+            "causation_id": uuid("causation_id"),
+            "event_class": _as_written(F.col("event_class"), CLASSES, "health"),
+            "payload_tier": _as_written(F.col("payload_tier"), TIERS, "metadata_only"),
+            "payload": F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")),
+        }
+    )
+
+
 def recent(events: DataFrame, limit: int, *where: Column, ts: str = "timestamp", tie: str = "event_id") -> DataFrame:
     """The newest events that meet all conditions; ids break ties."""
     for w in where:

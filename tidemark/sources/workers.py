@@ -6,6 +6,10 @@ and live panes are tables, so what only a live host can tell is an input.
 
 from __future__ import annotations
 
+import json
+import tomllib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +126,30 @@ def as_messages(records: DataFrame) -> DataFrame:
     """One failed tool message for each record."""
     body = F.parse_json(F.to_json(F.struct(F.lit(False).alias("success"), F.col("detail").alias("error"), "seat")))
     return records.select("path", "session_id", F.lit(1).cast("long").alias("seq"), F.lit("tool").alias("role"), body.alias("content"), F.col("kind").alias("name"))
+
+
+def hook_key(hooks_json: str | Path, action: str = "dispatch-state") -> str | None:
+    """Under which key a seat's trust in the session-start hook for an action is kept.
+
+    Only a command of just an interpreter, a script and the action counts.
+    """
+    path = Path(hooks_json)
+    try:
+        groups = json.loads(path.read_text(encoding="utf-8"))["hooks"]["SessionStart"]
+    except (OSError, ValueError, KeyError, TypeError):
+        return None
+    for g, group in enumerate(groups):
+        for h, hook in enumerate(group.get("hooks", ())):
+            words = str(hook.get("command", "")).split()
+            if hook.get("type") == "command" and len(words) == 3 and words[2] == action and Path(words[0]).name.startswith("python"):
+                return f"{path.resolve()}:session_start:{g}:{h}"
+    return None
+
+
+def hook_trusted(config: str, key: str) -> bool:
+    """Whether a seat's configuration holds a trust hash for exactly this hook."""
+    try:
+        entry = tomllib.loads(config)["hooks"]["state"][key]["trusted_hash"]
+    except (tomllib.TOMLDecodeError, KeyError, TypeError):
+        return False
+    return isinstance(entry, str) and entry != ""
