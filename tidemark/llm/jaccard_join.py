@@ -180,7 +180,7 @@ def sketch(bits: int, s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-_KEYS = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+_SKETCHES = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("sketch", T.BinaryType())]))
 
 
 def _vertices(owner: np.ndarray, found: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,41 +195,69 @@ def _vertices(owner: np.ndarray, found: np.ndarray, n: int, seed: int) -> tuple[
     return sizes, out[0], out[1]
 
 
+def _first_seen(nodes: list[int], sizes: list[int], seen: set[int]) -> Iterator[int]:
+    """Which texts of a chunk are the first of their vertex in this task, as far as it remembers."""
+    if len(seen) > _SEEN:
+        seen.clear()
+    for i, (v, n) in enumerate(zip(nodes, sizes, strict=True)):
+        if n and v not in seen:
+            seen.add(v)
+            yield i
+
+
 def _first_pass(docs: DataFrame, column: str, plan: Plan, seed: int) -> DataFrame:
-    """Each row with its set's size, vertex and check hash; keys where its task meets a vertex first."""
+    """Each row with its set's size, vertex and check hash; sketches where its task meets a vertex first."""
     kept = [c for c in docs.columns if c != column]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType()), T.StructField("_check", T.LongType()), T.StructField("_keys", _KEYS)])
-    keys_type = pa.list_(pa.struct([("k", pa.int32()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType()), T.StructField("_check", T.LongType()), T.StructField("_sketches", _SKETCHES)])
+    sketch_type = pa.list_(pa.struct([("k", pa.int32()), ("sketch", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for chunk in textvec.chunks(batch[column]):
-                owner, found, length = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+                owner, found, _ = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
                 sizes, node, check = _vertices(owner, found, len(chunk), seed)
                 ends = np.cumsum(sizes)
-                keys: list[list | None] = []
-                if len(seen) > _SEEN:
-                    seen.clear()
-                for i, (n, v) in enumerate(zip(sizes.tolist(), node.tolist(), strict=True)):
-                    if not n or v in seen:
-                        keys.append(None)
-                        continue
-                    seen.add(v)
-                    s, bytes_of = found[ends[i] - n : ends[i]], length[ends[i] - n : ends[i]]
-                    of = []
-                    for k in plan.classes_of(n):
-                        mine = set_keys(plan, k, s, bytes_of)
-                        if len(mine):
-                            of.append({"k": k, "sketch": sketch(plan.size_class(k).bits, s), "keys": mine.view(np.int64)})
-                    keys.append(of)
+                sketches: list[list | None] = [None] * len(chunk)
+                for i in _first_seen(node.tolist(), sizes.tolist(), seen):
+                    s = found[ends[i] - sizes[i] : ends[i]]
+                    of = [(k, plan.size_class(k)) for k in plan.classes_of(len(s))]
+                    sketches[i] = [{"k": k, "sketch": sketch(c.bits, s)} for k, c in of if c.most_apart]
                 part = batch.slice(chunk.first, len(chunk))
-                arrays = [part[c] for c in kept] + [pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(check), pa.array(keys, type=keys_type)]
+                arrays = [part[c] for c in kept] + [pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(check), pa.array(sketches, type=sketch_type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(run, schema)
 
 
+def _keys(docs: DataFrame, column: str, plan: Plan, seed: int) -> DataFrame:
+    """node, k and key: the candidate keys of every vertex.
+
+    A pass of its own over the texts, straight into the shuffle: kept beside the
+    rows, the keys would take as much disk once more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for chunk in textvec.chunks(batch["text"]):
+                owner, found, length = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+                sizes, node, _ = _vertices(owner, found, len(chunk), seed)
+                ends = np.cumsum(sizes)
+                keys, classes, nodes = [], [], []
+                for i in _first_seen(node.tolist(), sizes.tolist(), seen):
+                    mine = slice(ends[i] - sizes[i], ends[i])
+                    for k in plan.classes_of(int(sizes[i])):
+                        made = set_keys(plan, k, found[mine], length[mine])
+                        keys.append(made)
+                        classes.append(np.full(len(made), k, dtype=np.int32))
+                        nodes.append(np.full(len(made), node[i]))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "k", "key"])
+
+    return docs.select(F.col(f"`{column}`").alias("text")).mapInArrow(run, "node long, k int, key long")
+
+
 def _complete_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted rows as tables that cut no group of equal names, with the groups' edges."""
     held: list[pa.RecordBatch] = []
@@ -259,9 +287,8 @@ def _complete_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...])
         yield table, np.append(edges(table), len(table))
 
 
-def _members(first: DataFrame) -> DataFrame:
+def _members(rows: DataFrame) -> DataFrame:
     """key, k, node, place of every vertex under keys that several vertices share."""
-    rows = first.filter("_keys IS NOT NULL").select(F.col("_node").alias("node"), F.explode("_keys").alias("c")).select("node", "c.k", F.explode("c.keys").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the open key: its last vertex, how many it has, and its first row until a second vertex shows that it is shared.
@@ -506,8 +533,8 @@ def _linked(docs: DataFrame, id_column: str, column: str, plan: Plan, kept: list
             break
         seed += 1  # two sets with one hash: again with others
 
-    members = scratch.written(_distinct_groups(scratch.written(_members(first), "keyed")), "members")
-    sketches = first.filter("_keys IS NOT NULL").select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.explode("_keys").alias("c")).groupBy("node", "c.k").agg(F.first("c.sketch").alias("sketch"), F.first("n").alias("n"))
+    members = scratch.written(_distinct_groups(scratch.written(_members(_keys(docs, column, plan, seed)), "keyed")), "members")
+    sketches = first.filter("_sketches IS NOT NULL").select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.explode("_sketches").alias("c")).groupBy("node", "c.k").agg(F.first("c.sketch").alias("sketch"), F.first("n").alias("n"))
     sketched = scratch.written(sketches.join(members.select("node", "k").distinct(), ["node", "k"], "left_semi"), "sketches")
 
     blocked = members.withColumn("block", (F.col("place") / BLOCK).cast("int")).join(sketched, ["node", "k"])
@@ -529,5 +556,5 @@ def _linked(docs: DataFrame, id_column: str, column: str, plan: Plan, kept: list
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named_root = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     final = scratch.written(rooted.join(named_root, "root").select(F.col("node").alias("_node"), "component_id"), "components")
-    out = first.drop("_keys", "_check").join(final, "_node", "left")
+    out = first.drop("_sketches", "_check").join(final, "_node", "left")
     return out.select(*[f"`{c}`" for c in kept], F.col("_n").alias("n_shingles"), F.coalesce("component_id", F.col(f"`{id_column}`")).alias("component_id"))
