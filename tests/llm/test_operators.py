@@ -435,3 +435,63 @@ def test_sql_twins(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in twin.fetchall()), key=str)
 
 
+
+
+def brute_tree_score(train, text):
+    """log10 of a text under the whole suffix tree, by its definition."""
+    known = Counter(w for t in train for w in t)
+    norm = sum(known.values()) + len(known) + 1
+    follow = defaultdict(Counter)
+    for t in train:
+        for i in range(1, len(t)):
+            for d in range(1, min(i, 8) + 1):
+                follow[tuple(t[i - d : i])][t[i]] += 1
+    states, tested, deepest = {(): None}, {()}, 0
+
+    def p(w, s):
+        if not s:
+            return (known[w] + 1) / norm
+        if s not in states:
+            return p(w, s[1:])
+        n, rest = states[s]
+        c = follow[s][w]
+        return ((c if c >= suffix_tree.MIN_SUCCESSOR else 0) + rest * p(w, s[1:])) / (n + 1)
+
+    for s in sorted(follow, key=len):
+        n, listed = sum(follow[s].values()), {w: c for w, c in follow[s].items() if c >= suffix_tree.MIN_SUCCESSOR}
+        if n < suffix_tree.MIN_CONTEXT or not listed or len(s) > deepest + 1:
+            continue
+        assert s[1:] in tested
+        tested.add(s)
+        before, left = {w: p(w, s[1:]) for w in listed}, n - sum(listed.values())
+        gain = sum(c * math.log(c / n / before[w]) for w, c in listed.items())
+        if left:
+            gain += left * math.log(left / n / max(1 - sum(before.values()), 1e-12))
+        if gain > len(listed) * math.log(n) / 2:
+            states[s] = (n, n + 1 - sum(listed.values()))
+            deepest = len(s)
+    total = 0.0
+    for i, w in enumerate(text):
+        total += math.log10(p(w, next(tuple(text[k:i]) for k in range(i + 1) if tuple(text[k:i]) in states)))
+    return total, max(map(len, states))
+
+
+@pytest.mark.parametrize("share", [(1e-6, 1e-5), (0.01, 0.03)])
+def test_whole_tree(spark, share):
+    """Scores are those of the whole tree, three words deep, however little of it is broadcast."""
+    rng = np.random.default_rng(3)
+    said = []
+    for _ in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 12, 40)]
+        phrases = ["g m t u", "h m t v", "q t y", "x t z"]
+        said.append(" ".join(w + [phrases[x] for x in rng.integers(0, 4, 6)]))
+    texts = [*said[:3], "g m t u new x t z h m t new v", "", "new new q"]
+    split = lambda t: [*t.split(), None]
+    train = [split(t) for t in said]
+    tree, tail = suffix_tree.fit(spark.createDataFrame([(t,) for t in said], "text string").repartition(3), min_share=share[0], min_context_share=share[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in suffix_tree.score(docs, tree, tail).collect()}
+    expected = [brute_tree_score(train, split(t)) for t in texts]
+    assert tree.depth == expected[0][1] > 2
+    for i, (e, _) in enumerate(expected):
+        assert abs(found[i] - e) < 1e-6

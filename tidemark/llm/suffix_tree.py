@@ -1,25 +1,29 @@
 """A probabilistic suffix tree over words, and scoring texts with it.
 
 The root state is the add-one unigram distribution over every word of the
-training texts, counted without any limit: a table that grows with the corpus
-and never leaves the executors. States of one and two words hang below it. A
-context becomes a state only if a divergence test keeps it: with n occurrences
-and k listed successors, n times the Kullback-Leibler divergence of its
-successors from the parent state's prediction must exceed k * ln(n) / 2. A kept
-state predicts
+training texts. States of one word and more hang below it, each under the longest
+of its suffixes that is a state. Every context that occurs MIN_CONTEXT times or
+more is tested; its successors are listed if they follow it MIN_SUCCESSOR times or
+more. Both are fixed numbers, so the tree grows with the corpus. The context
+becomes a state if a divergence test keeps it: with n occurrences and k listed
+successors, n times the Kullback-Leibler divergence of its successors from the
+prediction of the state above must exceed k * ln(n) / 2. Levels are added until
+the test keeps no state of a level. A kept state predicts
 
     P(w | s) = (count(s, w) + b * P(w | parent)) / (n + 1),  b = n + 1 - listed(s)
 
 so all mass that is not listed is smoothed over the parent. A token is scored in
 the longest suffix of its past that is a state.
 
-Contexts and successors are those with a share of MIN_SHARE or more of all
-training tokens (the tree's occurrence threshold), so the words that can be
-contexts, the pairs and the triples are each at most 1 / MIN_SHARE: that bound
-lets them be broadcast. A rarer word only needs its own count, in whatever
-state: its probability is a product of smoothing weights and its unigram share.
-So rare words are joined with the full count table, and their logarithms summed
-for each text.
+A successor that a state lists is listed by every state above it, so the logarithm
+of a token's probability is a sum over the runs of words that end at it or before
+it: log(b / (n + 1)) of each state that it follows, and for each listed pair what
+that pair adds to its parent's. Those terms are rows of a written table, keyed by
+the run's hash, and texts are joined with it. The head of the tree (depth 1 and 2,
+shares of MIN_CONTEXT_SHARE and MIN_SHARE or more, so at most 1 / MIN_SHARE
+entries a level) is broadcast instead, only to save rows of that join: the score
+is the same. So is the filter of fixed size that keeps runs which the table does
+not have out of the join; where it is full it lets more of them through.
 
 A token is a word (as of white space in ASCII) with A-Z lower-cased, and one end
 token closes each text. Null texts are empty: one end token. Texts are read
@@ -29,24 +33,32 @@ unknown and the score is the unigram one. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
-from tidemark.llm.shared import written
+from tidemark.llm.shared import Scratch, written
 
+#: Occurrences of a context that is tested, and of a successor that is listed, at any size of corpus.
+MIN_CONTEXT = 10
+MIN_SUCCESSOR = 2
+#: Shares of all training tokens from which on contexts and successors are broadcast.
 MIN_SHARE = 1e-6
 MIN_CONTEXT_SHARE = 1e-5
 #: Distinct entries that a counting task holds before it passes them on.
 HELD = 2_000_000
 _END = textvec.hash_word(b"\x00end of text\x00")
+_TURN = 23
+_FILTER_BITS = 26
 _BITS = 20  # 1 / MIN_SHARE is under 2**20
 _NONE = -1
 
@@ -97,6 +109,90 @@ class Counter:
         self.keys, self.counts, self.size = [], [], 0
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    return x << np.uint64(_TURN) | x >> np.uint64(64 - _TURN)
+
+
+def _run_key(context: str, word: str) -> Column:
+    """The hash of a context with a word behind it, as runs() has it."""
+    return F.shiftleft(context, _TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - _TURN)).bitwiseXOR(F.col(word))
+
+
+def runs(tokens: np.ndarray, edges: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to longest: the tokens that have such a run up to them within their text, and its hash."""
+    place = np.arange(len(tokens)) - np.repeat(edges[:-1], np.diff(edges))
+    at, key = np.arange(len(tokens)), tokens
+    yield at, key
+    for length in range(2, longest + 1):
+        at = np.flatnonzero(place >= length - 1)
+        before = np.zeros(len(tokens), dtype=np.uint64)
+        before[1:] = key[:-1]
+        key = _turned(before) ^ tokens
+        yield at, key[at]
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key."""
+    at = keys & np.uint64((1 << _FILTER_BITS) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A filter of 2**_FILTER_BITS bits over the column key; at most a row for each 64 of them reaches the driver."""
+    low = F.col("key").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    cells = keys.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    table = cells.toArrow()
+    bits = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
+    bits[table["at"].to_numpy()] = table["bits"].to_numpy()
+    return bits.view(np.uint64)
+
+
+def _followed(df: DataFrame, column: str, depth: int, tested: np.ndarray, frequent: np.ndarray) -> DataFrame:
+    """context, word and c: how often words follow contexts of this depth that pass the filter, MIN_SUCCESSOR times or more.
+
+    On the way a frequent word goes by its index, which packs better than its hash.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((tested, frequent))
+
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        context, word = np.concatenate(held, axis=1)
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+        columns = [context[first].view(np.int64), word[first].view(np.int64), np.diff(np.append(first, len(word)))]
+        for k in range(0, len(first), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in columns], names=["context", "word", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (tested, frequent), held, size = shared.value, [], 0
+        for batch in batches:
+            for chunk in textvec.chunks(batch[column]):
+                tokens, edges = closed_words(chunk)
+                *_, (at, key) = runs(tokens, edges, depth)
+                mine = np.flatnonzero((tokens[at] != _END) & _passes(tested, key))
+                after = tokens[at[mine] + 1]
+                index = _find(frequent, after)
+                held.append(np.stack([key[mine], np.where(index >= 0, index.astype(np.uint64), after)]))
+                size += len(mine)
+                if size > HELD:
+                    yield from rows(held)
+                    held, size = [], 0
+        if size:
+            yield from rows(held)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value[1].view(np.int64)
+        for batch in batches:
+            word = batch["word"].to_numpy()
+            short = (word >= 0) & (word < len(frequent))
+            word = np.where(short, frequent[np.where(short, word, 0)], word) if len(frequent) else word
+            yield pa.RecordBatch.from_arrays([batch["context"], pa.array(word), batch["c"]], names=["context", "word", "c"])
+
+    schema = "context long, word long, c long"
+    found = df.select(f"`{column}`").mapInArrow(run, schema)
+    return found.groupBy("context", "word").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_SUCCESSOR).mapInArrow(hashed, schema)
+
+
 def _counted(df: DataFrame, column: str, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """key and c: how often keys_of(tokens, ranges) gives each key over all texts."""
 
@@ -129,7 +225,9 @@ class Tree:
     word_counts: np.ndarray
     tokens: int  # N
     distinct: int  # V
-    levels: list[Level]
+    levels: list[Level]  # the broadcast head
+    depth: int = 0  # of the whole tree
+    filter: np.ndarray | None = None  # over the runs in the written table
 
     @property
     def norm(self) -> float:
@@ -179,22 +277,49 @@ def _probability(tree: Tree, words: np.ndarray, states: list[np.ndarray]) -> np.
     return p
 
 
-def _kept_level(tree: Tree, contexts: np.ndarray, total: np.ndarray, pairs: np.ndarray, counts: np.ndarray, parent: np.ndarray) -> Level:
-    """The contexts that pass the divergence test; pairs go by index into contexts, parent has P(w | parent) of each pair."""
-    order = np.argsort(pairs)
-    pairs, counts, parent = pairs[order], counts[order], parent[order]
-    s = pairs >> _BITS
-    k = np.bincount(s, minlength=len(contexts))
-    listed = np.bincount(s, weights=counts, minlength=len(contexts))
-    expected = np.bincount(s, weights=parent, minlength=len(contexts))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(s, weights=counts * np.log(counts / total[s] / parent), minlength=len(contexts))
-        rest = total - listed
-        gain += np.where(rest > 0, rest * np.log(rest / total / np.maximum(1 - expected, 1e-12)), 0)
-        keep = (k > 0) & (gain > k * np.log(total) / 2)
-    new = np.cumsum(keep) - 1
-    mine = keep[s]
-    return Level(contexts[keep], total[keep], (total + 1 - listed)[keep], new[s[mine]] << _BITS | (pairs[mine] & ((1 << _BITS) - 1)), counts[mine])
+def _tested(followed: DataFrame, contexts: DataFrame, above: DataFrame) -> DataFrame:
+    """The listed pairs of all contexts that occur MIN_CONTEXT times, and whether the divergence test keeps the context.
+
+    contexts has context, total and, from depth 2 on, parent; above has parent, word and p = P(word | parent) of all pairs that the level
+    above lists. The result has context, parent, word, c, total, rest, kept, before
+    (the parent's p) and p, which is before where the context is not kept.
+    """
+    pairs = followed.join(contexts, "context").join(above.withColumnRenamed("p", "before"), [c for c in above.columns if c != "p"])
+    c, n = F.col("c"), F.col("total")
+    sums = pairs.groupBy("context", "total").agg(F.count("*").alias("k"), F.sum("c").alias("listed"), F.sum("before").alias("expected"), F.sum(c * F.log(c / n / F.col("before"))).alias("gain"))
+    left = n - F.col("listed")
+    gain = F.col("gain") + F.when(left > 0, left * F.log(left / n / F.greatest(1 - F.col("expected"), F.lit(1e-12)))).otherwise(0.0)
+    kept = sums.select("context", (n + 1 - F.col("listed")).alias("rest"), (gain > F.col("k") * F.log(n) / 2).alias("kept"))
+    p = F.when(F.col("kept"), (c + F.col("rest") * F.col("before")) / (n + 1)).otherwise(F.col("before"))
+    return pairs.join(kept, "context").select("context", *[x for x in contexts.columns if x == "parent"], "word", "c", "total", "rest", "kept", "before", p.alias("p"))
+
+
+def _head(tree: Tree, tested: DataFrame, depth: int, least: float, least_context: float) -> tuple[Level, np.ndarray]:
+    """The broadcast part of a level, and the sorted contexts in it by hash."""
+    top = tested.filter(F.col("total") >= least_context)
+    states = top.select("context", *[x for x in top.columns if x == "parent"], "total", "rest").distinct().toArrow()  # at most 1 / min_context_share rows
+    context = states["context"].to_numpy().view(np.uint64)
+    if depth == 1:
+        key = _find(tree.words, context)
+    else:
+        parent = states["parent"].to_numpy().view(np.uint64)
+        turned = context ^ parent
+        first = _find(tree.words, turned >> np.uint64(_TURN) | turned << np.uint64(64 - _TURN))
+        first, second = np.where(first >= 0, _find(tree.levels[0].contexts, first), _NONE), _find(tree.words, parent)
+        key = np.where((first >= 0) & (second >= 0), first << _BITS | np.maximum(second, 0), _NONE)
+    order = np.flatnonzero(key >= 0)
+    order = order[np.argsort(key[order])]
+    hashes = context[order]
+    by_hash = np.argsort(hashes)
+    listed = top.filter(F.col("c") >= least).select("context", "word", "c").toArrow()  # at most 1 / min_share rows
+    at = _find(hashes[by_hash], listed["context"].to_numpy().view(np.uint64))
+    word = _find(tree.words, listed["word"].to_numpy().view(np.uint64))
+    mine = (at >= 0) & (word >= 0)
+    pairs = (by_hash[at[mine]] << _BITS | word[mine]).astype(np.int64)
+    counts = listed["c"].to_numpy()[mine]
+    sort = np.argsort(pairs)
+    total, rest = states["total"].to_numpy()[order], states["rest"].to_numpy()[order]
+    return Level(key[order], total, rest, pairs[sort], counts[sort]), hashes[by_hash].view(np.int64)
 
 
 def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -205,56 +330,72 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(train: DataFrame, column: str = "text", min_share: float = MIN_SHARE, min_context_share: float = MIN_CONTEXT_SHARE) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all words: key (hash as long) and c."""
+    """The tree's head, and the table of all that is not in it.
+
+    The table has key (hash of a word or run as long), base and score (what a
+    rare word, a state or a pair adds to the logarithms) and known (1 for a word).
+    """
     if min_share * 2**_BITS < 1 or min_context_share < min_share:
         raise ValueError("min_share must be at least 2**-20 and at most min_context_share")
     counts = written(_counted(train, column, lambda w, _: w), "words")
     n, v = counts.select(F.sum("c"), F.count("*")).first()
     tree = Tree(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), n or 0, v, [])
+    least = (n or 0) * min_share
+    own = F.log10(F.col("c") + 1)
+    rare = counts.filter(F.col("c") < least).select("key", own.alias("base"), own.alias("score"), F.lit(1).alias("known"))
     if not n:
-        return tree, counts
-    hashes, total = _collect(counts.filter(F.col("c") >= n * min_share))  # at most 1 / min_share rows
+        return tree, rare
+    hashes, total = _collect(counts.filter(F.col("c") >= least))  # at most 1 / min_share rows
     hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
     tree.words, tree.word_counts = hashes[order], total[order]
-    least = max(2.0, n * min_share)
     session = train.sparkSession
 
-    contexts = np.flatnonzero(tree.word_counts >= max(2.0, n * min_context_share))
-    for depth in (1, 2):
-        shared = session.sparkContext.broadcast((tree, contexts))
-
-        def keys_of(tokens: np.ndarray, edges: np.ndarray, depth: int = depth, shared: object = shared) -> np.ndarray:
-            tree, contexts = shared.value
-            words = _find(tree.words, tokens)
-            trial = Tree(tree.words, tree.word_counts, tree.tokens, tree.distinct, [*tree.levels, Level(contexts, *[np.zeros(0)] * 4)])
-            state = _states(trial, words, edges, depth)
-            both = (state >= 0) & (words >= 0)
-            return state[both] << _BITS | words[both]
-
-        pairs, found = _collect(_counted(train, column, keys_of).filter(F.col("c") >= least))  # at most 1 / min_share rows
-        s, w = pairs >> _BITS, pairs & ((1 << _BITS) - 1)
-        if depth == 1:
-            total = tree.word_counts[contexts]
-            parent = (tree.word_counts[w] + 1) / tree.norm
-        else:
-            above = tree.levels[0]
-            total = above.counts[_find(above.pairs, contexts)]
-            second = _find(above.contexts, contexts & ((1 << _BITS) - 1))
-            parent = _probability(tree, w, [second[s]])
-        tree.levels.append(_kept_level(tree, contexts, total, pairs, found, parent))
-        if depth == 1:
-            level = tree.levels[0]
-            contexts = level.pairs[level.counts >= max(2.0, n * min_context_share)]
-    return tree, counts
+    above = counts.filter(F.col("c") >= MIN_SUCCESSOR).select(F.col("key").alias("word"), ((F.col("c") + 1) / F.lit(tree.norm)).alias("p"))
+    contexts = counts.filter(F.col("c") >= MIN_CONTEXT).select(F.col("key").alias("context"), F.col("c").alias("total"))
+    end = int(np.array([_END], dtype=np.uint64).view(np.int64)[0])
+    parts = []
+    with Scratch(session) as scratch:
+        for depth in itertools.count(1):
+            followed = scratch.written(_followed(train, column, depth, _filter_of(contexts.select(F.col("context").alias("key"))), tree.words), "followed")
+            tested = scratch.written(_tested(followed, contexts, above), "states")
+            if not tested.filter("kept").limit(1).count():
+                break
+            tree.depth = depth
+            above = tested.select(F.col("context").alias("parent"), "word", "p")
+            parent = F.col("word") if depth == 1 else _run_key("parent", "word")
+            contexts = tested.filter((F.col("c") >= MIN_CONTEXT) & (F.col("word") != end)).select(_run_key("context", "word").alias("context"), parent.alias("parent"), F.col("c").alias("total"))
+            kept = tested.filter("kept")
+            inside, below = F.lit(False), F.lit(False)
+            if depth <= 2:
+                level, heads = _head(tree, kept, depth, least, n * min_context_share)
+                tree.levels.append(level)
+                frequent = session.createDataFrame(pa.table({"context": heads, "top": np.ones(len(heads), dtype=bool)}))
+                kept = kept.join(F.broadcast(frequent), "context", "left")
+                inside = F.coalesce("top", F.lit(False))
+                below = inside & (F.col("c") >= least)
+            gone = F.log10(F.col("rest") / (F.col("total") + 1))
+            parts.append(kept.filter(~inside).select(F.col("context").alias("key"), gone.alias("score")).dropDuplicates(["key"]))
+            parts.append(kept.filter(~below).select(_run_key("context", "word").alias("key"), (F.log10("p") - F.log10("before") - gone).alias("score")))
+            # The context cleaner drops the shuffle files of what is written once nothing refers to it.
+            gc.collect()
+            session._jvm.System.gc()
+        tail = rare
+        for part in parts:
+            tail = tail.union(part.select("key", F.lit(0.0).alias("base"), "score", F.lit(0).alias("known")))
+        tail = written(tail.groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.max("known").alias("known"), F.max(F.col("known") == 0).alias("run")), "tree")
+    tree.filter = _filter_of(tail.filter("run"))
+    while len(tree.levels) < 2:
+        tree.levels.append(Level(*[np.zeros(0, dtype=np.int64)] * 5))
+    return tree, tail
 
 
 _SCORED = T.StructType(
-    [T.StructField("_row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_rare", T.ArrayType(T.LongType()))]
+    [T.StructField("_row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_n", T.LongType()), T.StructField("_asked", T.ArrayType(T.LongType()))]
 )
 
 
-def score(df: DataFrame, tree: Tree, counts: DataFrame, column: str = "text") -> DataFrame:
+def score(df: DataFrame, tree: Tree, tail: DataFrame, column: str = "text") -> DataFrame:
     """df without its text, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     named = ("n_tokens", "n_known", "train_tokens", "base_score", "score", *_SCORED.names)
     kept = [c for c in df.columns if c not in (column, *named)]
@@ -274,31 +415,41 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, column: str = "text") ->
                 owner = np.repeat(np.arange(n), np.diff(edges))
                 base = np.log10((tree.word_counts[np.maximum(words, 0)] + 1) / tree.norm) if len(tree.words) else np.zeros(len(words))
                 logs = np.log10(_probability(tree, words, states))
-                rare = tokens[~frequent].view(np.int64)
-                cut = np.concatenate([[0], np.cumsum(np.bincount(owner[~frequent], minlength=n))]).astype(np.int32)
+                at, asked = [], []
+                for length, (to, key) in enumerate(runs(tokens, edges, tree.depth + 1), 1):
+                    wanted = _passes(tree.filter, key) if tree.filter is not None else np.zeros(len(key), dtype=bool)
+                    if length == 1:
+                        wanted |= ~frequent
+                    at.append(to[wanted])
+                    asked.append(key[wanted])
+                at, asked = np.concatenate(at), np.concatenate(asked)
+                order = np.argsort(at, kind="stable")
+                asked = asked[order].view(np.int64)
+                cut = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]).astype(np.int32)
                 columns = [
                     pa.array(row + np.arange(n)),
                     pa.array(np.diff(edges)),
                     pa.array(np.bincount(owner[frequent], minlength=n).astype(np.int64)),
                     pa.array(np.bincount(owner[frequent], weights=base[frequent], minlength=n).astype(np.float64)),
                     pa.array(np.bincount(owner, weights=logs, minlength=n).astype(np.float64)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(rare)),
+                    pa.array(np.bincount(owner[~frequent], minlength=n).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(cut), pa.array(asked)),
                 ]
                 row += n
                 mine = batch.slice(chunk.first, n)
                 yield pa.RecordBatch.from_arrays([mine[c] for c in kept] + columns, names=schema.names)
 
     first = written(df.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(run, schema), "scored")
-    asked = first.select("_row", F.explode("_rare").alias("key"))
-    # A rare word that training never saw has no row in counts and adds log10(1 / norm) like any with c = 0.
-    answered = asked.join(counts, "key").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("_logs"), F.count("*").alias("_found"))
-    both = first.select(*[c for c in schema.names if c != "_rare"], F.size("_rare").alias("_n")).join(answered, "_row", "left")
-    rare = F.coalesce("_logs", F.lit(0.0)) - F.col("_n") * F.lit(float(np.log10(tree.norm)))
+    asked = first.select("_row", F.explode("_asked").alias("key"))
+    # A rare word that training never saw has no row in the table and adds log10(1 / norm) like any with c = 0.
+    answered = asked.join(tail, "key").groupBy("_row").agg(F.sum("base").alias("_more_base"), F.sum("score").alias("_more"), F.sum("known").alias("_found"))
+    both = first.select(*[c for c in schema.names if c != "_asked"]).join(answered, "_row", "left")
+    rare = F.col("_n") * F.lit(float(np.log10(tree.norm)))
     return both.select(
         *[f"`{c}`" for c in kept],
         "n_tokens",
         (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + rare).alias("base_score"),
-        (F.col("_score") + rare).alias("score"),
+        (F.col("_base") + F.coalesce("_more_base", F.lit(0.0)) - rare).alias("base_score"),
+        (F.col("_score") + F.coalesce("_more", F.lit(0.0)) - rare).alias("score"),
     )
