@@ -495,3 +495,18 @@ def test_whole_tree(spark, share):
     assert tree.depth == expected[0][1] > 2
     for i, (e, _) in enumerate(expected):
         assert abs(found[i] - e) < 1e-6
+
+
+def test_quality_small_strata(spark):
+    """A few hundred labels admit a rule, fewer are pooled, none admit nothing; the true share of good texts lost stays in bounds."""
+    clean, junk = " ".join(f"w{j}" for j in range(60)), " ".join(f"w{j} |" for j in range(60))
+    rows = [(lang, 1, clean) for lang, n in (("de", 320), ("fr", 200), ("es", 150)) for _ in range(n)]
+    rows += [("en", 1, junk if i % 20 == 0 else clean) for i in range(400)]  # one in twenty good English texts has the signs
+    rows += [(lang, 0, junk) for lang in ("en", "de", "fr", "es", "xx") for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, _, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q, _) in enumerate(rows)], "doc_id long, quality int")
+    lost = Counter(r.lang for r in quality.judge(docs, labels).filter("NOT kept").select("doc_id", "lang").collect())
+    assert lost == {"de": 5, "fr": 5, "es": 5}
+    found = {a.stratum: a for a in quality.admitted(quality.with_counts(docs), labels, "lang", quality.STRATA, quality.ALPHA, quality.DELTA, quality.CUTOFFS)}
+    assert found["de"].pool == ("de",) and found["fr"].pool == found["es"].pool == ("es", "fr") and found["fr"].n == 350
+    assert "symbol_rate" not in found["en"].rule and "xx" not in found
