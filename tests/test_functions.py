@@ -2,6 +2,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tidemark.plans import catalog
 from tidemark.functions import hashing
 from tidemark.functions import text as X
 
@@ -42,3 +43,16 @@ def test_money(spark):
     df = spark.createDataFrame([(Decimal("4.2"),), (Decimal("0.0003"),), (Decimal("68.89777650"),), (Decimal(3),)], "x decimal(28,12)")
     assert [r[0] for r in df.select(X.dollars(F.col("x"))).collect()] == ["$4.20", "$0.0003", "$68.8977765", "$3.00"]
     assert one(spark, lambda x: X.micro_dollars(x.cast("long")).cast("string"), "441835983") == ["441.835983"]
+
+
+def test_every_document_has_a_key(spark, tmp_path):
+    """Texts with white space beyond ASCII, wherever it stands, and null texts keep their row."""
+    signs = "\x0b\x1c\x1f\x85       　"
+    texts = [f"a{s}b" for s in signs] + ["x" * 300 + " ", None, "a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.k for r in catalog.QUERIES["idempotency_keys"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == list(range(len(texts)))
+    for i, t in enumerate(texts[: len(signs)]):
+        expected = t if t[1] in "\x1c\x1f" else "a-b"  # separators U+001C-1F are not Unicode white space
+        assert found[i] == expected, (i, t, found[i])
+    assert found[len(signs)] == "x" * 240 and found[len(signs) + 1] is None and found[len(signs) + 2] == "a-b"
