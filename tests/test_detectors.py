@@ -22,25 +22,27 @@ def turns(spark, *said):
 
 
 POSITIVE = [
-    "no, use the other branch please",
-    "please stop rewriting that file",
-    "that is the wrong directory",
-    "just don't touch the lockfile",
-    "it is still failing again today",
-    "actually, use the smaller model",
-    "I meant the second paragraph",
-    "you shouldn’t edit generated code",
+    "no, keep last week's layout",
+    "please stop renaming columns",
+    "row nine has an incorrect total",
+    "and do not format empty cells",
+    "upload broken once again, sorry",
+    "actually put it in a footer instead",
+    "by margin I meant the outer one",
+    "labels shouldn’t overlap an axis",
+    "undo the last two merges",
+    "you missed three of my notes",
 ]
 NEGATIVE = [
-    "looks good to me, carry on",
-    "what is wrong with the second one?",
-    "thanks again for the summary",
-    "wrong one",
-    "<system-reminder> not what I asked </system-reminder>",
-    "add a section about caching too",
-    "actually that sounds great to me",
-    "x" * 190 + " is wrong today",
-    "I think we should ship it now",
+    "this chart reads well, keep going",
+    "is the right column the wrong one?",
+    "export it again when ready",
+    "incorrect",
+    "<system-reminder> the total is wrong </system-reminder>",
+    "put a legend beneath the plot",
+    "actually the blue one looks fine",
+    "y" * 190 + " is incorrect here",
+    "we could publish tomorrow",
 ]
 
 
@@ -50,7 +52,7 @@ def test_corrections_are_exactly_the_corrective_turns(spark):
 
 
 def test_correction_needs_both_neighbours_and_no_tool_result(spark):
-    text = "that is the wrong directory"
+    text = "row nine has an incorrect total"
     alone = messages(spark, ("user", text), ("assistant", "ok"))
     block = messages(spark, ("assistant", "x"), ("user", [{"type": "tool_result", "content": text}]), ("assistant", "y"))
     assert detectors.corrections(alone).count() == 0
@@ -132,8 +134,8 @@ def test_block_errors(spark):
         messages(
             spark,
             use("a", "Edit"),
-            answer("a", "no such file"),
-            answer("a", "no such file"),  # a copy
+            answer("a", "old text not in file"),
+            answer("a", "old text not in file"),  # a copy
             answer("zz", "unknown call"),
             use("b", "Bash"),
             answer("b", "Exit code 1"),
@@ -147,7 +149,7 @@ def test_block_errors(spark):
         )
     ).orderBy("seq", "block")
     assert [(r["tool_name"], r["message"], r["call_level"]) for r in found.collect()] == [
-        ("Edit", "no such file", False),
+        ("Edit", "old text not in file", False),
         ("unknown", "unknown call", False),
         ("Bash", "Exit code 2\ntraceback", True),
         ("WebFetch", "The server returned HTTP 403 Forbidden.", True),

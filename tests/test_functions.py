@@ -23,7 +23,7 @@ def test_quoting(spark):
 def test_text(spark):
     assert one(spark, X.trim_all, "\n  x ", "") == ["x", ""]
     assert one(spark, X.session_role, "abc_explore", "abc", "abc_") == ["explore", None, None]
-    assert one(spark, X.trailing_uuid, "rollout-0e91a2b4-7d3f-4e2a-9c1b-44a7f3d8a1e2", "x", "é0e91a2b4-7d3f-4e2a-9c1b-44a7f3d8a1e2") == ["0e91a2b4-7d3f-4e2a-9c1b-44a7f3d8a1e2", None, None]
+    assert one(spark, X.trailing_uuid, "rollout-5c6d7e8f-1234-4abc-8def-90a1b2c3d4e5", "x", "é5c6d7e8f-1234-4abc-8def-90a1b2c3d4e5") == ["5c6d7e8f-1234-4abc-8def-90a1b2c3d4e5", None, None]
     assert one(spark, X.without_agent, "codex:1", "plain", "x:") == ["1", "plain", "x:"]
     assert one(spark, X.envelope_text, '<context/><message id="1"> a &lt;b&gt; </message><message>c &amp;lt;</message>', " bare ", "<message> </message>") == ["a <b>\nc &lt;", "bare", ""]
     assert one(spark, X.backticked, "x `bash` y `z`", "none") == ["bash", None]

@@ -105,10 +105,10 @@ def test_projection(spark, tmp_path):
     store = filled(tmp_path / "l", 1, 2)
     root = str(tmp_path / "index")
     folder = str(store.folder)
-    assert projection.refresh(spark, folder, root) == 2
-    assert projection.refresh(spark, folder, root) == 0
+    assert projection.refresh(spark, folder, root).segments == 2
+    assert projection.refresh(spark, folder, root).segments == 0
     store.write(S.seal("src1", 3, [event("src1-1"), event("new", 0.5, "cron", "decision")]))
-    assert projection.refresh(spark, folder, root) == 1
+    assert projection.refresh(spark, folder, root).segments == 1
     ids = lambda df: [r["event_id"] for r in df.collect()]
     events = projection.events(spark, root)
     assert ids(ledger.recent(events, 10)) == ["enew", "esrc1-1", "esrc1-2"]
@@ -116,7 +116,7 @@ def test_projection(spark, tmp_path):
     assert ids(ledger.query(events, 10, subsystems=["hook-*"])) == ["esrc1-1", "esrc1-2"]
     assert ids(ledger.query(events, 1, subsystems=["hook-*"], exact=False, overfetch=1)) == []
     assert ids(ledger.query(events, 10, F.lit(NOW - timedelta(hours=1.5)))) == ["enew", "esrc1-1"]
-    assert projection.rebuild(spark, folder, root) == 3 and len(ids(projection.events(spark, root))) == 3
+    assert projection.rebuild(spark, folder, root).segments == 3 and len(ids(projection.events(spark, root))) == 3
 
 
 def test_stream(spark, tmp_path):
@@ -157,7 +157,7 @@ def test_config():
 
 
 def test_rows_are_decoded_as_well_as_can_be(spark):
-    good = "0e91a2b4-7d3f-4e2a-9c1b-44a7f3d8a1e2"
+    good = "5c6d7e8f-1234-4abc-8def-90a1b2c3d4e5"
     rows = [(good, "2026-07-05T09:00:00Z", good, None, "statechange", "confidential", '{"a":1}'), ("bad", "bad", "bad", "bad", "strange", "strange", "{oops")]
     df = spark.createDataFrame(rows, "event_id string, timestamp string, correlation_id string, causation_id string, event_class string, payload_tier string, payload string")
     now = F.lit("2026-07-06 00:00:00").cast("timestamp")

@@ -7,7 +7,7 @@ import json
 import os
 import socket
 import sys
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,7 +17,7 @@ from tidemark.operators import ledger
 from tidemark.plans import config as cfg
 from tidemark.plans import nightly, projection
 from tidemark.sinks import digest, spool
-from tidemark.sources import registers
+from tidemark.sources import archive, registers
 from tidemark.sources.segments import SegmentStore
 
 
@@ -25,14 +25,31 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _archive_spend(spark: SparkSession, c: cfg.Config, day: date, zone: str) -> digest.ArchiveSpend | None:
+    """Spend by the archive's own count, where an archive is configured; any failure only hides it."""
+    reader = next((r for r in c.readers if r["type"] == "agentsview"), None)
+    if reader is None:
+        return None
+    try:
+        found = archive.fetch_daily(*archive.week_before(day), zone, reader.get("bin", "agentsview"), reader.get("timeout_secs", archive.TIMEOUT_S))
+        return nightly.archive_spend(archive.daily_usage(spark, found), day, zone)
+    except Exception as e:  # advisory: the review goes on without it
+        print(f"archive spend: {e}", file=sys.stderr)
+        return None
+
+
+def _bad_segments(found: projection.Refresh) -> list[str]:
+    return [f"{source}-{seq}: {why}" for source, seq, why in found.failed] + [f"{name}: not a segment's name" for name in found.unnamed]
+
+
 def _review(a: argparse.Namespace, c: cfg.Config) -> int:
     now = datetime.now(UTC)
     since = cfg.parse_since(a.since, now) if a.since else now - timedelta(days=a.days)
-    zone = cfg.resolve_zone(None, c.timezone, os.environ.get("TZ"))
+    zone = cfg.resolve_zone(os.environ.get("TIDEMARK_TZ"), c.timezone, os.environ.get("TZ"), cfg.system_zone())
     day = datetime.strptime(a.date, "%Y-%m-%d").date() if a.date else now.astimezone(zone).date()
     check = registers.check(c.workaround_registers, day) if c.workaround_registers else None
     spark = session()
-    args = nightly.Args(since, day, Path(a.digest_dir).expanduser(), a.processed_file and Path(a.processed_file).expanduser(), a.dry_run, a.create_issues, register=check)
+    args = nightly.Args(since, day, Path(a.digest_dir).expanduser(), a.processed_file and Path(a.processed_file).expanduser(), a.dry_run, a.create_issues, _archive_spend(spark, c, day, str(zone)), check)
     report = nightly.review(spark, cfg.make_readers(spark, c, since), args, cfg.make_tracker(c, str(day)), now)
     print(digest.report_json(report, a.dry_run) if a.json else digest.summary(report))
     if check and not a.json:
@@ -53,7 +70,8 @@ def query_events(spark: SparkSession, c: cfg.Config, since: str, subsystems: lis
     for name, root, index in targets:
         try:
             if Path(root, "segments").is_dir():
-                projection.refresh(spark, f"{root}/segments", index)
+                for line in _bad_segments(projection.refresh(spark, f"{root}/segments", index)):
+                    print(f"{name}: {line}", file=sys.stderr)
             elif not Path(index).exists():
                 continue
             rows = ledger.query(projection.events(spark, index), limit, F.lit(cfg.parse_since(since, now)), event_class, subsystems)
@@ -102,8 +120,12 @@ def _spool(a: argparse.Namespace, c: cfg.Config) -> int:
             root = z.fleet_store_path or z.ledger_path
             r = spool.ingest(z.spool_path, SegmentStore(root))
             print(f"spool ingest [{z.id}]: committed={len(r.committed)} skipped={len(r.skipped)} failed={len(r.failed)}")
-            if r.committed:
-                projection.refresh(session(), f"{root}/segments", z.index)
+            # A fleet store is carried by a file sync; its index lives with the zone that mirrors it here, if one does.
+            mirror = next((m for m in c.zones if not m.spool and m.ledger_path == root), None if z.fleet_store_path else z)
+            if r.committed and mirror:
+                for line in _bad_segments(projection.refresh(session(), f"{root}/segments", mirror.index)):
+                    print(line, file=sys.stderr)
+                    bad = True
         for name, why in r.failed:
             print(f"{name}: {why}", file=sys.stderr)
         bad |= not r.ok
@@ -148,8 +170,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "spool":
         return _spool(a, c)
     if a.command == "rebuild":
-        print(projection.rebuild(session(), f"{a.ledger_path}/segments", f"{a.ledger_path}/index"))
-        return 0
+        found = projection.rebuild(session(), f"{a.ledger_path}/segments", f"{a.ledger_path}/index")
+        print(f"rebuilt: segments={found.segments} events={found.events}")
+        for line in _bad_segments(found):
+            print(line, file=sys.stderr)
+        return int(bool(found.failed))
     lines, warnings = cfg.check(c)
     print("\n".join(lines + [f"warning: {w}" for w in warnings]))
     return int(bool(warnings))

@@ -42,10 +42,25 @@ def persona_key(persona: Column, channel: Column) -> Column:
 
 
 def with_display_key(rows: DataFrame) -> DataFrame:
-    """key: persona@channel; a clash gets " (2)", " (3)" in order of persona and channel."""
-    named = rows.withColumn("key", persona_key(F.col("persona"), F.col("channel")))
-    n = F.row_number().over(Window.partitionBy("key").orderBy("persona", F.col("channel").asc_nulls_first()))
-    return named.withColumn("_n", n).withColumn("key", F.when(F.col("_n") > 1, F.concat("key", F.lit(" ("), F.col("_n"), F.lit(")"))).otherwise(F.col("key"))).drop("_n")
+    """key: persona@channel; in order of persona and channel, one that is taken gets the first free of " (2)", " (3)", ...
+
+    A suffixed key can take another row's own name, so keys are dealt in that order,
+    for all names that are alike but for suffixes together.
+    """
+    named = rows.withColumn("_key", persona_key(F.col("persona"), F.col("channel")))
+    # Only names alike up to their suffixes can clash; such a family has few members.
+    stem = F.regexp_replace("_key", r"( \(\d+\))+$", "")
+    member = F.struct("persona", F.col("channel").isNotNull().alias("has"), "channel", "_key")
+    families = named.groupBy(stem.alias("_stem")).agg(F.sort_array(F.collect_set(member)).alias("members"))
+    start = F.array().cast("array<struct<persona:string,channel:string,key:string>>")
+
+    def deal(taken: Column, m: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: F.when(n == 1, m["_key"]).otherwise(F.concat(m["_key"], F.lit(" ("), n, F.lit(")"))))
+        free = F.filter(tries, lambda t: ~F.exists(taken, lambda k: k["key"] == t))
+        return F.concat(taken, F.array(F.struct(m["persona"].alias("persona"), m["channel"].alias("channel"), F.get(free, F.lit(0)).alias("key"))))
+
+    dealt = families.select(F.explode(F.aggregate("members", start, deal)).alias("m")).select(F.col("m.persona").alias("_p"), F.col("m.channel").alias("_c"), F.col("m.key").alias("key"))
+    return named.join(dealt, (F.col("persona") == F.col("_p")) & F.col("channel").eqNullSafe(F.col("_c"))).drop("_p", "_c", "_key")
 
 
 def archive_period(daily: DataFrame, low: Column, high: Column) -> DataFrame:

@@ -21,7 +21,8 @@ from tidemark.operators import detectors, health, rollup, signals, windows
 from tidemark.plans import state
 from tidemark.sinks import digest
 from tidemark.sinks.tracker import Issue, NoTracker, Tracker
-from tidemark.sources.base import EVENTS, MESSAGES, SESSIONS, USAGE, Reader, fitted
+from tidemark.sources.archive import week_before
+from tidemark.sources.base import EVENTS, MESSAGES, MODEL_COSTS, SESSIONS, USAGE, Reader, fitted
 from tidemark.sources.registers import Check
 
 
@@ -68,9 +69,15 @@ def scan(spark: SparkSession, readers: Sequence[Reader], since: datetime, pendin
     open_ = found.join(wanted, F.col("session_id") == F.col("id"), "left").filter((F.col("modified") >= since) | ((F.col("modified") >= effective) & F.col("pending"))).drop("id", "pending")
     done = ids(processed)
     fresh = open_.join(done, F.col("session_id") == F.col("id"), "left_anti").join(done, F.col("dedupe_key") == F.col("id"), "left_anti")
+    fresh = fresh.persist()
+    # The ids and paths of the window reach the driver anyway; with them, only their folders are read.
+    paths = [(r["reader_rank"], r["path"]) for r in fresh.select("reader_rank", "path").collect()]
+    for i, r in enumerate(readers):
+        r.only([p for rank, p in paths if rank == i])
     messages = _union([r.messages() for r in readers], MESSAGES)
     events = _union([r.events() for r in readers], EVENTS)
     usage = _union([r.usage() for r in readers], USAGE)
+    split = _union([r.model_costs() for r in readers], MODEL_COSTS)
     shown = messages.select("path").union(events.select("path")).union(usage.select("path")).distinct()
     sessions = windows.first_rows(windows.first_rows(fresh.join(shown, "path", "left_semi"), ["dedupe_key"], ["reader_rank", "path"]), ["session_id"], ["reader_rank", "path"]).persist()
 
@@ -82,8 +89,8 @@ def scan(spark: SparkSession, readers: Sequence[Reader], since: datetime, pendin
     stamped = every.join(dims, "session_id").withColumn("title", signals.title()).withColumn("scan_ord", F.struct("reader_rank", "path")).persist()
     role = F.when(F.col("reader") != "pi", F.nullif(F.regexp_extract("session_id", r"(?s)^[^_]*_(.+)$", 1), F.lit("")))
     sums = rollup.usage_sums(u).join(sessions.select("session_id", role.alias("role")), "session_id")
-    costs = u.filter("model IS NOT NULL AND cost IS NOT NULL").select("session_id", "model", "cost")
-    return Scan([sessions, stamped, m, e, u], sessions, stamped, detectors.priority_alerts(stamped.filter("kind = 'error'")), sums, costs)
+    costs = u.filter("model IS NOT NULL AND cost IS NOT NULL").select("session_id", "model", "cost").union(split.filter("cost IS NOT NULL").join(own, "path").select("session_id", "model", "cost"))
+    return Scan([fresh, sessions, stamped, m, e, u], sessions, stamped, detectors.priority_alerts(stamped.filter("kind = 'error'")), sums, costs)
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -108,11 +115,34 @@ def _spend(s: Scan) -> digest.Spend | None:
     return digest.Spend(_plain(total["cost"]), total["sessions"], total["sessions_with_cost"], total["input_tokens"], total["output_tokens"], roles, models)
 
 
+def archive_spend(daily: DataFrame, day: date, zone: str) -> digest.ArchiveSpend | None:
+    """The week before a day and its last day, of daily_usage(); None where the week has no row."""
+    low, high = week_before(day)
+
+    def period(first: date) -> digest.Period | None:
+        rows = rollup.archive_period(daily, F.lit(first), F.lit(high)).collect()  # one row for each agent and model
+        total = next((r for r in rows if r["dim"] == "total"), None)
+        of = lambda dim: {r["name"]: _plain(r["cost"]) for r in rows if r["dim"] == dim}
+        return digest.Period(_plain(total["cost"]), total["days"], of("agent"), of("model")) if total else None
+
+    week = period(low)
+    return digest.ArchiveSpend(low, high, zone, week, period(high)) if week else None
+
+
 def _personas(s: Scan) -> dict[str, dict]:
     rows = rollup.with_display_key(rollup.personas(s.sessions, s.signals, s.stats))
     return {r["key"]: r | {"cost": _plain(r["cost"])} for r in _rows(rows)}
 
 
+def _utc(at: datetime) -> datetime:
+    return at.astimezone(UTC) if at.tzinfo else at.replace(tzinfo=UTC)
+
+
+def _sums(counted: DataFrame) -> dict[str, int]:
+    row = counted.first().asDict()
+    return {f"{k}s": row[f"{k}s"] for k in signals.KINDS}
+
+
 def _counts(kinds: Counter | list[str]) -> dict[str, int]:
     c = Counter(kinds)
     return {f"{k}s": c[k] for k in signals.KINDS}
@@ -132,17 +162,21 @@ def review(spark: SparkSession, readers: Sequence[Reader], args: Args, tracker:
     found = scan(spark, readers, args.since, pending, processed, state.widened(args.since, [*retry.values(), *render.values()]), args.limits)
 
     scanned = {r["session_id"]: r for r in _rows(found.sessions.select("session_id", "dedupe_key", "modified"))}
-    modified = {sid: r["modified"].astimezone(UTC) if r["modified"].tzinfo else r["modified"].replace(tzinfo=UTC) for sid, r in scanned.items()}
-    rows = _rows(signals.with_identity(found.signals).orderBy("kind_ord", "scan_ord", "seq", "block").drop("scan_ord"))
+    modified = {sid: _utc(r["modified"]) for sid, r in scanned.items()}
     report = digest.Report(str(args.day), sessions_scanned=len(scanned), archive=args.archive, register=args.register)
-    new, offered = rows, rows
+    known = ledger.table(spark) if ledger is not None else spark.createDataFrame([], state.LEDGER)
+    every = signals.split_by_ledger(signals.with_identity(found.signals), known).persist()
+    # What earlier runs counted and filed stays on the executors, but for the times that the ledger takes note of.
+    rows = _rows(every.filter("is_new OR to_offer").orderBy("kind_ord", "scan_ord", "seq", "block").drop("scan_ord"))
+    new, offered = [r for r in rows if r["is_new"]], [r for r in rows if r["to_offer"]]
     if ledger is not None:
-        for r in rows:
-            ledger.note(r["id"], modified[r["session_id"]])
-        new = [r for r in rows if not (e := ledger.entries.get(r["id"])) or not e.counted]
-        offered = [r for r in rows if not (e := ledger.entries.get(r["id"])) or not e.filed]
-        report.detected = _counts([r["kind"] for r in rows])
-        report.in_window = _counts(ledger.in_window(args.since) + [r["kind"] for r in new if modified[r["session_id"]] >= args.since])
+        again = every.join(known.select("id", "session_modified"), "id").filter("session_modified IS NULL OR modified > session_modified").groupBy("id").agg(F.max("modified").alias("modified"))
+        for r in again.collect():  # at most one row for each entry of the ledger
+            ledger.note(r["id"], _utc(r["modified"]))
+        report.detected = _sums(signals.kind_counts(every))
+        old = _sums(signals.counted_in_window(ledger.table(spark), F.lit(args.since)))
+        recent = _counts([r["kind"] for r in new if modified[r["session_id"]] >= args.since])
+        report.in_window = {k: n + recent[k] for k, n in old.items()}
     for k in signals.KINDS:
         setattr(report, f"{k}s", [r for r in new if r["kind"] == k])
     report.alerts = {r["tool_name"]: r["sessions"] for r in _rows(found.alerts)}
@@ -191,13 +225,13 @@ def review(spark: SparkSession, readers: Sequence[Reader], args: Args, tracker:
         state.save_pending(beside(".render"), waiting)
         for r in filed:
             ledger.mark(r["id"], args.day, modified[r["session_id"]], filed=True)
-        ledger.save(beside(".signals"), args.day)
+        ledger.save(spark, beside(".signals"), args.day)
     if write:
         digest.write(args.digest_dir, report)
         if base:
             for r in new:
                 ledger.mark(r["id"], args.day, modified[r["session_id"]], counted=True)
-            ledger.save(beside(".signals"), args.day)
+            ledger.save(spark, beside(".signals"), args.day)
             waiting = {sid: at for sid, at in waiting.items() if sid not in new_sessions}
             state.save_pending(beside(".render"), waiting)
     elif not args.dry_run and path.exists() and args.register:
@@ -209,6 +243,6 @@ def review(spark: SparkSession, readers: Sequence[Reader], args: Args, tracker:
         done = processed | set(scanned) | {r["dedupe_key"] for r in scanned.values()}
         done -= back | {scanned[s]["dedupe_key"] for s in back if s in scanned}
         state.save_processed(base, done)
-    for df in found.held:
+    for df in [every, *found.held]:
         df.unpersist()
     return report

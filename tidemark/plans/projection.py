@@ -5,14 +5,17 @@ Events are partitioned by day, so time cuts prune files; ids make replays harmle
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
-from tidemark.sources.segments import segment_events
+from tidemark.sources.segments import events_of, listed_segments, read_files
 
 COLUMNS = ("event_id", "zone", "source", "source_seq", "timestamp", "correlation_id", "causation_id", "actor_ref", "object_ref", "event_class", "payload_tier", "payload")
+SCHEMA = ", ".join(f"{c} {'long' if c == 'source_seq' else 'timestamp' if c == 'timestamp' else 'string'}" for c in COLUMNS) + ", day date"
 
 
 def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -28,33 +31,54 @@ def _shaped(found: DataFrame) -> DataFrame:
     return found.select(*COLUMNS, F.to_date("timestamp").alias("day"))
 
 
-def ingest(spark: SparkSession, found: DataFrame, root: str) -> int:
-    """Adds events of segments that were not ingested yet; returns how many segments that were."""
-    listed = found.select(F.col("segment_source").alias("source"), F.col("segment_seq").alias("source_seq")).distinct()
-    done = _table(spark, f"{root}/segments", listed)
-    new = ledger.new_segments(listed, done)
-    fresh = found.join(new.select(F.col("source").alias("segment_source"), F.col("source_seq").alias("segment_seq")), ["segment_source", "segment_seq"], "left_semi")
-    shaped = _shaped(fresh)
-    stored = _table(spark, f"{root}/events", shaped)
-    ledger.new_events(shaped, stored).repartition("day").sortWithinPartitions("day", "timestamp").write.mode("append").partitionBy("day").parquet(f"{root}/events")
-    n = new.count()
-    new.write.mode("append").parquet(f"{root}/segments")  # last: a failure before it only means that events are offered again
-    return n
+@dataclass
+class Refresh:
+    """What one refresh did: segments and events added, (source, number, why) of bad segments, names that can't be parsed."""
 
+    segments: int = 0
+    events: int = 0
+    failed: list[tuple[str, int | None, str]] = field(default_factory=list)
+    unnamed: list[str] = field(default_factory=list)
 
-def refresh(spark: SparkSession, segments: str, root: str) -> int:
-    return ingest(spark, segment_events(spark, segments), root)
 
+def ingest(spark: SparkSession, checked: DataFrame, root: str, mode: str = "append") -> Refresh:
+    """Adds the events of checked segment files that were not ingested yet.
 
-def rebuild(spark: SparkSession, segments: str, root: str) -> int:
+    A segment is recorded once its events are stored, also one without any; a bad
+    one is reported, not recorded, and so offered again after its repair.
+    """
+    checked = checked.persist()
+    listed = checked.filter("fault IS NULL").select(F.col("segment_source").alias("source"), F.col("segment_seq").alias("source_seq")).distinct()
+    done = _table(spark, f"{root}/segments", listed) if mode == "append" else listed.limit(0)
+    new = ledger.new_segments(listed, done).persist()
+    fresh = events_of(checked).join(new.select(F.col("source").alias("segment_source"), F.col("source_seq").alias("segment_seq")), ["segment_source", "segment_seq"], "left_semi")
+    shaped = _shaped(fresh)
+    stored = _table(spark, f"{root}/events", shaped) if mode == "append" else shaped.limit(0)
+    added = ledger.new_events(shaped, stored).persist()
+    out = Refresh(new.count(), added.count(), [tuple(r) for r in checked.filter("fault IS NOT NULL").select("segment_source", "segment_seq", "fault").orderBy("segment_source", "segment_seq").collect()])
+    if out.segments or mode == "overwrite":
+        added.repartition("day").sortWithinPartitions("day", "timestamp").write.mode(mode).partitionBy("day").parquet(f"{root}/events")
+        new.write.mode(mode).parquet(f"{root}/segments")  # last: a failure before it only means that events are offered again
+    for df in (added, new, checked):
+        df.unpersist()
+    return out
+
+
+def refresh(spark: SparkSession, segments: str, root: str) -> Refresh:
+    """Reads the segment files that are not in the projection yet, and no others."""
+    listed = listed_segments(spark, segments)
+    named = listed.filter("source IS NOT NULL")
+    done = _table(spark, f"{root}/segments", named.select("source", "source_seq"))
+    out = ingest(spark, read_files(spark, [r["file"] for r in ledger.new_segments(named, done).select("file").collect()]), root)
+    out.unnamed = [r["name"] for r in listed.filter("source IS NULL").select("name").orderBy("name").collect()]
+    return out
+
+
+def rebuild(spark: SparkSession, segments: str, root: str) -> Refresh:
     """Both tables anew from the segments alone."""
-    found = segment_events(spark, segments)
-    listed = found.select(F.col("segment_source").alias("source"), F.col("segment_seq").alias("source_seq")).distinct()
-    shaped = _shaped(found)
-    ledger.new_events(shaped, shaped.limit(0)).repartition("day").sortWithinPartitions("day", "timestamp").write.mode("overwrite").partitionBy("day").parquet(f"{root}/events")
-    listed.write.mode("overwrite").parquet(f"{root}/segments")
-    return listed.count()
+    listed = listed_segments(spark, segments).filter("source IS NOT NULL")
+    return ingest(spark, read_files(spark, [r["file"] for r in listed.select("file").collect()]), root, "overwrite")
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/events")
+    return spark.read.schema(SCHEMA).parquet(f"{root}/events")

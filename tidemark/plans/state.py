@@ -10,10 +10,15 @@ from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import signals
 from tidemark.sources.segments import write_atomic
 
 #: How far back pending sessions reach, and how long the ledger remembers.
-LOOKBACK, RETENTION = timedelta(days=14), timedelta(days=90)
+LOOKBACK, RETENTION = timedelta(days=14), timedelta(days=signals.RETENTION_DAYS)
+LEDGER = "id string, first_seen date, counted boolean, filed boolean, session_modified timestamp"
 
 
 def load_processed(path: Path) -> set[str]:
@@ -33,7 +38,7 @@ def parse_time(text: str) -> datetime | None:
 
 
 def shown_time(at: datetime) -> str:
-    return at.astimezone(UTC).isoformat().replace("+00:00", "Z")
+    return (at if at.tzinfo else at.replace(tzinfo=UTC)).astimezone(UTC).isoformat().replace("+00:00", "Z")
 
 
 def load_pending(path: Path, now: datetime) -> dict[str, datetime]:
@@ -95,11 +100,12 @@ class Ledger:
         if e and modified and (e.modified is None or modified > e.modified):
             e.modified = modified
 
-    def save(self, path: Path, day: date) -> None:
-        flags = lambda e: "c" * e.counted + "f" * e.filed
-        kept = [f"{e.first_seen}\t{flags(e)}\t{shown_time(e.modified) if e.modified else '-'}\t{sid}\n" for sid, e in self.entries.items() if e.first_seen >= day - RETENTION and flags(e)]
-        write_atomic(path, "".join(sorted(kept)))
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(sid, e.first_seen, e.counted, e.filed, e.modified) for sid, e in self.entries.items()], LEDGER)
 
-    def in_window(self, since: datetime) -> list[str]:
-        """Kinds of the counted signals whose session was last seen modified at or after since."""
-        return [sid.split(":", 1)[0] for sid, e in self.entries.items() if e.counted and e.modified and e.modified >= since]
+    def save(self, spark: SparkSession, path: Path, day: date) -> None:
+        """The entries within the retention; the file is small, as one line stands for one signal of its days."""
+        own = self.table(spark)
+        kept = signals.merged_ledger(own, own.limit(0), F.lit(day), RETENTION.days).collect()
+        line = lambda r: f"{r['first_seen']}\t{'c' * r['counted']}{'f' * r['filed']}\t{shown_time(r['session_modified']) if r['session_modified'] else '-'}\t{r['id']}\n"
+        write_atomic(path, "".join(sorted(map(line, kept))))

@@ -61,6 +61,8 @@ class Tracker(Protocol):
 
     def list_open(self) -> Sequence[Issue]: ...
 
+    def is_resolved(self, issue: Issue) -> bool: ...
+
 
 class NoTracker:
     """Gives every signal a reference of its own and keeps nothing."""
@@ -71,10 +73,16 @@ class NoTracker:
     def list_open(self) -> Sequence[Issue]:
         return []
 
+    def is_resolved(self, issue: Issue) -> bool:
+        return False
+
+
+def run_text(command: Sequence[str], timeout: int = 30) -> str:
+    return subprocess.run(command, capture_output=True, text=True, timeout=timeout, check=True).stdout
+
 
 def run_json(command: Sequence[str], timeout: int = 30) -> object:
-    done = subprocess.run(command, capture_output=True, text=True, timeout=timeout, check=True)
-    return json.loads(done.stdout or "null")
+    return json.loads(run_text(command, timeout) or "null")
 
 
 @dataclass
@@ -142,18 +150,21 @@ class CommandTracker:
 
 @dataclass
 class RepositoryTracker:
-    """Issues of a hosted repository, by its command line; titles are compared exactly."""
+    """Issues of a hosted repository, by its command line; titles are compared exactly.
+
+    Listings are JSON; creating prints the new issue's address and nothing else.
+    """
 
     repository: str
     day: str
-    run: Callable[[Sequence[str]], object] = run_json
-    labels: tuple[str, ...] = (PREFIX,)
+    run: Callable[[Sequence[str]], str] = run_text
+    limit: int = 10_000
     _open: list[Issue] | None = field(default=None, repr=False)
 
     def list_open(self) -> list[Issue]:
         if self._open is None:
-            listed = self.run(["gh", "issue", "list", "--repo", self.repository, "--state", "open", "--limit", "1000", "--json", "number,title,url"])
-            self._open = [Issue(f"#{i['number']}", "github", i["title"], i["url"]) for i in listed]
+            listed = self.run(["gh", "issue", "list", "--repo", self.repository, "--state", "open", "--label", PREFIX, "--limit", str(self.limit), "--json", "number,title,url"])
+            self._open = [Issue(f"#{i['number']}", "github", i["title"], i["url"]) for i in json.loads(listed)]
         return self._open
 
     def create(self, kind: str, row: Mapping[str, object]) -> Issue:
@@ -161,8 +172,15 @@ class RepositoryTracker:
         for issue in self.list_open():
             if issue.title == name:
                 return issue
-        labels = [x for label in self.labels for x in ("--label", label)]
-        made = self.run(["gh", "issue", "create", "--repo", self.repository, "--title", name, "--body", body(kind, row, self.day), *labels])
-        issue = Issue(f"#{made['number']}", "github", name, made["url"])
+        url = self.run(["gh", "issue", "create", "--repo", self.repository, "--title", name, "--body", body(kind, row, self.day), "--label", f"{PREFIX},{PREFIX}/{kind}"]).strip()
+        issue = Issue(f"#{url.rsplit('/', 1)[-1]}", "github", name, url)
         self.list_open().append(issue)
         return issue
+
+    def is_resolved(self, issue: Issue) -> bool:
+        """Whether it is closed; an issue that can't be shown counts as open."""
+        try:
+            shown = json.loads(self.run(["gh", "issue", "view", issue.id.lstrip("#"), "--repo", self.repository, "--json", "state"]))
+        except (subprocess.CalledProcessError, ValueError):
+            return False
+        return shown.get("state") == "CLOSED"

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import subprocess
 import urllib.parse
 import urllib.request
-from collections.abc import Callable
-from datetime import UTC, datetime, timedelta
+from collections.abc import Callable, Sequence
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +62,23 @@ class Archive(Reader):
         super().__init__(spark, [])
         self.fetch, self.now = fetch, now or datetime.now(UTC)
         self.cutoff = max(since, self.now - timedelta(days=days))
+        self._sessions: list[dict] | None = None
 
-    def _listed(self) -> list[dict]:
+    def _ended(self, s: dict) -> datetime:
+        return datetime.fromisoformat(s["ended_at"]) if s.get("ended_at") else self.now
+
+    def _open(self) -> list[dict]:
+        """The sessions of the window, listed once."""
+        if self._sessions is None:
+            self._sessions = [s for s in self._all() if self._ended(s) >= self.cutoff]
+        if self.chosen is None:
+            return self._sessions
+        return [s for s in self._sessions if f"archive:{s['id']}" in self.chosen]
+
+    def only(self, paths: Sequence[str]) -> None:
+        self.chosen = list(paths)
+
+    def _all(self) -> list[dict]:
         out: list[dict] = []
         cursor = None
         for _ in range(MAX_PAGES):
@@ -77,11 +93,7 @@ class Archive(Reader):
 
     def sessions(self) -> DataFrame:
         labels = (self.fetch("/machines") or {}).get("machine_labels") or {}
-        rows = []
-        for s in self._listed():
-            ended = datetime.fromisoformat(s["ended_at"]) if s.get("ended_at") else self.now
-            if ended >= self.cutoff:
-                rows.append((s["id"], f"archive:{s['id']}", ended, s.get("agent"), labels.get(s.get("machine"), s.get("machine"))))
+        rows = [(s["id"], f"archive:{s['id']}", self._ended(s), s.get("agent"), labels.get(s.get("machine"), s.get("machine"))) for s in self._open()]
         found = self.spark.createDataFrame(rows, "session_id string, path string, modified timestamp, agent string, machine string")
         return fitted(found.withColumns({"reader": F.lit(self.name), "dedupe_key": X.without_agent(F.col("session_id"))}), base.SESSIONS)
 
@@ -102,22 +114,27 @@ class Archive(Reader):
         raise ValueError(f"session {session_id} has more messages than the page limit allows")
 
     def messages(self) -> DataFrame:
-        rows = [(f"archive:{s['id']}", n, m.get("role"), m.get("content")) for s in self._listed() for n, m in enumerate(self._all_messages(s["id"]))]
+        rows = [(f"archive:{s['id']}", n, m.get("role"), m.get("content")) for s in self._open() for n, m in enumerate(self._all_messages(s["id"]))]
         found = self.spark.createDataFrame(rows, "path string, seq long, role string, said string").filter("role IN ('user', 'assistant')")
         return fitted(found.withColumn("content", F.col("said").cast("variant")), base.MESSAGES)
 
+    def _priced(self) -> list[tuple[str, dict]]:
+        found = [(f"archive:{s['id']}", self.fetch(f"/sessions/{encoded(s['id'])}/usage")) for s in self._open()]
+        return [(path, u) for path, u in found if u and (u.get("has_token_data") or u.get("has_cost"))]
+
     def usage(self) -> DataFrame:
+        """One row a session, with its whole cost; model_costs() splits the same cost by model."""
         rows = []
-        for s in self._listed():
-            u = self.fetch(f"/sessions/{encoded(s['id'])}/usage")
-            if not u or not (u.get("has_token_data") or u.get("has_cost")):
-                continue
+        for path, u in self._priced():
             tokens = sum(b.get("input_tokens") or 0 for b in u.get("breakdown") or [])
-            rows.append((f"archive:{s['id']}", 0, None, (u.get("cost") or {}).get("microdollars") if u.get("has_cost") else None, tokens, u.get("total_output_tokens") or 0, "session"))
-            rows += [(f"archive:{s['id']}", n + 1, b.get("model"), (b.get("cost") or {}).get("microdollars"), 0, 0, "model") for n, b in enumerate(u.get("breakdown") or []) if b.get("has_cost")]
-        found = self.spark.createDataFrame(rows, "path string, seq long, model string, micro long, input_tokens long, output_tokens long, of string")
-        # Model rows split a session's cost; the session's own row carries the sum.
-        return found.withColumn("cost", X.micro_dollars(F.col("micro")))
+            rows.append((path, 0, (u.get("cost") or {}).get("microdollars") if u.get("has_cost") else None, tokens, u.get("total_output_tokens") or 0))
+        found = self.spark.createDataFrame(rows, "path string, seq long, micro long, input_tokens long, output_tokens long")
+        return fitted(found.withColumn("cost", X.micro_dollars(F.col("micro"))), base.USAGE)
+
+    def model_costs(self) -> DataFrame:
+        rows = [(path, b.get("model"), (b.get("cost") or {}).get("microdollars")) for path, u in self._priced() for b in u.get("breakdown") or [] if b.get("has_cost")]
+        found = self.spark.createDataFrame(rows, "path string, model string, micro long")
+        return fitted(found.withColumn("cost", X.micro_dollars(F.col("micro"))), base.MODEL_COSTS)
 
 
 def daily_usage(spark: SparkSession, document: dict) -> DataFrame:
@@ -134,3 +151,19 @@ def daily_usage(spark: SparkSession, document: dict) -> DataFrame:
             rows.append((datetime.strptime(day["date"], "%Y-%m-%d").date(), dim, name, cost))
     found = spark.createDataFrame(rows, "date date, dim string, name string, micro long")
     return found.groupBy("date", "dim", "name").agg(F.sum(X.micro_dollars(F.col("micro"))).alias("cost"))
+
+
+def week_before(day: date) -> tuple[date, date]:
+    """The seven days that end with the day before."""
+    return day - timedelta(days=7), day - timedelta(days=1)
+
+
+def fetch_daily(low: date, high: date, zone: str, command: str = "agentsview", timeout: int = TIMEOUT_S, run: Callable[..., subprocess.CompletedProcess] = subprocess.run) -> dict:
+    """The daily usage report of the archive's command line, days as of the zone."""
+    args = [command, "usage", "daily", "--json", "--breakdown", "--since", str(low), "--until", str(high), "--timezone", zone, "--no-sync"]
+    done = run(args, capture_output=True, text=True, timeout=timeout)
+    if done.returncode:
+        said = [x.strip() for x in done.stderr.splitlines() if x.strip()]
+        told = [x for x in said if x.lower().startswith(("error:", "fatal:"))] or said or [""]
+        raise RuntimeError(f"daily usage, exit {done.returncode}: {told[-1]}")
+    return json.loads(done.stdout)

@@ -8,18 +8,22 @@ them can be made again.
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
+import urllib.parse
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions import content as C
 from tidemark.functions import text as X
@@ -135,16 +139,16 @@ class SegmentStore:
     def path(self, source: str, seq: int) -> Path:
         return self.folder / f"{source}-{seq:06d}.json"
 
-    def listed(self) -> tuple[list[tuple[str, int, Path]], list[str]]:
-        """Segments by source and number, and names that can't be parsed."""
+    def listed(self, source: str | None = None) -> tuple[list[tuple[str, int, Path]], list[str]]:
+        """Segments (of one source, if one is named) by source and number, and names that can't be parsed."""
         found, bad = [], []
-        for p in self.folder.glob("*.json") if self.folder.is_dir() else ():
+        for p in self.folder.glob(f"{glob.escape(source)}-*.json" if source else "*.json") if self.folder.is_dir() else ():
             if CONFLICT_MARK in p.name or p.name.startswith("."):
                 continue
             at = parse_name(p.name)
-            if at:
+            if at and source in (None, at[0]):
                 found.append((*at, p))
-            else:
+            elif not at:
                 bad.append(p.name)
         return sorted(found), sorted(bad)
 
@@ -156,14 +160,14 @@ class SegmentStore:
         if path.exists():
             raise FileExistsError(path)
         publish(path, segment)
-        have = {n for s, n, _ in self.listed()[0] if s == segment["source"]}
+        have = {n for s, n, _ in self.listed(segment["source"])[0]}
         return [n for n in range(max(have - {segment["source_seq"]}, default=0) + 1, segment["source_seq"]) if n not in have]
 
     def read(self, source: str, seq: int) -> dict:
         return read_segment(self.path(source, seq))
 
     def latest(self, source: str) -> int:
-        return max((n for s, n, _ in self.listed()[0] if s == source), default=0)
+        return max((n for _, n, _ in self.listed(source)[0]), default=0)
 
     def gaps(self) -> list[tuple[str, int]]:
         have: dict[str, set[int]] = {}
@@ -197,27 +201,67 @@ class SegmentStore:
         return out
 
 
-EVENT_SCHEMA = (
-    "event_id string, zone string, source string, source_seq decimal(20,0), timestamp string, correlation_id string, causation_id string, "
-    "actor_ref string, object_ref string, event_class string, payload_tier string, payload string"
-)
+def _fault(name: str, text: str) -> str | None:
+    """What keeps a segment file out of the projection."""
+    try:
+        segment = json.loads(text)
+        if not isinstance(segment, dict) or any(f not in segment for f in SEGMENT_FIELDS):
+            return "fields are missing"
+        if file_name(segment) != name:
+            return f"the content is {file_name(segment)}"
+        if not verified(segment):
+            return "checksum mismatch"
+        if any(not 0 <= e["source_seq"] <= MAX_SEQ for e in (segment, *segment["events"])):
+            return "a number beyond the range of a long"
+    except (ValueError, TypeError, KeyError, AttributeError) as e:
+        return f"not a segment: {type(e).__name__}"
+    return None
 
 
-def segment_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events of all segments under a folder, numbers as longs, times as timestamps; one file a row until exploded.
-
-    Segments whose numbers leave the range of a long, or whose content and name
-    differ, are left out; spool.ingest reports them.
-    """
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).filter(~F.col("_metadata.file_name").contains(CONFLICT_MARK))
-    v = F.try_parse_json("value")
-    files = texts.select(F.col("_metadata.file_name").alias("name"), v.alias("v")).filter("v IS NOT NULL")
-    source, seq = C.text_at(F.col("v"), "$.source"), F.try_variant_get("v", "$.source_seq", "long")
-    named = files.select("name", source.alias("segment_source"), seq.alias("segment_seq"), F.explode(C.items(C.at(F.col("v"), "$.events"))).alias("e"))
-    good = named.filter(F.col("name") == X.segment_name(F.col("segment_source"), F.col("segment_seq")))
+@F.pandas_udf(StringType())
+def fault(names: pd.Series, texts: pd.Series) -> pd.Series:
+    """Null for a sealed, well-named segment, else what is wrong with it. The seal is over canonical JSON, which no column expression gives."""
+    return pd.Series([_fault(n, t) for n, t in zip(names, texts, strict=True)], dtype=object)
+
+
+def listed_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """file, name, source, source_seq of the segment files under a folder; none is opened. A name that can't be parsed has no source."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    named = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name")).filter(~F.col("name").contains(CONFLICT_MARK) & ~F.startswith("name", F.lit(".")))
+    part = lambda n: F.nullif(F.regexp_extract("name", r"(?s)^(.*)-(\d+)\.json$", n), F.lit(""))
+    return named.select("file", "name", part(1).alias("source"), part(2).try_cast("long").alias("source_seq"))
+
+
+def checked_files(texts: DataFrame) -> DataFrame:
+    """segment_source, segment_seq, fault, v (the segment as a variant) of files given as name and value."""
+    part = lambda n: F.regexp_extract("name", r"(?s)^(.*)-(\d+)\.json$", n)
+    return texts.select(part(1).alias("segment_source"), part(2).try_cast("long").alias("segment_seq"), F.coalesce(fault("name", "value"), F.when(part(2).try_cast("long").isNull(), "a number beyond the range of a long")).alias("fault"), F.try_parse_json("value").alias("v"))
+
+
+def read_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """checked_files() of these segment files, one file a row."""
+    if not files:
+        return checked_files(spark.createDataFrame([], "name string, value string"))
+    texts = spark.read.option("wholetext", True).text([url_path(f) for f in files])
+    return checked_files(texts.select(F.col("_metadata.file_name").alias("name"), "value"))
+
+
+def url_path(file: str) -> str:
+    """A file's path as a glob that fits only itself."""
+    return re.sub(r"([\[\]{}*?\\,])", r"\\\1", urllib.parse.unquote(file))
+
+
+def events_of(checked: DataFrame) -> DataFrame:
+    """The events of good segments, numbers as longs, times as timestamps, and all columns of a ledger event."""
     e = F.col("e")
+    each = checked.filter("fault IS NULL").select("segment_source", "segment_seq", F.explode(C.items(C.at(F.col("v"), "$.events"))).alias("e"))
     texts_of = [C.text_at(e, f"$.{f}").alias(f) for f in EVENT_FIELDS if f not in ("source_seq", "timestamp", "payload")]
-    return good.select("segment_source", "segment_seq", *texts_of, F.try_variant_get(e, "$.source_seq", "long").alias("source_seq"), X.parsed_time(C.text_at(e, "$.timestamp")).alias("timestamp"), C.compact(C.at(e, "$.payload")).alias("payload")).filter("source_seq IS NOT NULL")
+    return each.select("segment_source", "segment_seq", *texts_of, F.try_variant_get(e, "$.source_seq", "long").alias("source_seq"), X.parsed_time(C.text_at(e, "$.timestamp")).alias("timestamp"), C.compact(C.at(e, "$.payload")).alias("payload"))
+
+
+def segment_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of all good segments under a folder."""
+    return events_of(read_files(spark, [r["file"] for r in listed_segments(spark, folder).select("file").collect()]))
 
 
 def iter_events(store: SegmentStore) -> Iterator[dict]:

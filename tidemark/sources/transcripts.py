@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemark.functions import content as C
 from tidemark.functions import text as X
 from tidemark.operators import windows
 from tidemark.sources import base
-from tidemark.sources.base import Reader, directory, fitted, json_lines, parent, stem, text_lines
+from tidemark.sources.base import Reader, directory, fitted, json_lines, parent, stem
 
 def V() -> Column:
     """A line's JSON value."""
@@ -24,6 +25,11 @@ def flat_messages(rows: DataFrame) -> DataFrame:
     return fitted(rows.select("path", "seq", C.text_at(V(), "$.role").alias("role"), C.at(V(), "$.content").alias("content"), C.text_at(V(), "$.name").alias("name")), base.MESSAGES)
 
 
+def first_of_links(listed: DataFrame) -> DataFrame:
+    """Of files that are one and the same behind links, the one of the smallest rank and path."""
+    return windows.first_rows(listed.withColumn("real", base.canonical("path")), ["real"], ["rank", "path"]).drop("real")
+
+
 def _time(v: Column) -> Column:
     return X.parsed_time(F.coalesce(C.text_at(v, "$.timestamp"), C.text_at(v, "$.ts")))
 
@@ -62,13 +68,10 @@ class SessionFolders(Reader):
 
     name = "amplifier"
 
-    def _lines(self, pattern: str) -> DataFrame:
-        return text_lines(self.spark, self.roots, pattern)
-
     def _files(self) -> DataFrame:
         path = F.col("path")
         rank = F.when(path.rlike("/sessions/[^/]+/transcript[.]jsonl$"), 1).when(path.endswith("/transcript.jsonl"), 0).otherwise(2)
-        listed = self._lines("/transcript[.]jsonl$|/sessions/[^/]+/events[.]jsonl$").select("path", "modified").distinct()
+        listed = self._listed("/transcript[.]jsonl$|/sessions/[^/]+/events[.]jsonl$")
         return windows.first_rows(listed.withColumns({"dir": parent(path), "rank": rank}), ["dir"], ["rank", "path"])
 
     def sessions(self) -> DataFrame:
@@ -98,15 +101,13 @@ class IndexedEvents(Reader):
     name = "context-intelligence"
     FORMAT, MAJOR = "context-intelligence", "1"
     PATTERN = "/sessions/[^/]+/context-intelligence/"
+    pattern = f"{PATTERN}events[.]jsonl$"
 
     def _admitted(self) -> DataFrame:
-        meta = json_lines(text_lines(self.spark, self.roots, f"{self.PATTERN}metadata[.]json$", "metadata.json").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("line")))
+        meta = json_lines(self._lines(f"{self.PATTERN}metadata[.]json$", "metadata.json").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("line")))
         fits = (C.text_at(V(), "$.format") == self.FORMAT) & C.text_at(V(), "$.version").rlike(rf"^{self.MAJOR}\.")
         good = meta.filter(fits).select(parent(F.col("path")).alias("dir"), X.parsed_time(C.text_at(V(), "$.last_event_at")).alias("last"))
-        return self._lines().select("path", "modified").distinct().withColumn("dir", parent(F.col("path"))).join(good, "dir").select("path", F.coalesce("last", "modified").alias("modified"))
-
-    def _lines(self) -> DataFrame:
-        return text_lines(self.spark, self.roots, f"{self.PATTERN}events[.]jsonl$")
+        return self._listed().withColumn("dir", parent(F.col("path"))).join(good, "dir").select("path", F.coalesce("last", "modified").alias("modified"))
 
     def _rows(self) -> DataFrame:
         return json_lines(self._lines()).join(self._admitted().select("path"), "path", "left_semi")
@@ -130,22 +131,20 @@ class WrappedLines(Reader):
     name = "claude-code"
 
     def __init__(self, spark: SparkSession, roots: Sequence[str], profiles: str | None = None, default_seat: str | None = None):
-        super().__init__(spark, roots)
-        self.profiles, self.default_seat = profiles, default_seat
-
-    def _lines(self) -> DataFrame:
-        own = text_lines(self.spark, self.roots, "[.]jsonl$").withColumn("rank", F.lit(0))
-        if not self.profiles:
-            return own
-        held = text_lines(self.spark, [self.profiles], "^.*/[^/]+/projects/.*[.]jsonl$").withColumn("rank", F.lit(1))
-        first = windows.first_rows(own.unionByName(held).select("path", "rank").distinct(), ["path"], ["rank"])
-        return own.unionByName(held).join(first, ["path", "rank"], "left_semi")
+        super().__init__(spark, [*roots, *([f"{profiles}/*/projects"] if profiles else [])])
+        self.own, self.profiles, self.default_seat = list(roots), profiles, default_seat
 
     def sessions(self) -> DataFrame:
-        rank = self._lines().select("path", "rank").distinct()
+        if not self.profiles and len(self.own) < 2:
+            return self._named(self._listed(), stem(F.col("path")), seat=F.lit(self.default_seat))
+        # The roots come first, in order; a file that several reach is read under its first path.
+        parts = [base.listed_files(self.spark, [r], self.pattern).withColumn("rank", F.lit(i)) for i, r in enumerate(sorted(set(self.own)))]
+        if self.profiles:
+            parts.append(base.listed_files(self.spark, [f"{self.profiles}/*/projects"], self.pattern).withColumn("rank", F.lit(len(self.own))))
+        listed = first_of_links(reduce(DataFrame.unionByName, parts))
         profile = F.nullif(F.regexp_extract("path", "([^/]+)/projects/", 1), F.lit(""))
-        listed = self._named(self._lines(), stem(F.col("path"))).drop("seat").join(rank, "path")
-        return fitted(listed.withColumn("seat", F.when(F.col("rank") == 0, F.lit(self.default_seat)).otherwise(profile)), base.SESSIONS)
+        named = self._named(listed, stem(F.col("path"))).drop("seat").join(listed.select("path", "rank"), "path")
+        return fitted(named.withColumn("seat", F.when(F.col("rank") < len(self.own), F.lit(self.default_seat)).otherwise(profile)), base.SESSIONS)
 
     def messages(self) -> DataFrame:
         outer = C.text_at(V(), "$.type")
@@ -159,18 +158,22 @@ class WrappedLines(Reader):
 
 
 class Rollouts(Reader):
-    """Rollout files: response items that are messages of user or assistant."""
+    """Rollout files of the main home and of pool profiles: response items that are messages of user or assistant."""
 
     name = "codex"
+    pattern, names = "/rollout-[^/]*[.]jsonl$", "rollout-*.jsonl"
     TEXTS = ("input_text", "output_text", "text")
 
-    def _lines(self) -> DataFrame:
-        return text_lines(self.spark, self.roots, "/rollout-[^/]*[.]jsonl$", "rollout-*.jsonl")
+    def __init__(self, spark: SparkSession, roots: Sequence[str], profiles: str | None = None):
+        super().__init__(spark, [*roots, *([f"{profiles}/*/sessions"] if profiles else [])])
 
     def sessions(self) -> DataFrame:
         home = F.nullif(F.regexp_extract("path", "([^/]+)/sessions/", 1), F.lit(""))
         own = stem(F.col("path"))
-        return self._named(self._lines(), own, seat=F.when(home == ".codex", "main").otherwise(home), dedupe_key=F.coalesce(X.trailing_uuid(own), own))
+        listed = self._listed()
+        if len(self.roots) > 1:
+            listed = first_of_links(reduce(DataFrame.unionByName, [base.listed_files(self.spark, [r], self.pattern, self.names).withColumn("rank", F.lit(i)) for i, r in enumerate(self.roots)]))
+        return self._named(listed, own, seat=F.when(home == ".codex", "main").otherwise(home), dedupe_key=F.coalesce(X.trailing_uuid(own), own))
 
     def messages(self) -> DataFrame:
         p = C.at(V(), "$.payload")
@@ -196,11 +199,10 @@ class TypedEvents(Reader):
 
     name = "copilot"
 
-    def _lines(self) -> DataFrame:
-        return text_lines(self.spark, self.roots, "/[^/]+/events[.]jsonl$")
+    pattern = "/[^/]+/events[.]jsonl$"
 
     def sessions(self) -> DataFrame:
-        return self._named(self._lines(), directory(F.col("path")))
+        return self._named(self._listed(), directory(F.col("path")))
 
     def messages(self) -> DataFrame:
         kind = C.text_at(V(), "$.type")
@@ -215,14 +217,11 @@ class BranchFiles(Reader):
     name = "pi"
     INPUTS = ("input", "cacheRead", "cacheWrite")
 
-    def _lines(self) -> DataFrame:
-        return text_lines(self.spark, self.roots, "[.]jsonl$")
-
     def _rows(self) -> DataFrame:
         return json_lines(self._lines())
 
     def sessions(self) -> DataFrame:
-        return self._named(self._lines(), X.id_of_stem(stem(F.col("path"))))
+        return self._named(self._listed(), X.id_of_stem(stem(F.col("path"))))
 
     def messages(self) -> DataFrame:
         m = C.at(V(), "$.message")
@@ -282,15 +281,12 @@ class ChatCells(Reader):
         names = F.transform(F.sort_array(F.collect_list(F.when(F.col("group_name").isNotNull(), F.struct((-F.col("priority")).alias("p"), "created_at", "group_name")))), lambda x: x["group_name"])
         return joined.groupBy("agent", "persona", "folder").agg(F.nullif(F.array_join(names, ", "), F.lit("")).alias("channel"))
 
-    def _lines(self) -> DataFrame:
-        return text_lines(self.spark, self.roots, "[.]jsonl$")
-
     def _rows(self) -> DataFrame:
         return json_lines(self._lines())
 
     def sessions(self) -> DataFrame:
         agent = F.regexp_extract("path", "/v2-sessions/([^/]+)/", 1)
-        listed = self._lines().select("path", "modified").distinct().withColumn("agent", F.when(agent != "", agent).otherwise(directory(F.col("path"))))
+        listed = self._listed().withColumn("agent", F.when(agent != "", agent).otherwise(directory(F.col("path"))))
         known = self.agents()
         joined = listed.join(known, "agent", "left")
         mapped = F.col("persona").isNotNull()
@@ -367,15 +363,13 @@ class GenericFiles(Reader):
         self.pattern, self.names, self.id_from, self.header_key = pattern, names, id_from, header_key
         self.name = reader or self.name
 
-    def _lines(self) -> DataFrame:
-        return text_lines(self.spark, self.roots, self.pattern, self.names)
-
     def sessions(self) -> DataFrame:
         path = F.col("path")
         first = json_lines(self._lines().filter((F.col("seq") == 1) & (F.octet_length("line") <= self.HEADER_BYTES)))
-        heads = first.select("path", C.text_at(V(), f"$.{self.header_key}.persona").alias("persona"), C.text_at(V(), f"$.{self.header_key}.channel").alias("channel"))
+        named = [F.nullif(X.trim_all(C.text_at(V(), f"$.{self.header_key}.{k}")), F.lit("")).alias(k) for k in ("persona", "channel")]
+        heads = first.select("path", *named)
         own = directory(path) if self.id_from == "parent" else stem(path)
-        return fitted(self._named(self._lines(), own).drop("persona", "channel").join(heads, "path", "left"), base.SESSIONS)
+        return fitted(self._named(self._listed(), own).drop("persona", "channel").join(heads, "path", "left"), base.SESSIONS)
 
     def messages(self) -> DataFrame:
         return flat_messages(json_lines(self._lines())).filter("role IS NOT NULL")

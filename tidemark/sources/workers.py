@@ -7,14 +7,24 @@ and live panes are tables, so what only a live host can tell is an input.
 from __future__ import annotations
 
 import json
+import logging
+import re
+import subprocess
 import tomllib
+from collections.abc import Callable, Sequence
+from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import content as C
 from tidemark.functions import text as X
+from tidemark.sources import base
+from tidemark.sources.base import Reader, fitted
+from tidemark.sources.transcripts import Rollouts
+
+logger = logging.getLogger(__name__)
 
 RECORDS = ("session_id", "kind", "detail", "at", "path", "seat")
 
@@ -41,6 +51,27 @@ def dispatches(issues: DataFrame) -> DataFrame:
     return out.filter("id IS NOT NULL AND start IS NOT NULL")
 
 
+def candidates(listed: DataFrame, since: Column) -> DataFrame:
+    """Listed issues (as variant v) that can hold evidence: open ones of one harness always, others if one of three times is since then.
+
+    A missing time of the last change keeps an issue; missing times of dispatch and kickoff don't.
+    """
+    v = F.col("v")
+    at = lambda path: X.parsed_time(C.text_at(v, path))
+    harness = C.text_at(v, "$.metadata.dispatch.harness")
+    live = F.coalesce((C.text_at(v, "$.status") == "open") & (harness == "codex"), F.lit(False))
+    recent = F.coalesce(at("$.updated_at") >= since, F.lit(True)) | F.coalesce(at("$.metadata.dispatch.dispatched_at") >= since, F.lit(False)) | F.coalesce(at("$.metadata.kickoff.at") >= since, F.lit(False))
+    return listed.filter((live | recent) & harness.isin("codex", "claude") & C.text_at(v, "$.qualified_id").isNotNull())
+
+
+def pane_owners(listed: DataFrame) -> DataFrame:
+    """host, socket, pane, id and at of every dispatch that is listed."""
+    v, d = F.col("v"), "$.metadata.dispatch"
+    of = lambda name: C.text_at(v, f"{d}.{name}")
+    made = listed.select(of("host").alias("host"), F.coalesce(of("tmux_socket"), F.lit("default")).alias("socket"), pane_number(of("pane")).alias("pane"), of("id").alias("id"), X.parsed_time(of("dispatched_at")).alias("at"))
+    return made.filter("host IS NOT NULL AND pane IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL")
+
+
 def trust_prompts(found: DataFrame, since: Column) -> DataFrame:
     stopped = found.filter("harness = 'codex' AND kickoff_id = id AND kickoff_state = 'failed' AND kickoff_detail LIKE 'dialog:dir-trust:%'")
     timed = stopped.withColumn("at", F.col("kickoff_at")).filter((F.col("at") >= since) & (F.col("at") >= F.col("start")))
@@ -153,3 +184,91 @@ def hook_trusted(config: str, key: str) -> bool:
     except (tomllib.TOMLDecodeError, KeyError, TypeError):
         return False
     return isinstance(entry, str) and entry != ""
+
+
+def tmux_directory(socket: str, pane: str, timeout: int = 15) -> str | None:
+    """The directory of a live pane; None where its server does not answer."""
+    try:
+        done = subprocess.run(["tmux", "-L", socket, "display-message", "-p", "-t", f"%{pane}", "#{pane_current_path}"], capture_output=True, text=True, timeout=timeout)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None
+
+
+class WorkerSignals(Reader):
+    """Evidence about dispatched workers as sessions of one failed tool call each.
+
+    What only the host can tell comes by three functions: run (the tracker's command
+    line, in JSON), probe (socket and pane to directory) and, through Rollouts, files.
+    Evidence that can't be had is left out, with a warning.
+    """
+
+    name = "worker-signals"
+
+    def __init__(self, spark: SparkSession, since: datetime, run: Callable[[Sequence[str]], object], home: str, pool: str, state_dir: str, host: str | None, review: str, zone: str = "UTC", command: str = "kata", probe: Callable[[str, str], str | None] = tmux_directory):
+        super().__init__(spark, [])
+        self.cutoff, self.run, self.home, self.pool, self.state_dir, self.host = since, run, home, Path(pool), Path(state_dir), host
+        self.review, self.zone, self.command, self.probe = review, zone, command, probe
+        self._records: DataFrame | None = None
+
+    def _documents(self, rows: Sequence[object]) -> DataFrame:
+        return self.spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.parse_json("j").alias("v"))
+
+    def _told(self, *args: str) -> dict:
+        try:
+            found = self.run([self.command, *args, "--json"])
+        except Exception as e:  # the tracker being away must not cost the other evidence
+            logger.warning("worker-signals: %s", e)
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    def _trusts(self, seat: str | None) -> bool:
+        home = Path(self.home) if seat in (None, "main", "-") else self.pool / "profiles" / seat
+        key = hook_key(home / "hooks.json")
+        try:
+            return bool(key) and hook_trusted((home / "config.toml").read_text(encoding="utf-8"), key)
+        except OSError:
+            return False
+
+    def _hooks(self, found: DataFrame, listed: DataFrame, since: Column) -> DataFrame | None:
+        if not self.host or not self.state_dir.is_dir():
+            return None
+        # Open dispatches of this host: as many as it has panes.
+        mine = found.filter((F.col("status") == "open") & (F.col("harness") == "codex") & (F.col("host") == self.host)).select("seat", F.coalesce("socket", F.lit("default")).alias("socket"), pane_number(F.col("pane")).alias("pane")).distinct().collect()
+        trusted = [s for s in {r["seat"] for r in mine} if self._trusts(s)]
+        held = found.filter(F.coalesce(F.col("seat").isin([s for s in trusted if s]), F.lit(False)) | (F.col("seat").isNull() & F.lit(None in trusted)))
+        states = self.spark.createDataFrame([(p.name,) for p in self.state_dir.iterdir()], "name string")
+        panes = [(r["socket"], r["pane"], self.probe(r["socket"], r["pane"])) for r in mine if r["pane"]]
+        live = self.spark.createDataFrame([p for p in panes if p[2]], "socket string, pane string, cwd string")
+        rollouts = Rollouts(self.spark, [f"{self.home}/sessions"], str(self.pool / "profiles")).index()
+        return missing_hook_states(held, pane_owners(listed), states, rollouts, live, since, self.host, True)
+
+    def records(self) -> DataFrame:
+        if self._records is None:
+            since = F.lit(self.cutoff)
+            listed = self._documents(self._told("list", "--all", "--status", "all", "--meta", "dispatch", "--limit", "0").get("issues") or [])
+            names = [r["name"] for r in candidates(listed, since).select(C.text_at(F.col("v"), "$.qualified_id").alias("name")).collect()]
+            found = dispatches(self._documents([d for d in (self._told("show", n) for n in names) if d])).persist()
+            log = self.pool / "log" / "allocation.log"
+            lines = self.spark.createDataFrame([(str(log), x) for x in log.read_text(encoding="utf-8").splitlines()] if log.is_file() else [], "path string, line string")
+            profiles = (self.pool / "profiles").is_dir() and any(p.is_dir() for p in (self.pool / "profiles").iterdir())
+            parts = [trust_prompts(found, since), same_model_reviews(found, since, self.review), allocations(lines, since, profiles, self.zone)]
+            hooks = self._hooks(found, listed, since)
+            every = evidence(*parts, *([hooks] if hooks is not None else []))
+            # Records of one issue share its path; a session needs one of its own.
+            self._records = every.withColumn("path", F.concat_ws("#", "path", "session_id")).persist()
+        return self._records
+
+    def only(self, paths: Sequence[str]) -> None:
+        """Nothing to limit: the records are few and held."""
+
+    def sessions(self) -> DataFrame:
+        return fitted(self.records().withColumns({"reader": F.lit(self.name), "modified": F.col("at"), "dedupe_key": F.col("session_id")}), base.SESSIONS)
+
+    def messages(self) -> DataFrame:
+        return fitted(as_messages(self.records()), base.MESSAGES)
+
+
+def short_host(name: str) -> str | None:
+    """A host's name up to its first dot; None where there is none."""
+    return re.split(r"\.", name.strip(), maxsplit=1)[0] or None

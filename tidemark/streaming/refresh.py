@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions import content as C
-from tidemark.functions import text as X
 from tidemark.plans import projection
-from tidemark.sources.segments import CONFLICT_MARK, EVENT_FIELDS
+from tidemark.sources.segments import CONFLICT_MARK, checked_files
+
+logger = logging.getLogger(__name__)
 
 
 def refresh_stream(spark: SparkSession, folder: str, root: str, checkpoint: str) -> StreamingQuery:
-    """New segment files into the projection, each batch once; a replayed batch adds nothing."""
+    """New segment files into the projection, each batch once; a replayed batch adds nothing.
+
+    A bad segment is logged and left to projection.refresh(), which offers it again after its repair.
+    """
     texts = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.col("_metadata.file_name").alias("name")).filter(~F.col("name").contains(CONFLICT_MARK))
-    v = texts.select("name", F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
-    each = v.select("name", C.text_at(F.col("v"), "$.source").alias("segment_source"), F.try_variant_get("v", "$.source_seq", "long").alias("segment_seq"), F.explode(C.items(C.at(F.col("v"), "$.events"))).alias("e"))
-    good = each.filter(F.col("name") == X.segment_name(F.col("segment_source"), F.col("segment_seq")))
-    e = F.col("e")
-    named = [C.text_at(e, f"$.{f}").alias(f) for f in EVENT_FIELDS if f not in ("source_seq", "timestamp", "payload")]
-    events = good.select("segment_source", "segment_seq", *named, F.try_variant_get(e, "$.source_seq", "long").alias("source_seq"), X.parsed_time(C.text_at(e, "$.timestamp")).alias("timestamp"), C.compact(C.at(e, "$.payload")).alias("payload"))
-    return events.writeStream.foreachBatch(lambda df, _: projection.ingest(df.sparkSession, df, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def add(df: DataFrame, _: int) -> None:
+        for source, seq, why in projection.ingest(df.sparkSession, checked_files(df), root).failed:
+            logger.warning("segment %s-%s: %s", source, seq, why)
+
+    return texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def storm_counts(events: DataFrame, kind: str, span: str, slide: str, late: str = "1 hour") -> DataFrame:
