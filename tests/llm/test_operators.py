@@ -177,8 +177,7 @@ def test_sum_of_squares_choice():
 def test_lm(spark, hostile, texts):
     rows = HOSTILE + texts
     df = hostile.unionByName(spark.createDataFrame(texts, "doc_id long, text string")).withColumns({"score": F.lit("clash"), "train": F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2})
-    tree, counts = suffix_tree.fit(df.filter("train").select("text"))
-    found = suffix_tree.score(df.drop("train"), tree, counts).collect()
+    found = suffix_tree.score_texts(df, F.col("train")).drop("train").collect()
     tokens = [SPACED.findall((t or "").translate(FOLD)) + [None] for _, t in rows]
     c = Counter(x for (d, _), ts in zip(rows, tokens) if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for x in ts)
     n, v = sum(c.values()), len(c)
@@ -189,26 +188,6 @@ def test_lm(spark, hostile, texts):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
-def test_tree_is_a_distribution(spark):
-    """In any context the probabilities of all words and of one unseen word sum to one."""
-    df = spark.createDataFrame([("a b c a b c a b d " * 60,), ("c c b a " * 40,)], "text string")
-    tree, _ = suffix_tree.fit(df, min_share=1e-5, min_context_share=1e-4)
-    assert len(tree.levels) == 2 and len(tree.levels[0].contexts)
-    index = {w: int(np.searchsorted(tree.words, np.uint64(suffix_tree.textvec.hash_word(w)))) for w in (b"a", b"b", b"c", b"d")}
-    for past in ([b"a", b"b"], [b"c", b"a"], [b"d", b"d"]):
-        total = 0.0
-        for w in range(len(tree.words)):
-            words = np.array([index[past[0]], index[past[1]], w])
-            states = [suffix_tree._states(tree, words, np.array([0, 3]), d) for d in (1, 2)]
-            total += suffix_tree._probability(tree, words, states)[2]
-        words = np.array([index[past[0]], index[past[1]], -1])
-        states = [suffix_tree._states(tree, words, np.array([0, 3]), d) for d in (1, 2)]
-        total += suffix_tree._probability(tree, words, states)[2] / tree.norm
-        assert abs(total - 1) < 1e-9
-    nothing, counts = suffix_tree.fit(df.filter("false"))
-    assert suffix_tree.score(df.select("text"), nothing, counts).first()["n_known"] == 0
-
-
 def test_licences(hostile, texts, spark):
     said = [
         (1020, "The MIT License. Apache-License! general public\nlicense"),
@@ -437,16 +416,16 @@ def test_sql_twins(spark, name):
 
 
 
-def brute_tree_score(train, text):
-    """log10 of a text under the whole suffix tree, by its definition."""
+def brute_tree(train, depth):
+    """P(word | context) and the states of the suffix tree, by its definition."""
     known = Counter(w for t in train for w in t)
     norm = sum(known.values()) + len(known) + 1
     follow = defaultdict(Counter)
     for t in train:
         for i in range(1, len(t)):
-            for d in range(1, min(i, 8) + 1):
+            for d in range(1, min(i, depth) + 1):
                 follow[tuple(t[i - d : i])][t[i]] += 1
-    states, tested, deepest = {(): None}, {()}, 0
+    states, deepest = {(): None}, 0
 
     def p(w, s):
         if not s:
@@ -461,8 +440,6 @@ def brute_tree_score(train, text):
         n, listed = sum(follow[s].values()), {w: c for w, c in follow[s].items() if c >= suffix_tree.MIN_SUCCESSOR}
         if n < suffix_tree.MIN_CONTEXT or not listed or len(s) > deepest + 1:
             continue
-        assert s[1:] in tested
-        tested.add(s)
         before, left = {w: p(w, s[1:]) for w in listed}, n - sum(listed.values())
         gain = sum(c * math.log(c / n / before[w]) for w, c in listed.items())
         if left:
@@ -470,31 +447,50 @@ def brute_tree_score(train, text):
         if gain > len(listed) * math.log(n) / 2:
             states[s] = (n, n + 1 - sum(listed.values()))
             deepest = len(s)
-    total = 0.0
-    for i, w in enumerate(text):
-        total += math.log10(p(w, next(tuple(text[k:i]) for k in range(i + 1) if tuple(text[k:i]) in states)))
-    return total, max(map(len, states))
-
-
-@pytest.mark.parametrize("share", [(1e-6, 1e-5), (0.01, 0.03)])
-def test_whole_tree(spark, share):
-    """Scores are those of the whole tree, three words deep, however little of it is broadcast."""
-    rng = np.random.default_rng(3)
-    said = []
-    for _ in range(60):
-        w = [f"w{x}" for x in rng.integers(0, 12, 40)]
-        phrases = ["g m t u", "h m t v", "q t y", "x t z"]
-        said.append(" ".join(w + [phrases[x] for x in rng.integers(0, 4, 6)]))
-    texts = [*said[:3], "g m t u new x t z h m t new v", "", "new new q"]
-    split = lambda t: [*t.split(), None]
-    train = [split(t) for t in said]
-    tree, tail = suffix_tree.fit(spark.createDataFrame([(t,) for t in said], "text string").repartition(3), min_share=share[0], min_context_share=share[1])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.score for r in suffix_tree.score(docs, tree, tail).collect()}
-    expected = [brute_tree_score(train, split(t)) for t in texts]
-    assert tree.depth == expected[0][1] > 2
-    for i, (e, _) in enumerate(expected):
-        assert abs(found[i] - e) < 1e-6
+    return p, states
+
+
+def said(rng, n=60):
+    phrases = ["g m t u", "h m t v", "q t y", "x t z"]
+    return [" ".join([f"w{x}" for x in rng.integers(0, 12, 40)] + [phrases[x] for x in rng.integers(0, 4, 6)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("depth", "group", "spread"), [(5, 1_000_000, 2_000_000), (5, 100, 150), (2, 700, 50), (None, 5000, 400), (1, 300, 100)])
+def test_suffix_tree_scores(spark, depth, group, spread):
+    """Scores are those of the tree's definition, however the texts fall into groups and the keys into ranges."""
+    train = said(np.random.default_rng(3))
+    texts = [*train[:3], "g m t u new x t z h m t new v", "", "new new q", None, train[0], " ".join(train[1].split()[::-1])]
+    rows = [(i, t, True) for i, t in enumerate(train)] + [(100 + i, t, False) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    found = {r.doc_id: r.score for r in suffix_tree.score_texts(docs, F.col("train"), max_depth=depth, group_tokens=group, range_tokens=spread).collect()}
+    split = lambda t: [*(t or "").split(), None]
+    p, states = brute_tree([split(t) for t in train], depth or 50)
+    if depth is None:
+        assert 3 < max(map(len, states)) < 50
+    for d, t, _ in rows:
+        words = split(t)
+        assert abs(found[d] - sum(math.log10(p(w, tuple(words[max(0, i - 50) : i]))) for i, w in enumerate(words))) < 1e-6
+
+
+def test_suffix_tree_is_a_distribution():
+    """In any context the probabilities of all words, of the end and of an unseen word sum to one."""
+    train = [[*t.split(), None] for t in said(np.random.default_rng(4), 20)]
+    p, states = brute_tree(train, 4)
+    words = {w for t in train for w in t}
+    for s in list(states)[:: max(1, len(states) // 40)]:
+        assert abs(sum(p(w, s) for w in words) + p("unseen", s) - 1) < 1e-9
+
+
+def test_suffix_tree_without_training(spark):
+    found = suffix_tree.score_texts(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(False)).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in found} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
+
+
+def test_packed_arrays():
+    for x in (np.array([], dtype=np.int64), np.array([3, 1, 2], dtype=np.int64), np.array([True, False]), np.array([0.5, -1e300])):
+        assert (suffix_tree.unpacked(suffix_tree.packed(x), x.dtype) == x).all()
+    keys = np.array([0, 5, 2**64 - 1], dtype=np.uint64)
+    assert (suffix_tree.unpacked_keys(suffix_tree.packed_keys(keys)) == keys).all()
 
 
 def test_quality_small_strata(spark):

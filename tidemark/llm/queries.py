@@ -70,8 +70,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
-    tree, counts = suffix_tree.fit(docs.filter("NOT held_out").select("text"))
-    scored = suffix_tree.score(docs, tree, counts)
+    scored = suffix_tree.score_texts(docs, ~F.col("held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -2,44 +2,48 @@
 
 The root state is the add-one unigram distribution over every word of the
 training texts. States of one word and more hang below it, each under the longest
-of its suffixes that is a state. Every context that occurs MIN_CONTEXT times or
-more is tested; its successors are listed if they follow it MIN_SUCCESSOR times or
-more. Both are fixed numbers, so the tree grows with the corpus. The context
-becomes a state if a divergence test keeps it: with n occurrences and k listed
-successors, n times the Kullback-Leibler divergence of its successors from the
-prediction of the state above must exceed k * ln(n) / 2. Levels are added until
-the test keeps no state of a level. A kept state predicts
+of its suffixes that is a state. Every context of up to max_depth words that occurs
+MIN_CONTEXT times or more is tested; its successors are listed if they follow it
+MIN_SUCCESSOR times or more. Both are fixed numbers, so the tree grows with the
+corpus. The context becomes a state if a divergence test keeps it: with n
+occurrences and k listed successors, n times the Kullback-Leibler divergence of its
+successors from the prediction of the state above must exceed k * ln(n) / 2. Levels
+end where the test keeps no state, or at max_depth. A kept state predicts
 
     P(w | s) = (count(s, w) + b * P(w | parent)) / (n + 1),  b = n + 1 - listed(s)
 
 so all mass that is not listed is smoothed over the parent. A token is scored in
 the longest suffix of its past that is a state.
 
-A successor that a state lists is listed by every state above it, so the logarithm
-of a token's probability is a sum over the runs of words that end at it or before
-it: log(b / (n + 1)) of each state that it follows, and for each listed pair what
-that pair adds to its parent's. Those terms are rows of a written table, keyed by
-the run's hash, and texts are joined with it. The head of the tree (depth 1 and 2,
-shares of MIN_CONTEXT_SHARE and MIN_SHARE or more, so at most 1 / MIN_SHARE
-entries a level) is broadcast instead, only to save rows of that join: the score
-is the same. So is the filter of fixed size that keeps runs which the table does
-not have out of the join; where it is full it lets more of them through.
-
-A token is a word (as of white space in ASCII) with A-Z lower-cased, and one end
-token closes each text. Null texts are empty: one end token. Texts are read
-whole; repeated rows are scored one by one. With no training text every token is
+How it is computed. Texts are read once and written as groups of about
+GROUP_TOKENS tokens, each with a dictionary of its words. A group asks for the
+counts of its distinct runs, one length after the other: it sends each run's key
+and own training count to the key's range, the range sums them, and answers every
+group that asked. So a run costs a group one key, however often it occurs in it,
+and a frequent run costs a range one key a group: no key is hot. A longer run is
+asked only where its beginning is a tested context and its end a listed run; for
+others the answer is known. For the test, each listed pair has one owner among the
+groups; owners sum their pairs by context, the contexts' ranges add the sums up,
+test, and answer with b. At last each group scores its own texts. Keys, counts and
+sums travel as compressed arrays; nothing of the tree is broadcast or collected.
+
+Runs are known by 64-bit hashes. A token is a word (as of white space in ASCII)
+with A-Z lower-cased, and one end token closes each text. Null texts are empty: one
+end token. Texts are read whole, and a group is never smaller than its longest
+text; repeated rows are scored one by one. With no training text every token is
 unknown and the score is the unigram one. An empty table gives an empty result.
+Other columns pass through and columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import gc
-import itertools
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +53,23 @@ from tidemark.llm import textvec
 from tidemark.llm.shared import Scratch, written
 
 #: Occurrences of a context that is tested, and of a successor that is listed, at any size of corpus.
-MIN_CONTEXT = 10
+MIN_CONTEXT = 2
 MIN_SUCCESSOR = 2
-#: Shares of all training tokens from which on contexts and successors are broadcast.
-MIN_SHARE = 1e-6
-MIN_CONTEXT_SHARE = 1e-5
-#: Distinct entries that a counting task holds before it passes them on.
-HELD = 2_000_000
+#: Words in the longest context; None goes on until the test keeps no state of a level.
+MAX_DEPTH = 5
+GROUP_TOKENS = 1_000_000
+#: Tokens of the corpus for each range of keys.
+RANGE_TOKENS = 2_000_000
+#: Partitions of a shuffle; beyond it a task does several groups or ranges, one after the other.
+MAX_PARTITIONS = 20_000
+RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _END = textvec.hash_word(b"\x00end of text\x00")
-_TURN = 23
-_FILTER_BITS = 26
-_BITS = 20  # 1 / MIN_SHARE is under 2**20
-_NONE = -1
+_U = np.uint64
+_CHAIN = _U(0x9E6C63D0876A9A47)
+_TOKENS, _COUNTS, _STATES = -1, 0, 1
+_ROWS = "g long, kind int, length int, part long, data array<binary>"
+_ASKS = "part long, kind int, g long, data array<binary>"
+_ANSWERS = f"{_ROWS}, n long, v long"
 
 
 def closed_words(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -74,382 +83,307 @@ def closed_words(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, edges
 
 
-class Counter:
-    """Counts of 64-bit keys, passed on in sorted runs of bounded size."""
+def packed(x: np.ndarray) -> bytes:
+    """An array's byte planes, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(keys, return_counts=True)
-        self.keys.append(values)
-        self.counts.append(counts)
-        self.size += len(values)
-        if self.size > 2 * HELD:
-            self._merge()
-            if self.size > HELD:
-                yield from self.flush()
+def unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
-    def _merge(self) -> None:
-        if len(self.keys) > 1:
-            keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.keys, self.counts = [keys[first]], [np.add.reduceat(counts, first)]
-            self.size = len(first)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        self._merge()
-        for keys, counts in zip(self.keys, self.counts, strict=True):
-            for k in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000].view(np.int64)), pa.array(counts[k : k + 200_000].astype(np.int64))], names=["key", "c"])
-        self.keys, self.counts, self.size = [], [], 0
+def packed_keys(sorted_keys: np.ndarray) -> bytes:
+    return packed(np.diff(sorted_keys, prepend=_U(0)))
 
 
-def _turned(x: np.ndarray) -> np.ndarray:
-    return x << np.uint64(_TURN) | x >> np.uint64(64 - _TURN)
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
 
 
-def _run_key(context: str, word: str) -> Column:
-    """The hash of a context with a word behind it, as runs() has it."""
-    return F.shiftleft(context, _TURN).bitwiseOR(F.shiftrightunsigned(context, 64 - _TURN)).bitwiseXOR(F.col(word))
+def _by_range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of keys begins among sorted keys, and their end."""
+    of = (keys >> _U(32)) * _U(ranges) >> _U(32)
+    return np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
 
 
-def runs(tokens: np.ndarray, edges: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to longest: the tokens that have such a run up to them within their text, and its hash."""
-    place = np.arange(len(tokens)) - np.repeat(edges[:-1], np.diff(edges))
-    at, key = np.arange(len(tokens)), tokens
-    yield at, key
-    for length in range(2, longest + 1):
-        at = np.flatnonzero(place >= length - 1)
-        before = np.zeros(len(tokens), dtype=np.uint64)
-        before[1:] = key[:-1]
-        key = _turned(before) ^ tokens
-        yield at, key[at]
-
-
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold each key."""
-    at = keys & np.uint64((1 << _FILTER_BITS) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A filter of 2**_FILTER_BITS bits over the column key; at most a row for each 64 of them reaches the driver."""
-    low = F.col("key").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
-    cells = keys.select(F.shiftright(low, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    table = cells.toArrow()
-    bits = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
-    bits[table["at"].to_numpy()] = table["bits"].to_numpy()
-    return bits.view(np.uint64)
-
+@dataclass
+class Runs:
+    """The distinct runs of one length in a group that are asked for."""
 
-def _followed(df: DataFrame, column: str, depth: int, tested: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """context, word and c: how often words follow contexts of this depth that pass the filter, MIN_SUCCESSOR times or more.
+    of: np.ndarray  # of each token: the run that ends with it, or -1
+    keys: np.ndarray
+    order: np.ndarray  # the runs by key
+    context: np.ndarray  # of each run: what stands before its last word, as a run of the length below
+    first: np.ndarray  # a token where it ends
+    trained: np.ndarray  # how often it occurs in the group's training texts
+    count: np.ndarray | None = None  # in all training texts; 0 below MIN_SUCCESSOR, but for single words
+    owned: np.ndarray | None = None
+    rest: np.ndarray | None = None  # b where the run is a state, else -1
 
-    On the way a frequent word goes by its index, which packs better than its hash.
-    """
-    shared = df.sparkSession.sparkContext.broadcast((tested, frequent))
 
-    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        context, word = np.concatenate(held, axis=1)
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-        columns = [context[first].view(np.int64), word[first].view(np.int64), np.diff(np.append(first, len(word)))]
-        for k in range(0, len(first), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in columns], names=["context", "word", "c"])
+@dataclass
+class Group:
+    words: np.ndarray  # sorted hashes
+    ids: np.ndarray  # of each token: its word
+    sizes: np.ndarray  # tokens of each text
+    training: np.ndarray  # whether each text trains
+    runs: list[Runs] = field(default_factory=list)  # by length
+
+    def __post_init__(self) -> None:
+        ends = np.cumsum(self.sizes)
+        self.place = np.arange(len(self.ids)) - np.repeat(ends - self.sizes, self.sizes)
+        self.train = np.repeat(self.training, self.sizes)
+
+    def next_runs(self) -> Runs:
+        """The runs that are one longer than the last."""
+        if not self.runs:
+            return Runs(self.ids, self.words, np.arange(len(self.words)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.bincount(self.ids[self.train], minlength=len(self.words)))
+        last, count = self.runs[-1], self._counts(self.runs[-1])
+        at = np.flatnonzero((self.place[1:] >= len(self.runs)) & (count[:-1] >= MIN_CONTEXT) & (count[1:] >= MIN_SUCCESSOR)) + 1
+        pairs, first, inverse = np.unique(last.of[at - 1] * len(self.words) + self.ids[at], return_index=True, return_inverse=True)
+        of = np.full(len(self.ids), -1, dtype=np.int64)
+        of[at] = inverse
+        context, word = np.divmod(pairs, max(1, len(self.words)))
+        keys = textvec.mix(last.keys[context] * _CHAIN + self.words[word])
+        return Runs(of, keys, np.argsort(keys), context, at[first], np.bincount(inverse[self.train[at]], minlength=len(pairs)))
+
+    @staticmethod
+    def _counts(runs: Runs) -> np.ndarray:
+        """Of each token: the count of the run that ends with it."""
+        return np.where(runs.of >= 0, runs.count[np.maximum(runs.of, 0)], 0) if len(runs.keys) else np.zeros(len(runs.of), dtype=np.int64)
+
+    def followers(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that follow a tested context of this depth, and the context of each."""
+        runs = self.runs[depth - 1]
+        at = np.flatnonzero((self.place[1:] >= depth) & (self._counts(runs)[:-1] >= MIN_CONTEXT)) + 1
+        return at, runs.of[at - 1]
+
+    def contexts(self, depth: int) -> np.ndarray:
+        """The group's tested contexts of this depth, by key."""
+        runs = self.runs[depth - 1]
+        used = np.zeros(len(runs.keys), dtype=bool)
+        used[self.followers(depth)[1]] = True
+        return runs.order[used[runs.order]]
+
+    def probability(self, depth: int, norm: float) -> np.ndarray:
+        """Of each token, in its longest state of at most this depth."""
+        p = (self.runs[0].count[self.ids] + 1) / norm
+        for d in range(1, depth + 1):
+            at, context = self.followers(d)
+            runs, longer = self.runs[d - 1], self.runs[d]
+            state = runs.rest[context] >= 0
+            at, context = at[state], context[state]
+            pair = longer.of[at]
+            count = np.where(pair >= 0, longer.count[np.maximum(pair, 0)], 0) if len(longer.keys) else 0
+            p[at] = (count + runs.rest[context] * p[at]) / (runs.count[context] + 1)
+        return p
+
+    def sums(self, depth: int, norm: float) -> list[np.ndarray]:
+        """By tested context: n, and over the pairs that the group owns k, listed, expected and gain."""
+        before, runs, longer = self.probability(depth - 1, norm), self.runs[depth - 1], self.runs[depth]
+        mine = np.flatnonzero(longer.owned & (longer.count >= MIN_SUCCESSOR))
+        context, c, p = longer.context[mine], longer.count[mine], before[longer.first[mine]]
+        n, size = runs.count[context], len(runs.keys)
+        chosen = self.contexts(depth)
+        of = [np.bincount(context, minlength=size), np.bincount(context, c, size), np.bincount(context, p, size), np.bincount(context, c * np.log(c / n / p), size)]
+        k, listed, expected, gain = (x[chosen] for x in of)
+        return [runs.count[chosen], k.astype(np.int32), listed.astype(np.int64), expected, gain]
+
+
+def _read(table: pa.Table, lengths: int, depths: int) -> Group:
+    """A group from its row of tokens and the rows of answers to it, about runs up to a length and contexts up to a depth."""
+    rows = table.select(["kind", "length", "part", "data"]).to_pylist()
+    (tokens,) = (r["data"] for r in rows if r["kind"] == _TOKENS)
+    group = Group(unpacked_keys(tokens[0]), unpacked(tokens[1], np.uint32).astype(np.int64), unpacked(tokens[2], np.int64), unpacked(tokens[3], np.bool_))
+    answers = sorted((r for r in rows if r["kind"] != _TOKENS), key=lambda r: (r["length"], r["kind"], r["part"]))
+
+    def joined(kind: int, length: int, i: int, dtype: type) -> np.ndarray | None:
+        parts = [unpacked(r["data"][i], dtype) for r in answers if (r["kind"], r["length"]) == (kind, length)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+
+    for length in range(1, lengths + 1):
+        runs = group.next_runs()
+        runs.count, runs.owned = np.zeros(len(runs.keys), dtype=np.int64), np.zeros(len(runs.keys), dtype=bool)
+        runs.count[runs.order], runs.owned[runs.order] = joined(_COUNTS, length, 0, np.int64), joined(_COUNTS, length, 1, np.bool_)
+        group.runs.append(runs)
+    for depth in range(1, depths + 1):
+        runs = group.runs[depth - 1]
+        runs.rest = np.full(len(runs.keys), -1, dtype=np.int64)
+        runs.rest[group.contexts(depth)] = joined(_STATES, depth, 0, np.int64)
+    return group
+
+
+def _groups(df: DataFrame, column: str, kept: list[str], training: Column, group_tokens: int) -> DataFrame:
+    """One row for each group of texts: its words, tokens, sizes, training flags, and the texts' other columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    named = df.select(F.col(f"`{column}`").alias("text"), F.coalesce(training, F.lit(False)).alias("train"), row.alias("row"))
+    schema = T.StructType([*T.StructType.fromDDL(f"{_ROWS}, tokens long").fields, T.StructField("rows", T.ArrayType(named.schema["row"].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tested, frequent), held, size = shared.value, [], 0
+        g = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+
+        def group() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            sizes, flags = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            data = [packed_keys(words), packed(ids.astype(np.uint32)), packed(sizes.astype(np.int64)), packed(flags)]
+            rows = pa.concat_arrays([h[3] for h in held])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array([g]), pa.array([_TOKENS], pa.int32()), pa.array([0], pa.int32()), pa.array([0]), pa.array([data], pa.list_(pa.binary())), pa.array([len(ids)]), lists], names=schema.names)
+
+        size = 0
         for batch in batches:
-            for chunk in textvec.chunks(batch[column]):
+            flags = batch["train"].to_numpy(zero_copy_only=False).astype(bool)
+            for chunk in textvec.chunks(batch["text"]):
                 tokens, edges = closed_words(chunk)
-                *_, (at, key) = runs(tokens, edges, depth)
-                mine = np.flatnonzero((tokens[at] != _END) & _passes(tested, key))
-                after = tokens[at[mine] + 1]
-                index = _find(frequent, after)
-                held.append(np.stack([key[mine], np.where(index >= 0, index.astype(np.uint64), after)]))
-                size += len(mine)
-                if size > HELD:
-                    yield from rows(held)
-                    held, size = [], 0
-        if size:
-            yield from rows(held)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value[1].view(np.int64)
-        for batch in batches:
-            word = batch["word"].to_numpy()
-            short = (word >= 0) & (word < len(frequent))
-            word = np.where(short, frequent[np.where(short, word, 0)], word) if len(frequent) else word
-            yield pa.RecordBatch.from_arrays([batch["context"], pa.array(word), batch["c"]], names=["context", "word", "c"])
-
-    schema = "context long, word long, c long"
-    found = df.select(f"`{column}`").mapInArrow(run, schema)
-    return found.groupBy("context", "word").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_SUCCESSOR).mapInArrow(hashed, schema)
-
-
-def _counted(df: DataFrame, column: str, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """key and c: how often keys_of(tokens, ranges) gives each key over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for batch in batches:
-            for chunk in textvec.chunks(batch[column]):
-                keys = keys_of(*closed_words(chunk))
-                if len(keys):
-                    yield from counter.add(keys)
-        yield from counter.flush()
-
-    return df.select(f"`{column}`").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Level:
-    """States of one depth and their listed successors."""
-
-    contexts: np.ndarray  # sorted keys of the states
-    total: np.ndarray  # occurrences of each
-    rest: np.ndarray  # b of each
-    pairs: np.ndarray  # sorted (state << _BITS | next word)
-    counts: np.ndarray
-
-
-@dataclass
-class Tree:
-    words: np.ndarray  # sorted hashes of frequent words
-    word_counts: np.ndarray
-    tokens: int  # N
-    distinct: int  # V
-    levels: list[Level]  # the broadcast head
-    depth: int = 0  # of the whole tree
-    filter: np.ndarray | None = None  # over the runs in the written table
-
-    @property
-    def norm(self) -> float:
-        return self.tokens + 1 * (self.distinct + 1)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), _NONE, dtype=np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, _NONE)
-
-
-def _states(tree: Tree, words: np.ndarray, edges: np.ndarray, depth: int) -> np.ndarray:
-    """For each token the state of its depth preceding words, or -1.
-
-    Depth 1 states are known by the word's index, depth 2 states by the index of
-    the depth 1 state of the earlier word and the later word.
-    """
-    n = len(words)
-    out = np.full(n, _NONE, dtype=np.int64)
-    level = tree.levels[depth - 1]
-    at = np.arange(depth, n)
-    begin = np.repeat(edges[:-1], np.diff(edges))[depth:]
-    if depth == 1:
-        key = words[:-1]
-        found = _find(level.contexts, key)
-    else:
-        first = _find(tree.levels[0].contexts, words[:-2])
-        second = words[1:-1]
-        key = np.where((first >= 0) & (second >= 0), first << _BITS | np.maximum(second, 0), _NONE)
-        found = _find(level.contexts, key)
-    out[depth:] = np.where(at - depth >= begin, found, _NONE)
-    return out
-
-
-def _probability(tree: Tree, words: np.ndarray, states: list[np.ndarray]) -> np.ndarray:
-    """Probability of each token in its longest state; for a rare word, without its unigram share."""
-    p = np.where(words >= 0, (tree.word_counts[np.maximum(words, 0)] + 1) / tree.norm if len(tree.word_counts) else 1.0, 1.0)
-    for level, state in zip(tree.levels, states, strict=False):
-        inside = np.flatnonzero(state >= 0)
-        s, w = state[inside], words[inside]
-        at = _find(level.pairs, np.where(w >= 0, s << _BITS | np.maximum(w, 0), _NONE))
-        count = np.where(at >= 0, level.counts[np.maximum(at, 0)], 0) if len(level.counts) else 0
-        p[inside] = (count + level.rest[s] * p[inside]) / (level.total[s] + 1)
-    return p
-
-
-def _tested(followed: DataFrame, contexts: DataFrame, above: DataFrame) -> DataFrame:
-    """The listed pairs of all contexts that occur MIN_CONTEXT times, and whether the divergence test keeps the context.
-
-    contexts has context, total and, from depth 2 on, parent; above has parent, word and p = P(word | parent) of all pairs that the level
-    above lists. The result has context, parent, word, c, total, rest, kept, before
-    (the parent's p) and p, which is before where the context is not kept.
+                mine = slice(chunk.first, chunk.first + len(chunk))
+                held.append((tokens, np.diff(edges), flags[mine], batch["row"].slice(chunk.first, len(chunk))))
+                size += len(tokens)
+                if size >= group_tokens:
+                    yield group()
+                    g, size = g + 1, 0
+                    held.clear()
+        if held:
+            yield group()
+
+    return named.mapInArrow(run, schema)
+
+
+def _asking(length: int | None, depth: int | None, lengths: int, depths: int, ranges: int, norm: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """What a group asks: counts of its runs of a length, and whether its contexts of a depth are states."""
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        group, g = _read(table, lengths, depths), key[0].as_py()
+        out: list[tuple] = []
+
+        def send(kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+            edges = _by_range(keys, ranges).tolist()
+            out.extend((kind * ranges + r, kind, g, [packed_keys(keys[a:b]), *(packed(x[a:b]) for x in columns)]) for r, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a)
+
+        if length:
+            runs = group.next_runs()
+            send(_COUNTS, runs.keys[runs.order], [runs.trained[runs.order].astype(np.int64)])
+        if depth:
+            send(_STATES, group.runs[depth - 1].keys[group.contexts(depth)], group.sums(depth, norm))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "kind", "g", "data"])
+
+    return ask
+
+
+def _states(n: np.ndarray, k: np.ndarray, listed: np.ndarray, expected: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """b of each context that the divergence test keeps, -1 of others."""
+    left = n - listed
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gain + np.where(left > 0, left * np.log(left / n / np.maximum(1 - expected, 1e-12)), 0.0)
+    return np.where(gain > k * np.log(n) / 2, left + 1, -1).astype(np.int64)
+
+
+def _answering(length: int | None, depth: int | None) -> Callable[[pa.Table], pa.Table]:
+    """The answers of one range of keys to all groups that asked."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["g"])  # one order of adding, whichever group comes first
+        kind, part = rows[0]["kind"], rows[0]["part"]
+        sizes = []
+        keys = []
+        for r in rows:
+            keys.append(unpacked_keys(r["data"][0]))
+            sizes.append(len(keys[-1]))
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        column = lambda i, dtype: np.concatenate([unpacked(r["data"][i], dtype) for r in rows])
+        if kind == _COUNTS:
+            own = column(1, np.int64)
+            total = np.bincount(of, own, len(distinct)).astype(np.int64)
+            stats = (int(total.sum()), int((total > 0).sum()))
+            having = np.flatnonzero(own)
+            owner = np.zeros(len(of), dtype=bool)
+            owner[having[np.unique(of[having], return_index=True)[1]]] = True
+            told = total if length == 1 else np.where(total >= MIN_SUCCESSOR, total, 0)
+            made = [told[of], owner]
+        else:
+            n = np.zeros(len(distinct), dtype=np.int64)
+            n[of] = column(1, np.int64)  # every group that asks knows it
+            added = [np.bincount(of, column(i, t), len(distinct)) for i, t in ((2, np.int32), (3, np.int64), (4, np.float64), (5, np.float64))]
+            rest = _states(n, *added)
+            stats = (len(distinct), int((rest >= 0).sum()))
+            made = [rest[of]]
+        ends = np.cumsum(sizes).tolist()
+        out = [(r["g"], kind, length if kind == _COUNTS else depth, part, [packed(x[end - size : end]) for x in made], None, None) for r, size, end in zip(rows, sizes, ends, strict=True)]
+        out.append((-1, kind, 0, part, None, *stats))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "kind", "length", "part", "data", "n", "v"])
+
+    return answer
+
+
+def _scoring(kept: list[str], schema: T.StructType, norm: float, n: int, lengths: int, depth: int) -> Callable[[pa.Table], pa.Table]:
+    def score(table: pa.Table) -> pa.Table:
+        group = _read(table, lengths, depth)
+        (rows,) = (x for x in table["rows"].combine_chunks() if x.is_valid)
+        rows = rows.values
+        texts = len(group.sizes)
+        owner = np.repeat(np.arange(texts), group.sizes)
+        count = group.runs[0].count[group.ids]
+        base = np.bincount(owner, np.log10((count + 1) / norm), texts)
+        found = np.bincount(owner, np.log10(group.probability(depth, norm)), texts)
+        known = np.bincount(owner[count > 0], minlength=texts)
+        columns = [*rows.flatten()[: len(kept)], pa.array(group.sizes), pa.array(known.astype(np.int64)), pa.array(np.full(texts, n)), pa.array(base), pa.array(found)]
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    return score
+
+
+def score_texts(df: DataFrame, training: Column, column: str = "text", max_depth: int | None = MAX_DEPTH, group_tokens: int = GROUP_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
+    """df without its text, with n_tokens, n_known, train_tokens, base_score and score (log10).
+
+    The rows where training holds train the tree; all rows are scored with it.
     """
-    pairs = followed.join(contexts, "context").join(above.withColumnRenamed("p", "before"), [c for c in above.columns if c != "p"])
-    c, n = F.col("c"), F.col("total")
-    sums = pairs.groupBy("context", "total").agg(F.count("*").alias("k"), F.sum("c").alias("listed"), F.sum("before").alias("expected"), F.sum(c * F.log(c / n / F.col("before"))).alias("gain"))
-    left = n - F.col("listed")
-    gain = F.col("gain") + F.when(left > 0, left * F.log(left / n / F.greatest(1 - F.col("expected"), F.lit(1e-12)))).otherwise(0.0)
-    kept = sums.select("context", (n + 1 - F.col("listed")).alias("rest"), (gain > F.col("k") * F.log(n) / 2).alias("kept"))
-    p = F.when(F.col("kept"), (c + F.col("rest") * F.col("before")) / (n + 1)).otherwise(F.col("before"))
-    return pairs.join(kept, "context").select("context", *[x for x in contexts.columns if x == "parent"], "word", "c", "total", "rest", "kept", "before", p.alias("p"))
-
-
-def _head(tree: Tree, tested: DataFrame, depth: int, least: float, least_context: float) -> tuple[Level, np.ndarray]:
-    """The broadcast part of a level, and the sorted contexts in it by hash."""
-    top = tested.filter(F.col("total") >= least_context)
-    states = top.select("context", *[x for x in top.columns if x == "parent"], "total", "rest").distinct().toArrow()  # at most 1 / min_context_share rows
-    context = states["context"].to_numpy().view(np.uint64)
-    if depth == 1:
-        key = _find(tree.words, context)
-    else:
-        parent = states["parent"].to_numpy().view(np.uint64)
-        turned = context ^ parent
-        first = _find(tree.words, turned >> np.uint64(_TURN) | turned << np.uint64(64 - _TURN))
-        first, second = np.where(first >= 0, _find(tree.levels[0].contexts, first), _NONE), _find(tree.words, parent)
-        key = np.where((first >= 0) & (second >= 0), first << _BITS | np.maximum(second, 0), _NONE)
-    order = np.flatnonzero(key >= 0)
-    order = order[np.argsort(key[order])]
-    hashes = context[order]
-    by_hash = np.argsort(hashes)
-    listed = top.filter(F.col("c") >= least).select("context", "word", "c").toArrow()  # at most 1 / min_share rows
-    at = _find(hashes[by_hash], listed["context"].to_numpy().view(np.uint64))
-    word = _find(tree.words, listed["word"].to_numpy().view(np.uint64))
-    mine = (at >= 0) & (word >= 0)
-    pairs = (by_hash[at[mine]] << _BITS | word[mine]).astype(np.int64)
-    counts = listed["c"].to_numpy()[mine]
-    sort = np.argsort(pairs)
-    total, rest = states["total"].to_numpy()[order], states["rest"].to_numpy()[order]
-    return Level(key[order], total, rest, pairs[sort], counts[sort]), hashes[by_hash].view(np.int64)
-
-
-def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.toArrow()
-    keys, counts = table["key"].to_numpy(), table["c"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def fit(train: DataFrame, column: str = "text", min_share: float = MIN_SHARE, min_context_share: float = MIN_CONTEXT_SHARE) -> tuple[Tree, DataFrame]:
-    """The tree's head, and the table of all that is not in it.
-
-    The table has key (hash of a word or run as long), base and score (what a
-    rare word, a state or a pair adds to the logarithms) and known (1 for a word).
-    """
-    if min_share * 2**_BITS < 1 or min_context_share < min_share:
-        raise ValueError("min_share must be at least 2**-20 and at most min_context_share")
-    counts = written(_counted(train, column, lambda w, _: w), "words")
-    n, v = counts.select(F.sum("c"), F.count("*")).first()
-    tree = Tree(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), n or 0, v, [])
-    least = (n or 0) * min_share
-    own = F.log10(F.col("c") + 1)
-    rare = counts.filter(F.col("c") < least).select("key", own.alias("base"), own.alias("score"), F.lit(1).alias("known"))
-    if not n:
-        return tree, rare
-    hashes, total = _collect(counts.filter(F.col("c") >= least))  # at most 1 / min_share rows
-    hashes = hashes.view(np.uint64)
-    order = np.argsort(hashes)
-    tree.words, tree.word_counts = hashes[order], total[order]
-    session = train.sparkSession
-
-    above = counts.filter(F.col("c") >= MIN_SUCCESSOR).select(F.col("key").alias("word"), ((F.col("c") + 1) / F.lit(tree.norm)).alias("p"))
-    contexts = counts.filter(F.col("c") >= MIN_CONTEXT).select(F.col("key").alias("context"), F.col("c").alias("total"))
-    end = int(np.array([_END], dtype=np.uint64).view(np.int64)[0])
-    parts = []
-    with Scratch(session) as scratch:
-        for depth in itertools.count(1):
-            followed = scratch.written(_followed(train, column, depth, _filter_of(contexts.select(F.col("context").alias("key"))), tree.words), "followed")
-            tested = scratch.written(_tested(followed, contexts, above), "states")
-            if not tested.filter("kept").limit(1).count():
+    kept = [c for c in df.columns if c not in (column, *RESULT)]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, T.DoubleType() if c.endswith("score") else T.LongType()) for c in RESULT])
+    with Scratch(df.sparkSession) as scratch:
+        groups = scratch.written(_groups(df, column, kept, training, group_tokens), "groups")
+        many, tokens = groups.select(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        partitions = max(1, min(many, MAX_PARTITIONS))
+        ranges = max(4, -(-tokens // range_tokens))
+        answers: list[DataFrame] = []
+        names = [f.name for f in T.StructType.fromDDL(_ROWS).fields]
+
+        def together(extra: tuple[str, ...] = ()) -> DataFrame:
+            every = groups.select(*names, *extra)
+            for a in answers:
+                every = every.unionByName(a.filter("g >= 0").select(*names), allowMissingColumns=True)
+            return every.repartition(partitions, "g").groupBy("g")
+
+        norm, n, lengths, depth, step = 1.0, 0, 0, 0, 1
+        limit = float("inf") if max_depth is None else max_depth
+        while True:
+            # The runs of a length are asked one step before the contexts of which they are pairs.
+            length = step if step <= limit + 1 else None
+            tested = step - 2 if 0 < step - 2 <= limit else None
+            if not length and not tested:
                 break
-            tree.depth = depth
-            above = tested.select(F.col("context").alias("parent"), "word", "p")
-            parent = F.col("word") if depth == 1 else _run_key("parent", "word")
-            contexts = tested.filter((F.col("c") >= MIN_CONTEXT) & (F.col("word") != end)).select(_run_key("context", "word").alias("context"), parent.alias("parent"), F.col("c").alias("total"))
-            kept = tested.filter("kept")
-            inside, below = F.lit(False), F.lit(False)
-            if depth <= 2:
-                level, heads = _head(tree, kept, depth, least, n * min_context_share)
-                tree.levels.append(level)
-                frequent = session.createDataFrame(pa.table({"context": heads, "top": np.ones(len(heads), dtype=bool)}))
-                kept = kept.join(F.broadcast(frequent), "context", "left")
-                inside = F.coalesce("top", F.lit(False))
-                below = inside & (F.col("c") >= least)
-            gone = F.log10(F.col("rest") / (F.col("total") + 1))
-            parts.append(kept.filter(~inside).select(F.col("context").alias("key"), gone.alias("score")).dropDuplicates(["key"]))
-            parts.append(kept.filter(~below).select(_run_key("context", "word").alias("key"), (F.log10("p") - F.log10("before") - gone).alias("score")))
+            asks = together().applyInArrow(_asking(length, tested, lengths, depth, ranges, norm), _ASKS)
+            ranged = asks.repartition(min(2 * ranges if tested else ranges, MAX_PARTITIONS), "part").groupBy("part")
+            made = scratch.written(ranged.applyInArrow(_answering(length, tested), _ANSWERS), "answers")
+            stats = {r["kind"]: r for r in made.filter("g < 0").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+            answers.append(made)
+            lengths = length or lengths
+            if step == 1:
+                n, distinct = (stats[_COUNTS]["n"], stats[_COUNTS]["v"]) if stats else (0, 0)
+                norm = float(n + 1 * (distinct + 1))
+                if not n:
+                    break
             # The context cleaner drops the shuffle files of what is written once nothing refers to it.
+            del asks, ranged
             gc.collect()
-            session._jvm.System.gc()
-        tail = rare
-        for part in parts:
-            tail = tail.union(part.select("key", F.lit(0.0).alias("base"), "score", F.lit(0).alias("known")))
-        tail = written(tail.groupBy("key").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.max("known").alias("known"), F.max(F.col("known") == 0).alias("run")), "tree")
-    tree.filter = _filter_of(tail.filter("run"))
-    while len(tree.levels) < 2:
-        tree.levels.append(Level(*[np.zeros(0, dtype=np.int64)] * 5))
-    return tree, tail
-
-
-_SCORED = T.StructType(
-    [T.StructField("_row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_n", T.LongType()), T.StructField("_asked", T.ArrayType(T.LongType()))]
-)
-
-
-def score(df: DataFrame, tree: Tree, tail: DataFrame, column: str = "text") -> DataFrame:
-    """df without its text, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    named = ("n_tokens", "n_known", "train_tokens", "base_score", "score", *_SCORED.names)
-    kept = [c for c in df.columns if c not in (column, *named)]
-    schema = T.StructType([df.schema[c] for c in kept] + _SCORED.fields)
-    shared = df.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for chunk in textvec.chunks(batch[column]):
-                tokens, edges = closed_words(chunk)
-                words = _find(tree.words, tokens)
-                frequent = words >= 0
-                states = [_states(tree, words, edges, d + 1) for d in range(len(tree.levels))]
-                n = len(chunk)
-                owner = np.repeat(np.arange(n), np.diff(edges))
-                base = np.log10((tree.word_counts[np.maximum(words, 0)] + 1) / tree.norm) if len(tree.words) else np.zeros(len(words))
-                logs = np.log10(_probability(tree, words, states))
-                at, asked = [], []
-                for length, (to, key) in enumerate(runs(tokens, edges, tree.depth + 1), 1):
-                    wanted = _passes(tree.filter, key) if tree.filter is not None else np.zeros(len(key), dtype=bool)
-                    if length == 1:
-                        wanted |= ~frequent
-                    at.append(to[wanted])
-                    asked.append(key[wanted])
-                at, asked = np.concatenate(at), np.concatenate(asked)
-                order = np.argsort(at, kind="stable")
-                asked = asked[order].view(np.int64)
-                cut = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=n))]).astype(np.int32)
-                columns = [
-                    pa.array(row + np.arange(n)),
-                    pa.array(np.diff(edges)),
-                    pa.array(np.bincount(owner[frequent], minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(owner[frequent], weights=base[frequent], minlength=n).astype(np.float64)),
-                    pa.array(np.bincount(owner, weights=logs, minlength=n).astype(np.float64)),
-                    pa.array(np.bincount(owner[~frequent], minlength=n).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(asked)),
-                ]
-                row += n
-                mine = batch.slice(chunk.first, n)
-                yield pa.RecordBatch.from_arrays([mine[c] for c in kept] + columns, names=schema.names)
-
-    first = written(df.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(run, schema), "scored")
-    asked = first.select("_row", F.explode("_asked").alias("key"))
-    # A rare word that training never saw has no row in the table and adds log10(1 / norm) like any with c = 0.
-    answered = asked.join(tail, "key").groupBy("_row").agg(F.sum("base").alias("_more_base"), F.sum("score").alias("_more"), F.sum("known").alias("_found"))
-    both = first.select(*[c for c in schema.names if c != "_asked"]).join(answered, "_row", "left")
-    rare = F.col("_n") * F.lit(float(np.log10(tree.norm)))
-    return both.select(
-        *[f"`{c}`" for c in kept],
-        "n_tokens",
-        (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_more_base", F.lit(0.0)) - rare).alias("base_score"),
-        (F.col("_score") + F.coalesce("_more", F.lit(0.0)) - rare).alias("score"),
-    )
+            df.sparkSession._jvm.System.gc()
+            if tested:
+                if not stats.get(_STATES) or not stats[_STATES]["v"]:
+                    break
+                depth = tested
+            step += 1
+        return written(together(("rows",)).applyInArrow(_scoring(kept, schema, norm, n, lengths, depth), schema), "scored")
