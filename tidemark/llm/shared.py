@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -14,15 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{name}{i or ''}" for i in itertools.count()) if n not in taken)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and used.
+    Only in local mode, where driver and executors are one process, a temporary
+    folder stands in for a setting that is missing; a cluster without it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
     return f"file://{_own_folder[0]}"
@@ -33,13 +42,15 @@ def _new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back.
+    """df written as a Parquet table in the shared folder and read back; the folder goes when the application ends.
 
     Cuts the lineage: a lost executor later costs a read, not the whole stage.
     """
     spark = df.sparkSession
     path = _new_path(spark, name)
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,10 +64,10 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = _new_path(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_: object) -> None:

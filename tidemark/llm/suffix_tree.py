@@ -24,7 +24,8 @@ and a frequent run costs a range one key a group: no key is hot. A longer run is
 asked only where its beginning is a tested context and its end a listed run; for
 others the answer is known. For the test, each listed pair has one owner among the
 groups; owners sum their pairs by context, the contexts' ranges add the sums up,
-test, and answer with b. At last each group scores its own texts. Keys, counts and
+test, and answer with b; a group that sees all of a context's listed pairs judges it
+by itself. At last each group scores its own texts. Keys, counts and
 sums travel as compressed arrays; nothing of the tree is broadcast or collected.
 
 Runs are known by 64-bit hashes. A token is a word (as of white space in ASCII)
@@ -56,7 +57,7 @@ from tidemark.llm.shared import Scratch, written
 MIN_CONTEXT = 2
 MIN_SUCCESSOR = 2
 #: Words in the longest context; None goes on until the test keeps no state of a level.
-MAX_DEPTH = 5
+MAX_DEPTH = 4
 GROUP_TOKENS = 1_000_000
 #: Tokens of the corpus for each range of keys.
 RANGE_TOKENS = 2_000_000
@@ -70,6 +71,8 @@ _TOKENS, _COUNTS, _STATES = -1, 0, 1
 _ROWS = "g long, kind int, length int, part long, data array<binary>"
 _ASKS = "part long, kind int, g long, data array<binary>"
 _ANSWERS = f"{_ROWS}, n long, v long"
+#: The arrays are compressed already.
+_PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
 
 
 def closed_words(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +111,28 @@ def _by_range(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
 
 
+def distinct(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of x (from 0 to below top) in order, where each stands, and the place of each entry among them."""
+    shift = len(x).bit_length()
+    if top.bit_length() + shift < 64:  # value and place fit one number, which sorts fastest
+        both = np.sort(x << shift | np.arange(len(x)))
+        values, order = both >> shift, both & ((1 << shift) - 1)
+    else:
+        order = np.argsort(x, kind="stable")
+        values = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    inverse = np.empty(len(x), dtype=np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], order[new], inverse
+
+
 @dataclass
 class Runs:
     """The distinct runs of one length in a group that are asked for."""
 
-    of: np.ndarray  # of each token: the run that ends with it, or -1
+    at: np.ndarray  # the tokens with which such a run ends
+    run: np.ndarray  # the run of each
     keys: np.ndarray
     order: np.ndarray  # the runs by key
     context: np.ndarray  # of each run: what stands before its last word, as a run of the length below
@@ -130,76 +150,104 @@ class Group:
     sizes: np.ndarray  # tokens of each text
     training: np.ndarray  # whether each text trains
     runs: list[Runs] = field(default_factory=list)  # by length
+    p: np.ndarray | None = None  # of each token: its probability in its longest state so far
 
     def __post_init__(self) -> None:
         ends = np.cumsum(self.sizes)
-        self.place = np.arange(len(self.ids)) - np.repeat(ends - self.sizes, self.sizes)
+        self.place = (np.arange(len(self.ids)) - np.repeat(ends - self.sizes, self.sizes)).astype(np.int32)
         self.train = np.repeat(self.training, self.sizes)
+        self.closing = np.zeros(len(self.ids), dtype=bool)
+        self.closing[ends - 1] = True
+
+    def _spread(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """values by token, -1 elsewhere."""
+        out = np.full(len(self.ids), -1, dtype=np.int32)
+        out[at] = values
+        return out
 
     def next_runs(self) -> Runs:
         """The runs that are one longer than the last."""
+        none = np.zeros(0, dtype=np.int64)
         if not self.runs:
-            return Runs(self.ids, self.words, np.arange(len(self.words)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.bincount(self.ids[self.train], minlength=len(self.words)))
-        last, count = self.runs[-1], self._counts(self.runs[-1])
-        at = np.flatnonzero((self.place[1:] >= len(self.runs)) & (count[:-1] >= MIN_CONTEXT) & (count[1:] >= MIN_SUCCESSOR)) + 1
-        pairs, first, inverse = np.unique(last.of[at - 1] * len(self.words) + self.ids[at], return_index=True, return_inverse=True)
-        of = np.full(len(self.ids), -1, dtype=np.int64)
-        of[at] = inverse
-        context, word = np.divmod(pairs, max(1, len(self.words)))
+            return Runs(np.arange(len(self.ids)), self.ids, self.words, np.arange(len(self.words)), none, none, np.bincount(self.ids[self.train], minlength=len(self.words)))
+        last = self.runs[-1]
+        count = last.count[last.run]
+        tested = count >= MIN_CONTEXT
+        before = self._spread(last.at[tested], last.run[tested])
+        at = last.at[count >= MIN_SUCCESSOR]
+        at = at[self.place[at] >= len(self.runs)]
+        context = before[at - 1]
+        at, context = at[context >= 0], context[context >= 0]
+        size = max(1, len(self.words))
+        pairs, first, run = distinct(context.astype(np.int64) * size + self.ids[at], len(last.keys) * size)
+        context, word = np.divmod(pairs, size)
         keys = textvec.mix(last.keys[context] * _CHAIN + self.words[word])
-        return Runs(of, keys, np.argsort(keys), context, at[first], np.bincount(inverse[self.train[at]], minlength=len(pairs)))
-
-    @staticmethod
-    def _counts(runs: Runs) -> np.ndarray:
-        """Of each token: the count of the run that ends with it."""
-        return np.where(runs.of >= 0, runs.count[np.maximum(runs.of, 0)], 0) if len(runs.keys) else np.zeros(len(runs.of), dtype=np.int64)
+        return Runs(at, run, keys, np.argsort(keys), context, at[first], np.bincount(run[self.train[at]], minlength=len(pairs)))
 
     def followers(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The tokens that follow a tested context of this depth, and the context of each."""
         runs = self.runs[depth - 1]
-        at = np.flatnonzero((self.place[1:] >= depth) & (self._counts(runs)[:-1] >= MIN_CONTEXT)) + 1
-        return at, runs.of[at - 1]
+        mine = (runs.count[runs.run] >= MIN_CONTEXT) & ~self.closing[runs.at]
+        return runs.at[mine] + 1, runs.run[mine]
 
-    def contexts(self, depth: int) -> np.ndarray:
-        """The group's tested contexts of this depth, by key."""
-        runs = self.runs[depth - 1]
+    def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(asked, settled, pair): contexts to ask for, by key; others that the group can judge itself, and their listed pair or -1.
+
+        Where the pairs that the group sees leave too few occurrences for another
+        listed one, it knows all that the test needs. Such contexts of one listed pair
+        at most are judged here, by the same sums; owners send theirs all the same.
+        """
+        runs, longer = self.runs[depth - 1], self.runs[depth]
         used = np.zeros(len(runs.keys), dtype=bool)
         used[self.followers(depth)[1]] = True
-        return runs.order[used[runs.order]]
-
-    def probability(self, depth: int, norm: float) -> np.ndarray:
-        """Of each token, in its longest state of at most this depth."""
-        p = (self.runs[0].count[self.ids] + 1) / norm
-        for d in range(1, depth + 1):
-            at, context = self.followers(d)
-            runs, longer = self.runs[d - 1], self.runs[d]
-            state = runs.rest[context] >= 0
-            at, context = at[state], context[state]
-            pair = longer.of[at]
-            count = np.where(pair >= 0, longer.count[np.maximum(pair, 0)], 0) if len(longer.keys) else 0
-            p[at] = (count + runs.rest[context] * p[at]) / (runs.count[context] + 1)
-        return p
-
-    def sums(self, depth: int, norm: float) -> list[np.ndarray]:
-        """By tested context: n, and over the pairs that the group owns k, listed, expected and gain."""
-        before, runs, longer = self.probability(depth - 1, norm), self.runs[depth - 1], self.runs[depth]
+        listed = np.flatnonzero(longer.count >= MIN_SUCCESSOR)
+        seen = np.bincount(longer.context, np.maximum(longer.count, longer.trained > 0), len(runs.keys))
+        many = np.bincount(longer.context[listed], minlength=len(runs.keys))
+        owning = np.zeros(len(runs.keys), dtype=bool)
+        owning[longer.context[listed[longer.owned[listed]]]] = True
+        clear = (runs.count - seen < MIN_SUCCESSOR) & (many <= 1) & ~owning
+        asked = used & ~clear
+        settled = np.flatnonzero(used & clear)
+        pair = np.full(len(runs.keys), -1, dtype=np.int64)
+        pair[longer.context[listed]] = listed
+        return runs.order[asked[runs.order]], settled, pair[settled]
+
+    def learn(self, depth: int, told: np.ndarray) -> None:
+        """Takes the answers about the contexts of a depth, judges the settled ones, and moves p down to that depth."""
+        runs, longer = self.runs[depth - 1], self.runs[depth]
+        runs.rest = np.full(len(runs.keys), -1, dtype=np.int64)
+        asked, settled, pair = self.contexts(depth)
+        runs.rest[asked] = told
+        settled, pair = settled[pair >= 0], pair[pair >= 0]
+        n, c, p = runs.count[settled], longer.count[pair], self.p[longer.first[pair]]
+        runs.rest[settled] = _states(n, np.ones(len(n), dtype=np.int64), c, p, c * np.log(c / n / p))
+        at, context = self.followers(depth)
+        state = runs.rest[context] >= 0
+        at, context = at[state], context[state]
+        pair = self._spread(longer.at, longer.run)[at]
+        count = np.where(pair >= 0, longer.count[np.maximum(pair, 0)], 0) if len(longer.keys) else 0
+        self.p[at] = (count + runs.rest[context] * self.p[at]) / (runs.count[context] + 1)
+
+    def sums(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The contexts to ask for, and by context over the pairs that the group owns n, k, listed, expected and gain."""
+        runs, longer = self.runs[depth - 1], self.runs[depth]
         mine = np.flatnonzero(longer.owned & (longer.count >= MIN_SUCCESSOR))
-        context, c, p = longer.context[mine], longer.count[mine], before[longer.first[mine]]
+        context, c, p = longer.context[mine], longer.count[mine], self.p[longer.first[mine]]
         n, size = runs.count[context], len(runs.keys)
-        chosen = self.contexts(depth)
+        chosen = self.contexts(depth)[0]
         of = [np.bincount(context, minlength=size), np.bincount(context, c, size), np.bincount(context, p, size), np.bincount(context, c * np.log(c / n / p), size)]
         k, listed, expected, gain = (x[chosen] for x in of)
-        return [runs.count[chosen], k.astype(np.int32), listed.astype(np.int64), expected, gain]
+        return chosen, [np.where(k > 0, runs.count[chosen], 0), k.astype(np.int32), listed.astype(np.int64), expected, gain]
 
 
-def _read(table: pa.Table, lengths: int, depths: int) -> Group:
+def _read(table: pa.Table, lengths: int, depths: int, norm: float) -> Group:
     """A group from its row of tokens and the rows of answers to it, about runs up to a length and contexts up to a depth."""
     rows = table.select(["kind", "length", "part", "data"]).to_pylist()
     (tokens,) = (r["data"] for r in rows if r["kind"] == _TOKENS)
-    group = Group(unpacked_keys(tokens[0]), unpacked(tokens[1], np.uint32).astype(np.int64), unpacked(tokens[2], np.int64), unpacked(tokens[3], np.bool_))
+    group = Group(unpacked_keys(tokens[0]), unpacked(tokens[1], np.uint32).astype(np.int32), unpacked(tokens[2], np.int64), unpacked(tokens[3], np.bool_))
     answers = sorted((r for r in rows if r["kind"] != _TOKENS), key=lambda r: (r["length"], r["kind"], r["part"]))
 
-    def joined(kind: int, length: int, i: int, dtype: type) -> np.ndarray | None:
+    def joined(kind: int, length: int, i: int, dtype: type) -> np.ndarray:
         parts = [unpacked(r["data"][i], dtype) for r in answers if (r["kind"], r["length"]) == (kind, length)]
         return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
 
@@ -208,10 +256,10 @@ def _read(table: pa.Table, lengths: int, depths: int) -> Group:
         runs.count, runs.owned = np.zeros(len(runs.keys), dtype=np.int64), np.zeros(len(runs.keys), dtype=bool)
         runs.count[runs.order], runs.owned[runs.order] = joined(_COUNTS, length, 0, np.int64), joined(_COUNTS, length, 1, np.bool_)
         group.runs.append(runs)
+    if lengths:
+        group.p = (group.runs[0].count[group.ids] + 1) / norm
     for depth in range(1, depths + 1):
-        runs = group.runs[depth - 1]
-        runs.rest = np.full(len(runs.keys), -1, dtype=np.int64)
-        runs.rest[group.contexts(depth)] = joined(_STATES, depth, 0, np.int64)
+        group.learn(depth, joined(_STATES, depth, 0, np.int64))
     return group
 
 
@@ -255,7 +303,7 @@ def _asking(length: int | None, depth: int | None, lengths: int, depths: int, ra
     """What a group asks: counts of its runs of a length, and whether its contexts of a depth are states."""
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        group, g = _read(table, lengths, depths), key[0].as_py()
+        group, g = _read(table, lengths, depths, norm), key[0].as_py()
         out: list[tuple] = []
 
         def send(kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
@@ -266,7 +314,8 @@ def _asking(length: int | None, depth: int | None, lengths: int, depths: int, ra
             runs = group.next_runs()
             send(_COUNTS, runs.keys[runs.order], [runs.trained[runs.order].astype(np.int64)])
         if depth:
-            send(_STATES, group.runs[depth - 1].keys[group.contexts(depth)], group.sums(depth, norm))
+            asked, sums = group.sums(depth)
+            send(_STATES, group.runs[depth - 1].keys[asked], sums)
         columns = list(zip(*out, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "kind", "g", "data"])
@@ -279,7 +328,7 @@ def _states(n: np.ndarray, k: np.ndarray, listed: np.ndarray, expected: np.ndarr
     left = n - listed
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gain + np.where(left > 0, left * np.log(left / n / np.maximum(1 - expected, 1e-12)), 0.0)
-    return np.where(gain > k * np.log(n) / 2, left + 1, -1).astype(np.int64)
+        return np.where(gain > k * np.log(n) / 2, left + 1, -1).astype(np.int64)
 
 
 def _answering(length: int | None, depth: int | None) -> Callable[[pa.Table], pa.Table]:
@@ -293,23 +342,29 @@ def _answering(length: int | None, depth: int | None) -> Callable[[pa.Table], pa
         for r in rows:
             keys.append(unpacked_keys(r["data"][0]))
             sizes.append(len(keys[-1]))
-        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        column = lambda i, dtype: np.concatenate([unpacked(r["data"][i], dtype) for r in rows])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")  # of each key, the groups in order
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = np.diff(keys[order]) != 0
+        starts = np.flatnonzero(new)
+        of = np.empty(len(keys), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
+        column = lambda i, dtype: np.concatenate([unpacked(r["data"][i], dtype) for r in rows])[order]
         if kind == _COUNTS:
             own = column(1, np.int64)
-            total = np.bincount(of, own, len(distinct)).astype(np.int64)
+            total = np.add.reduceat(own, starts)
             stats = (int(total.sum()), int((total > 0).sum()))
             having = np.flatnonzero(own)
-            owner = np.zeros(len(of), dtype=bool)
-            owner[having[np.unique(of[having], return_index=True)[1]]] = True
+            run = of[order[having]]
+            owner = np.zeros(len(keys), dtype=bool)
+            owner[order[having[np.flatnonzero(np.diff(run, prepend=-1))]]] = True
             told = total if length == 1 else np.where(total >= MIN_SUCCESSOR, total, 0)
             made = [told[of], owner]
         else:
-            n = np.zeros(len(distinct), dtype=np.int64)
-            n[of] = column(1, np.int64)  # every group that asks knows it
-            added = [np.bincount(of, column(i, t), len(distinct)) for i, t in ((2, np.int32), (3, np.int64), (4, np.float64), (5, np.float64))]
+            n = np.maximum.reduceat(column(1, np.int64), starts)  # owners know it, others send 0
+            added = [np.add.reduceat(column(i, t), starts) for i, t in ((2, np.int32), (3, np.int64), (4, np.float64), (5, np.float64))]
             rest = _states(n, *added)
-            stats = (len(distinct), int((rest >= 0).sum()))
+            stats = (len(starts), int((rest >= 0).sum()))
             made = [rest[of]]
         ends = np.cumsum(sizes).tolist()
         out = [(r["g"], kind, length if kind == _COUNTS else depth, part, [packed(x[end - size : end]) for x in made], None, None) for r, size, end in zip(rows, sizes, ends, strict=True)]
@@ -322,14 +377,14 @@ def _answering(length: int | None, depth: int | None) -> Callable[[pa.Table], pa
 
 def _scoring(kept: list[str], schema: T.StructType, norm: float, n: int, lengths: int, depth: int) -> Callable[[pa.Table], pa.Table]:
     def score(table: pa.Table) -> pa.Table:
-        group = _read(table, lengths, depth)
+        group = _read(table, lengths, depth, norm)
         (rows,) = (x for x in table["rows"].combine_chunks() if x.is_valid)
         rows = rows.values
         texts = len(group.sizes)
         owner = np.repeat(np.arange(texts), group.sizes)
         count = group.runs[0].count[group.ids]
         base = np.bincount(owner, np.log10((count + 1) / norm), texts)
-        found = np.bincount(owner, np.log10(group.probability(depth, norm)), texts)
+        found = np.bincount(owner, np.log10(group.p), texts)
         known = np.bincount(owner[count > 0], minlength=texts)
         columns = [*rows.flatten()[: len(kept)], pa.array(group.sizes), pa.array(known.astype(np.int64)), pa.array(np.full(texts, n)), pa.array(base), pa.array(found)]
         return pa.Table.from_arrays(columns, names=schema.names)
@@ -345,7 +400,7 @@ def score_texts(df: DataFrame, training: Column, column: str = "text", max_depth
     kept = [c for c in df.columns if c not in (column, *RESULT)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, T.DoubleType() if c.endswith("score") else T.LongType()) for c in RESULT])
     with Scratch(df.sparkSession) as scratch:
-        groups = scratch.written(_groups(df, column, kept, training, group_tokens), "groups")
+        groups = scratch.written(_groups(df, column, kept, training, group_tokens), "groups", **_PLAIN)
         many, tokens = groups.select(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         partitions = max(1, min(many, MAX_PARTITIONS))
         ranges = max(4, -(-tokens // range_tokens))
@@ -368,7 +423,7 @@ def score_texts(df: DataFrame, training: Column, column: str = "text", max_depth
                 break
             asks = together().applyInArrow(_asking(length, tested, lengths, depth, ranges, norm), _ASKS)
             ranged = asks.repartition(min(2 * ranges if tested else ranges, MAX_PARTITIONS), "part").groupBy("part")
-            made = scratch.written(ranged.applyInArrow(_answering(length, tested), _ANSWERS), "answers")
+            made = scratch.written(ranged.applyInArrow(_answering(length, tested), _ANSWERS), "answers", **_PLAIN)
             stats = {r["kind"]: r for r in made.filter("g < 0").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
             answers.append(made)
             lengths = length or lengths
