@@ -58,7 +58,7 @@ MIN_CONTEXT = 2
 MIN_SUCCESSOR = 2
 #: Words in the longest context; None goes on until the test keeps no state of a level.
 MAX_DEPTH = 4
-GROUP_TOKENS = 1_000_000
+GROUP_TOKENS = 2_000_000
 #: Tokens of the corpus for each range of keys.
 RANGE_TOKENS = 2_000_000
 #: Partitions of a shuffle; beyond it a task does several groups or ranges, one after the other.
