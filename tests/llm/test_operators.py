@@ -1,5 +1,6 @@
 """The operators against brute force on whole small tables and on hostile ones."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -101,6 +102,7 @@ def test_jaccard_blocks(spark, monkeypatch):
 def test_set_keys_meet():
     """Sets at the threshold share a key, at every size."""
     rng = np.random.default_rng(2)
+    rank = rng.integers(0, 4, 1 << jaccard_join.CELL_BITS).astype(np.uint8)
     for plan in (jaccard_join.Plan(3, 90, 100), jaccard_join.Plan(5, 80, 100)):
         for n in [*range(1, 60), 100, 333, 1000]:
             for _ in range(5):
@@ -112,14 +114,35 @@ def test_set_keys_meet():
                 keys = []
                 for s in (a, b):
                     s = np.sort(s)
-                    keys.append({(k, x) for k in plan.classes_of(n) for x in jaccard_join.set_keys(plan, k, s, np.ones(n, dtype=np.int64)).tolist()})
+                    keys.append({(k, x) for k in plan.classes_of(n) for x in jaccard_join.set_keys(plan, k, s, rank).tolist()})
                 assert keys[0] & keys[1], (plan, n)
 
 
-def test_without_ids(spark):
-    df = spark.createDataFrame([(i, str(i)) for i in range(50)] + [(None, "n")], "doc_id long, text string")
-    left = jaccard_join.without_ids(df, df.filter("doc_id % 3 = 0").select("doc_id"), "doc_id")
-    assert sorted(r[1] for r in left.collect()) == sorted([str(i) for i in range(50) if i % 3] + ["n"])
+def test_without_rows(spark):
+    rows = [(i, str(i)) for i in range(50)] + [(None, "n"), (7, "7"), (7, "7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")
+    keys = lambda where: df.filter(where).select(one.alias("one"), two.alias("two")).distinct()
+    gone, again = keys("doc_id % 3 = 0"), keys("doc_id = 7")
+    assert sorted(r[1] for r in jaccard_join.without_rows(df, one, two, gone).collect()) == sorted([str(i) for i in range(50) if i % 3] + ["n", "7", "7"])
+    assert sorted(r[1] for r in jaccard_join.without_rows(df, one, two, gone, again).collect()) == sorted([str(i) for i in range(50) if i % 3] + ["n"])
+
+
+def test_keep_one(spark):
+    a, b, near = "p q r s t u v w", "a b c d e f g", "p q r s t u v w x"
+    rows = [(1, a, "m"), (2, a, "n"), (2, b, "o"), (3, a, "p"), (3, a, "p"), (5, near, "q"), (None, b, "r"), (None, "z z z", "s"), (None, "Z z  z", "t"), (9, "", "u"), (9, "", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n string").repartition(3)
+    kept = [tuple(r) for r in jaccard_join.keep_one(df, words=5, num=80, den=100).collect()]
+    alone = [r for r in kept if r[2] in ("s", "t")]
+    assert len(alone) == 1 and sorted((r for r in kept if r not in alone), key=str) == sorted([(1, a, "m"), (2, b, "o"), (9, "", "u"), (9, "", "u")], key=str)
+
+
+def test_jaccard_keeps_any_column(spark):
+    df = spark.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, v string")
+    names = ["_n", "_node", "_check", "_sketches", "node", "row", "id", "root", "common"]
+    df = df.select("doc_id", "text", *[F.col("v").alias(n) for n in names], F.create_map("v", "v").alias("m"))
+    found = jaccard_join.jaccard_components(df)
+    assert found.columns == ["doc_id", *names, "m", "n_shingles", "component_id"] and found.first()["m"] == {"x": "x"}
 
 
 def test_packing(spark, hostile, texts):
@@ -148,11 +171,21 @@ def test_packing(spark, hostile, texts):
     assert least <= len(by) <= least + 1
 
 
-def test_packing_in_parts(spark):
-    df = spark.range(1000).select((F.col("id") % 97 + 1).alias("length"), "id")
-    found = packing.pack(df, capacity=100, part_pieces=100).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
-    total = sum(i % 97 + 1 for i in range(1000))
-    assert sum(r.n for r in found) == total and max(r.n for r in found) <= 100 and len(found) <= total / 100 + 25
+@pytest.mark.parametrize("parts", [1, 2, 8, 32])
+def test_packing_in_parts(spark, parts):
+    """Even parts of 200 pieces that nearly fill a sequence each waste little; places have no gap."""
+    df = spark.range(6400).select((F.col("id") % 97 + 1).alias("length"), "id", F.create_map(F.lit("k"), "id").alias("m"), F.lit("clash").alias("_sequence"))
+    found = packing.pack(df, capacity=100, part_pieces=6400 // parts).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r.sequence_id].append((r.offset, r.length))
+    total = sum(i % 97 + 1 for i in range(6400))
+    assert sum(r.length for r in found) == total and len({r.id for r in found}) == 6400 and found[0].m == {"k": found[0].id}
+    for places in by.values():
+        ends = [a + n for a, n in sorted(places)]
+        assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 100
+    print(f"{parts} parts: {len(by)} sequences, bound {-(-total // 100)}")
+    assert len(by) <= -(-total // 100) + 2 if parts == 1 else len(by) <= 1.05 * total / 100
 
 
 def test_sum_of_squares_choice():
@@ -216,6 +249,31 @@ def test_expressions():
     assert p("(MIT OR ISC) AND GPL-2.0+ WITH x") == ["MIT", "ISC", "or", "GPL-2.0+", "x", "with", "and"]
     assert p("MIT text behind it") == ["MIT"]
     assert p("MIT AND") is None and p("(MIT") is None and p("") is None
+    of = lambda text: licenses.evaluate(p(text))
+    assert of("MIT AND GPL-2.0").required == {"mit", "gpl"} and of("MIT OR GPL-2.0").required == set() and of("MIT OR GPL-2.0").named == {"mit", "gpl"}
+    assert of("MIT OR MIT AND GPL-2.0").required == {"mit"} and of("(MIT OR MIT) AND GPL-2.0").required == {"mit", "gpl"}
+    assert of("Python-2.0 OR Artistic-2.0").named == {"python-2.0", "artistic-2.0"} and of("MIT OR (BSD-3-Clause AND Zlib)").named == {"mit", "bsd", "zlib"}
+    assert of("GPL-2.0+ WITH Classpath-exception-2.0 AND MIT") == ({"gpl", "mit"}, {"gpl", "mit"}, {"classpath-exception-2.0"}) and of("see") == (set(), set(), set())
+
+
+def test_expressions_against_all_choices():
+    """What is named and required, against the written-out sets of choices of random expressions."""
+    rng = np.random.default_rng(8)
+    names = ["MIT", "ISC", "MPL-2.0", "Zlib", "X-1"]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            name = names[rng.integers(len(names))]
+            return name, {frozenset([licenses.label_of(name)])}
+        (a, x), (b, y) = make(depth - 1), make(depth - 1)
+        if rng.random() < 0.5:
+            return f"({a}) AND ({b})", {i | j for i in x for j in y}
+        return f"({a}) OR ({b})", x | y
+
+    for _ in range(200):
+        text, choices = make(4)
+        found = licenses.evaluate(licenses.parse_expression(text))
+        assert found.named == frozenset().union(*choices) and found.required == frozenset.intersection(*choices)
 
 
 def test_quality_counts(hostile, texts, spark):
@@ -280,6 +338,15 @@ def test_decontamination(spark, hostile, texts, max_windows):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in found.collect()), key=str) == sorted(expected, key=str)
 
 
+def test_benchmark_slices(spark):
+    """One long item and a window of many items are cut into slices of pairs; results stay."""
+    words = [f"w{i}" for i in range(900)]
+    items = [("long", " ".join(words))] + [(f"s{i}", "a b c d e f g h i j") for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(words[100:130])), (2, "x a b c d e f g h i j x"), (3, "w1 w3")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), max_windows=200).collect()}
+    assert (found[1].n_hit, found[1]["items"]) == (30, ["long"]) and (found[2].n_hit, found[2].n_items) == (10, 300) and not found[3].contaminated
+
+
 def test_decontamination_without_items(hostile, spark):
     found = decontam.contamination(hostile, spark.createDataFrame([], "item_id long, text string"))
     assert found.filter("contaminated").count() == 0 and found.count() == len(HOSTILE)
@@ -301,19 +368,44 @@ def test_urls(spark):
         best = max(fits, key=lambda r: len(r.name), default=None)
         return host, path, best and best.name, best.verdict if best else "allow"
 
-    for limit in (url_filters.MAX_TRIE_RULES, 0):  # the trie, and the join beyond its bound
-        found = url_filters.filter_urls(df, queries.URL_RULES, max_trie_rules=limit).collect()
+    for chars in (url_filters.TRIE_CHARS, 1):  # one trie, and one for each rule
+        found = url_filters.filter_urls(df.withColumn("_judged", F.lit("mine")), queries.URL_RULES, trie_chars=chars).collect()
+        assert {r._judged for r in found} == {"mine"}
         assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found), key=str) == sorted(((i, *expected(u)) for i, u in rows), key=str)
 
 
+def test_url_rules_that_clash(spark):
+    """The longer rule wins, then the deeper host, then a block; in one trie as in slices, in any order."""
+    rng = np.random.default_rng(5)
+    hosts, paths = ["", "com", "x.com", "a.x.com", "om"], ["", "/", "/a", "/a/", "/ab", "/a/b", "/a/bc/", "a"]
+    rules = [url_filters.Rule(("allow", "block")[rng.integers(2)], hosts[rng.integers(len(hosts))], paths[rng.integers(len(paths))]) for _ in range(60)]
+    rules += [url_filters.Rule("allow", "long.org", "/" + "s/" * 3000)]
+    urls = [f"http://{h}{p}" for h in ("com", "x.com", "a.x.com", "b.a.x.com", "xcom", "", "om") for p in ("", "/", "/a", "/a/b", "/abc", "/a/bc/d", "//a")] + ["http://long.org/" + "s/" * 3001, "a/b"]
+
+    def expected(url):
+        host, path = url_filters.RESULT and (re.match(r"[^/]*", (url.split("://", 1) + [""])[1])[0] if "://" in url else "", "")
+        path = url.split("://", 1)[1][len(host) :] if "://" in url else ""
+        fits = [r for r in rules if (not r.host or host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.name), len(r.host), r.verdict == "block"), default=None)
+        return (best.name, best.verdict) if best else (None, "block")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for chars in (10**6, 7):
+        for listed in (rules, rules[::-1]):
+            found = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df, listed, default="block", trie_chars=chars).collect()}
+            assert found == {i: expected(u) for i, u in enumerate(urls)}
+
+
 def test_sharding(spark, hostile):
-    table = sharding.lookup_table(sharding.SHARDS)
+    table = queries.plain_table(sharding.SHARDS, sharding.TABLE_SIZE)  # preference lists written out
+    assert table == sharding.lookup_table(sharding.SHARDS)
     counts = Counter(table)
     assert len(table) == 65_537 and min(counts.values()) >= 65_537 // 64 and max(counts.values()) <= 65_537 // 64 + 1
     fewer = sharding.lookup_table(sharding.SHARDS[:-1])
     assert sum(a != b for a, b in zip(table, fewer) if a != 63) < 0.1 * len(table)
     found = sharding.assign_shards(hostile.withColumn("slot", F.lit("clash"))).collect()
-    assert len(found) == len(HOSTILE) and all(r.shard == sharding.SHARDS[table[r.slot]] for r in found)
+    slot = lambda d: int(hashlib.md5(b"none" if d is None else f"k{d}".encode()).hexdigest()[:15], 16) % 65_537
+    assert len(found) == len(HOSTILE) and all(r.slot == slot(r.doc_id) and r.shard == sharding.SHARDS[table[r.slot]] for r in found)
     assert len({r.slot for r in found if r.doc_id == 7}) == 1
     big = sharding.assign_shards(spark.range(64_000).withColumnRenamed("id", "doc_id")).groupBy("shard").count().collect()
     assert len(big) == 64 and max(r["count"] for r in big) < 1200
@@ -392,6 +484,50 @@ def test_html_pages(spark):
     assert all(r.n_chars == len(r.text) for r in found.values()) and len(found) == 7
 
 
+#: Pages of other shapes than the training pages, with their text told by hand.
+SHAPES = [
+    ("""<html><body><table width="100%"><tr><td id="leftnav"><a href="/a">Home</a><br><a href="/b">News</a><br><a href="/c">About us</a></td>
+     <td><h2>River levels fall</h2><p>The river fell by two metres over the weekend, the office said on Monday.</p><p>Boats are expected to sail again by the end of the week.</p></td></tr>
+     <tr><td class="footer">Copyright 2020 Town Paper. All rights reserved.</td></tr></table></body></html>""",
+     "River levels fall The river fell by two metres over the weekend, the office said on Monday. Boats are expected to sail again by the end of the week."),
+    ("""<!doctype html><main role="main"><article itemprop="articleBody"><h1>Bread</h1><section><h2>Dough</h2><p>Mix flour, water and salt. Let the dough rest for an hour.</p>
+     <ul><li>500 g flour, sifted twice.</li><li>300 g water, lukewarm.</li></ul></section><section><h2>Oven</h2><p>Bake it for forty minutes at 220 degrees.</p></section></article>
+     <section class="comments"><h3>Comments</h3><div class="comment"><p>Mine came out flat, what did I do wrong?</p></div></section></main><footer><nav><a href="/">Home</a> <a href="/imprint">Imprint</a></nav></footer>""",
+     "Bread Dough Mix flour, water and salt. Let the dough rest for an hour. 500 g flour, sifted twice. 300 g water, lukewarm. Oven Bake it for forty minutes at 220 degrees."),
+    ("""<body><div id="header"><img src=l.png><a href="/">The Daily</a></div><div class="cookie-banner"><p>We use cookies to make this site work. <button>Accept</button></p></div>
+     <div class="post-content"><p>Where x is large, <math><mi>f</mi><mo>(</mo><mi>x</mi><mo>)</mo></math> grows without bound, as the figure shows quite clearly.</p>
+     <blockquote>Nothing grows for ever, said the gardener.</blockquote><p>That is all there is to it.</p></div><div id="sidebar"><h4>Popular</h4><ul><li><a href="/1">Ten tricks</a><li><a href="/2">More tricks</a></ul></div></body>""",
+     "Where x is large, f(x) grows without bound, as the figure shows quite clearly. Nothing grows for ever, said the gardener. That is all there is to it."),
+    ("""<div class=page><div class=topnav><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></div><div class=story><h1>Night train</h1>
+     <p>The train left at nine and nobody waved. <p>It rained until the border, then it snowed. <template><p>never seen</p></template>
+     <p>We slept. <noscript><p>In the morning the sea was there.</p></noscript></div><form action=s><p>Search this site</p><input name=q></form>""",
+     "Night train The train left at nine and nobody waved. It rained until the border, then it snowed. We slept. In the morning the sea was there."),
+]
+
+
+def test_html_pages_of_other_shapes(spark):
+    df = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(SHAPES)], "page_id long, url string, html string")
+    found = {r.page_id: Counter(r.text.split()) for r in html_extract.extract_text(df).collect()}
+    told = [Counter(text.split()) for _, text in SHAPES]
+    right = sum((found[i] & t).total() for i, t in enumerate(told))
+    precision, recall = right / sum(f.total() for f in found.values()), right / sum(t.total() for t in told)
+    print(f"precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_html_work_grows_with_the_page():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "</section>" * n + "x", "<div><ul>" + "<center>" * n + "<li></li>" * n, "<template>" * n + "x", "<p>" * n + "</p>" * n):
+            html_extract.parse(page)
+        return time.perf_counter() - began
+
+    took(2000)
+    assert took(16_000) < 20 * max(took(2000), 0.01)
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "conversations", "labels", "benchmark"):

@@ -9,9 +9,12 @@ alone. A text position that matches fixes where the window would begin (the
 positional bound) and must leave room for it in the text (the length bound);
 what passes is verified word by word over the window.
 
-The benchmark's windows reach the tasks as arrays. Their size is counted first;
-a benchmark of more than MAX_WINDOWS windows is cut into slices of that size,
-the texts are read once for each, and a last aggregation joins the slices.
+Items are cut into windows on the executors, and distinct pairs of window and item
+are written. They reach the tasks as arrays; what one pass over the texts holds is
+counted first, and more than MAX_WINDOWS pairs are cut into slices by their hash until
+none has more. The texts are read once for each slice, and what was found is put
+together. So neither a long item nor a window of many items exceeds a slice. Words
+and windows are known by 64-bit hashes of words.
 
 Null or empty texts and items have no words. Texts are read whole. Repeated
 items with one id count once; windows that several items share count for each;
@@ -22,7 +25,8 @@ and columns named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
+from tidemark.llm.shared import free_name, written
 
 WINDOW = 10
 SHINGLE = 5
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 500_000
 
 
 @dataclass
@@ -58,11 +63,24 @@ def item_windows(text: str, window: int) -> Iterator[np.ndarray]:
                 yield h[i : i + window]
 
 
-def build_index(items: list[tuple[str | None, str | None]], window: int, shingle: int) -> Index:
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """id and words (the hashes as bytes) of each distinct window of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                found = item_windows(text or "", window)
+                while part := [w.tobytes() for w in itertools.islice(found, 20_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.binary())], names=["id", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("text IS NOT NULL")
+    return items.mapInArrow(run, "id string, words binary").distinct()
+
+
+def build_index(pairs: Iterable[tuple[str | None, bytes]], shingle: int, window: int) -> Index:
     found: dict[bytes, set[str]] = {}
-    for name, text in items:
-        for w in item_windows(text or "", window):
-            found.setdefault(w.tobytes(), set()).update([] if name is None else [name])
+    for name, w in pairs:
+        found.setdefault(w, set()).update([] if name is None else [name])
     listed = [np.frombuffer(k, dtype=np.uint64) for k in found]
     lengths = np.array([len(w) for w in listed], dtype=np.int64)
     words = np.zeros((len(listed), window), dtype=np.uint64)
@@ -131,13 +149,12 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), (ends[last] - starts[first]).tolist(), strict=True))
 
 
-def mark(docs: DataFrame, items: list[tuple[str | None, str | None]], column: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def mark(docs: DataFrame, index: Index, column: str = "text") -> DataFrame:
     """docs with n_words, spans (start and length in words of all that is hit) and items (ids, sorted)."""
     names = ("n_words", "spans", "items")
     kept = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-    index = build_index(items, window, shingle)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most MAX_WINDOWS windows
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -171,20 +188,23 @@ def mark(docs: DataFrame, items: list[tuple[str | None, str | None]], column: st
 def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (ids, sorted) and contaminated.
 
-    The benchmark reaches the driver a slice at a time, each of at most
-    max_windows windows by a bound from the length of the texts.
+    The benchmark's windows reach the driver a slice at a time, each of at most
+    max_windows pairs of window and item.
     """
-    bench = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("string").alias("id"), "text")
-    size = F.floor(F.length("text") / 2) + 1  # no text has more words than that
-    total = bench.select(F.sum(size)).first()[0] or 0
-    n_slices = max(1, -(-total // max_windows))
-    made = None
+    pairs = written(benchmark_windows(benchmark, window), "windows")
+    n_slices = max(1, -(-pairs.count() // max_windows))
+    of = lambda n: F.pmod(F.xxhash64("id", "words"), F.lit(n))
+    while n_slices > 1 and pairs.groupBy(of(n_slices)).count().agg(F.max("count")).first()[0] > max_windows:
+        n_slices += -(-n_slices // 4)
+    temporary = [(free_name(docs, f"spans{k}"), free_name(docs, f"items{k}")) for k in range(1, n_slices)]
+    made = docs.drop("n_words", "spans", "items")
     for k in range(n_slices):
-        part = bench if n_slices == 1 else bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_slices)) == k)
-        items = [(r["id"], r["text"]) for r in part.collect()]
-        made = mark(docs if made is None else made.withColumnsRenamed({"spans": f"_spans{k}", "items": f"_items{k}"}), items, column, window, shingle)
-    spans = [f"_spans{k}" for k in range(1, n_slices)] + ["spans"]
-    lists = [f"_items{k}" for k in range(1, n_slices)] + ["items"]
+        if k:
+            made = made.drop("n_words").withColumnsRenamed(dict(zip(("spans", "items"), temporary[k - 1], strict=True)))
+        found = pairs.filter(of(n_slices) == k).toArrow()
+        made = mark(made, build_index(zip(found["id"].to_pylist(), found["words"].to_pylist(), strict=True), shingle, window), column)
+    spans = [t[0] for t in temporary] + ["spans"]
+    lists = [t[1] for t in temporary] + ["items"]
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     if n_slices > 1:
         every = F.flatten(F.transform(F.concat(*spans), lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))

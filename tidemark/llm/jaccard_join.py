@@ -10,22 +10,25 @@ key for each non-empty fragment; sets that link share a key unless all agreeing
 fragments are empty, which needs more than K empty ones; a set with so many also
 gives the keys of another order, and so on. Where fragments would be too thin (in
 small sets, or at low similarities) a set gives its prefix instead: as many of
-its first shingles as no linked set can miss, in an order by rarity, for which
-the bytes of a shingle stand, as long words are rare. Sets at a class edge give
-the keys of both classes. Keys of several shingles make common passages harmless:
-a key is shared only by sets that agree on a whole fragment.
+its first shingles as no linked set can miss, the rare ones first. How often shingles
+occur is counted over all vertices, in a table of fixed size for the frequent ones;
+any one table gives right results, a good one gives few keys in common. Sets at a
+class edge give the keys of both classes. Keys of several shingles make common
+passages harmless: a key is shared only by sets that agree on a whole fragment.
 
 Filter. Each set has a parity sketch: bit i is the parity of how many shingles
 hash to i. The number of bits in which two sketches differ is never above the
 size of the sets' difference, so a pair beyond D is dropped safely.
 
-Groups. Texts with equal sets are one vertex. Of keys with the same vertices one
-is kept. Of a key's vertices, the one that
+Groups. Texts with equal sets are one vertex. Rows are dealt by ranges of key and
+vertex, so a key with many vertices is spread over tasks, in blocks of BLOCK at most.
+Of keys with the same vertices one is kept. Of a block's vertices, the one that
 passes with most others leads; those that pass with it are paired with it, and so
-on with the rest. After these pairs are verified, pairs within a key are needed
-only between different components; a second round tests the ones that pass. Keys
-with more than BLOCK vertices are cut into blocks, and the second round tests
-pairs of blocks, so no task holds more than two blocks of a key.
+on with the rest. After these pairs are verified, pairs within a key are needed only
+between different components. Of keys with several blocks, each two components of two
+blocks first get their closest pair tested, which joins what was only cut apart; a
+last round tests all pairs that still pass between different components. No task
+holds more than two blocks of a key.
 
 Verification. For each pair, the fragments of both sets are joined, the overlap of
 each fragment is counted apart, and the counts are summed. Links then go through
@@ -36,7 +39,9 @@ nothing; a text shorter than n words has its whole sequence as its one shingle.
 Texts are read whole. Repeated rows each get a row. An empty table gives an empty
 result. Other columns pass through and columns named like a result are replaced.
 Ids must be of one orderable type; a null id never becomes a component's id,
-unless all ids of the component are null.
+unless all ids of the component are null. Shingles are known by 64-bit hashes: results
+are exact as long as no two shingles share one. Components are complete, but pairs
+within a component are not all tested, so links are not counted.
 """
 
 from __future__ import annotations
@@ -48,20 +53,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec
 from tidemark.llm.components import components
-from tidemark.llm.shared import Scratch, written
+from tidemark.llm.shared import Scratch, free_name, written
 
 BLOCK = 2048
 MAX_SKETCH_BITS = 1 << 14
 #: Fragments into which verification cuts a set.
 VERIFY_FRAGMENTS = 8
-#: Bits of the table that says which vertices a pass over the texts must deliver.
-WANTED_BITS = 1 << 25
+#: Bits of a table that says which rows may be wanted: 16 for each, within these bounds, so at most 32 MB are broadcast.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Cells of the table of frequent shingles, by a shingle's first bits.
+CELL_BITS = 20
 _SEEN = 1_000_000
 #: Keys by which the second round tells in which group a pair is given.
 LEAST_KEYS = 24
@@ -142,8 +150,12 @@ def _size_class(plan: Plan, k: int) -> SizeClass:
     return _class_cache[plan, k]
 
 
-def set_keys(plan: Plan, k: int, s: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The candidate keys of a sorted shingle set in class k; length has the bytes of each shingle."""
+def cells(s: np.ndarray) -> np.ndarray:
+    return (s >> _U(64 - CELL_BITS)).astype(np.int64)
+
+
+def set_keys(plan: Plan, k: int, s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The candidate keys of a sorted shingle set in class k; rank says of each cell how frequent its shingles are."""
     c = plan.size_class(k)
     if not c.most_apart:
         return np.zeros(0, dtype=np.uint64)
@@ -151,8 +163,8 @@ def set_keys(plan: Plan, k: int, s: np.ndarray, length: np.ndarray) -> np.ndarra
         salt = _U((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
         if not c.fragments:
             prefix = len(s) - -(-plan.num * len(s) // plan.den) + 1
-            longest = np.lexsort((s, -length))[:prefix]
-            return textvec.mix(s[longest] ^ salt)
+            rarest = np.argsort(rank[cells(s)], kind="stable")[:prefix]
+            return textvec.mix(s[rarest] ^ salt)
         out = []
         order = 0
         while True:
@@ -205,57 +217,86 @@ def _first_seen(nodes: list[int], sizes: list[int], seen: set[int]) -> Iterator[
             yield i
 
 
-def _first_pass(docs: DataFrame, column: str, plan: Plan, seed: int) -> DataFrame:
-    """Each row with its set's size, vertex and check hash; sketches where its task meets a vertex first."""
-    kept = [c for c in docs.columns if c != column]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType()), T.StructField("_check", T.LongType()), T.StructField("_sketches", _SKETCHES)])
+_COMMON = T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType())]))
+
+
+def _first_pass(docs: DataFrame, plan: Plan, seed: int) -> DataFrame:
+    """id and row of each text with its set's size n, vertex and check hash; sketches where its task meets a vertex first.
+
+    Each task ends with one more row that only has `common`: the cells that it filled
+    far above the average, counted over its vertices.
+    """
+    named = {"id": docs.schema["id"].dataType, "row": docs.schema["row"].dataType, "n": T.LongType(), "node": T.LongType(), "check": T.LongType(), "sketches": _SKETCHES, "common": _COMMON}
+    schema = T.StructType([T.StructField(n, t) for n, t in named.items()])
     sketch_type = pa.list_(pa.struct([("k", pa.int32()), ("sketch", pa.binary())]))
+    common_type = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        filled = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        last = None
         for batch in batches:
-            for chunk in textvec.chunks(batch[column]):
-                owner, found, _ = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+            last = batch
+            for chunk in textvec.chunks(batch["text"]):
+                owner, found = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
                 sizes, node, check = _vertices(owner, found, len(chunk), seed)
                 ends = np.cumsum(sizes)
                 sketches: list[list | None] = [None] * len(chunk)
+                fresh = np.zeros(len(chunk), dtype=bool)
                 for i in _first_seen(node.tolist(), sizes.tolist(), seen):
+                    fresh[i] = True
                     s = found[ends[i] - sizes[i] : ends[i]]
                     of = [(k, plan.size_class(k)) for k in plan.classes_of(len(s))]
                     sketches[i] = [{"k": k, "sketch": sketch(c.bits, s)} for k, c in of if c.most_apart]
+                filled += np.bincount(cells(found[fresh[owner]]), minlength=len(filled))
                 part = batch.slice(chunk.first, len(chunk))
-                arrays = [part[c] for c in kept] + [pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(check), pa.array(sketches, type=sketch_type)]
+                arrays = [part["id"], part["row"], pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(check), pa.array(sketches, type=sketch_type), pa.nulls(len(chunk), common_type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        at = np.flatnonzero(filled > max(8, 4 * filled.mean()))
+        if last is not None:
+            told = pa.array([[{"cell": c, "n": n} for c, n in zip(at.tolist(), filled[at].tolist(), strict=True)]], type=common_type)
+            arrays = [pa.nulls(1, last["id"].type), pa.nulls(1, last["row"].type), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, sketch_type), told]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return docs.select("id", "row", "text").mapInArrow(run, schema)
 
-    return docs.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(run, schema)
+
+def _ranks(first: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each cell are, on a logarithmic scale; 0 for all that are not."""
+    out = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    counts = first.filter("common IS NOT NULL").select(F.explode("common").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).toArrow()  # at most 2**CELL_BITS rows
+    out[counts["cell"].to_numpy()] = np.minimum(4 * np.log2(counts["n"].to_numpy()), 255).astype(np.uint8)
+    return out
 
 
-def _keys(docs: DataFrame, column: str, plan: Plan, seed: int) -> DataFrame:
+def _keys(docs: DataFrame, plan: Plan, seed: int, rank: np.ndarray) -> DataFrame:
     """node, k and key: the candidate keys of every vertex.
 
     A pass of its own over the texts, straight into the shuffle: kept beside the
     rows, the keys would take as much disk once more.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        rank = shared.value
         for batch in batches:
             for chunk in textvec.chunks(batch["text"]):
-                owner, found, length = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+                owner, found = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
                 sizes, node, _ = _vertices(owner, found, len(chunk), seed)
                 ends = np.cumsum(sizes)
                 keys, classes, nodes = [], [], []
                 for i in _first_seen(node.tolist(), sizes.tolist(), seen):
                     mine = slice(ends[i] - sizes[i], ends[i])
                     for k in plan.classes_of(int(sizes[i])):
-                        made = set_keys(plan, k, found[mine], length[mine])
+                        made = set_keys(plan, k, found[mine], rank)
                         keys.append(made)
                         classes.append(np.full(len(made), k, dtype=np.int32))
                         nodes.append(np.full(len(made), node[i]))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "k", "key"])
 
-    return docs.select(F.col(f"`{column}`").alias("text")).mapInArrow(run, "node long, k int, key long")
+    return docs.select("text").mapInArrow(run, "node long, k int, key long")
 
 
 def _complete_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -288,17 +329,25 @@ def _complete_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...])
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """key, k, node, place of every vertex under keys that several vertices share."""
+    """key, k, node, block of every vertex under keys that several vertices share.
+
+    A range's first and last key may go on in the next one, so their rows are kept
+    even if they stand alone in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the open key: its last vertex, how many it has, and its first row until a second vertex shows that it is shared.
         last: tuple[int, int] | None = None
+        first: int | None = None
         count = 0
         waiting: pa.RecordBatch | None = None
+        base = TaskContext.get().partitionId() << 32
+        names = ["key", "k", "node", "block"]
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, nodes = batch["key"].to_numpy(), batch["node"].to_numpy()
+            first = int(keys[0]) if first is None else first
             new = np.ones(len(keys), dtype=bool)
             new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
             new[0] = last != (keys[0], nodes[0])
@@ -313,16 +362,20 @@ def _members(rows: DataFrame) -> DataFrame:
             before = np.zeros(len(begins), dtype=np.int64)
             if waiting is None and last and last[0] == keys[0]:
                 before[0] = count
-            shared = lengths + before > 1
             place = np.arange(len(keys)) - np.repeat(begins - before, lengths)
+            keep = np.repeat(lengths + before > 1, lengths) | (keys == first)
             last, count = (int(keys[-1]), int(batch["node"][-1].as_py())), int(lengths[-1] + before[-1])
             waiting = batch.slice(len(keys) - 1) if count == 1 else None
-            keep = pa.array(np.repeat(shared, lengths))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["k"], batch["node"], pa.array(place.astype(np.int32))], names=["key", "k", "node", "place"]).filter(keep)
+            if waiting is not None:
+                keep[-1] = False
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["k"], batch["node"], pa.array(base + place // BLOCK)], names=names).filter(pa.array(keep))
+        if waiting is not None:
+            yield pa.RecordBatch.from_arrays([waiting["key"], waiting["k"], waiting["node"], pa.array([base])], names=names)
 
     # Within a key the order is one of the key's own, so that blocks of one key mix those of another.
-    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
-    return dealt.select("key", "k", "node").mapInArrow(run, "key long, k int, node long, place int")
+    mixed = F.xxhash64("key", "node")
+    dealt = rows.repartitionByRange("key", mixed).sortWithinPartitions("key", mixed, "node")
+    return dealt.select("key", "k", "node").mapInArrow(run, "key long, k int, node long, block long")
 
 
 def _distinct_groups(members: DataFrame) -> DataFrame:
@@ -380,8 +433,8 @@ def _leaders(groups: DataFrame, plan: Plan) -> DataFrame:
     return groups.select("key", "block", "node", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(groups: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs that pass between different components, in each pair of blocks of each key.
+def _across(groups: DataFrame, plan: Plan, closest: bool) -> DataFrame:
+    """Pairs that pass between different components, in each pair of blocks of each key: all, or the closest of each two components.
 
     Near copies share many keys. `least` has the smallest keys of a vertex, and of
     the keys that both lists hold only the smallest gives the pair.
@@ -405,8 +458,17 @@ def _across(groups: DataFrame, plan: Plan) -> DataFrame:
                 p, q = np.nonzero(ok)
                 if not len(p):
                     continue
-                least = {k: set(lists[i + k].as_py()) for k in {*one[p].tolist(), *two[q].tolist()}}
-                mine = np.fromiter((min(least[a] & least[b], default=keys[i]) == keys[i] for a, b in zip(one[p].tolist(), two[q].tolist(), strict=True)), dtype=bool, count=len(p))
+                if closest:
+                    apart = np.concatenate([np.bitwise_count(x[one[p[n : n + 65_536]]] ^ x[two[q[n : n + 65_536]]]).sum(axis=1, dtype=np.int64) for n in range(0, len(p), 65_536)])
+                    r, t = roots[i:j][one[p]], roots[i:j][two[q]]
+                    order = np.lexsort((apart, t, r))
+                    new = np.ones(len(order), dtype=bool)
+                    new[1:] = (np.diff(r[order]) != 0) | (np.diff(t[order]) != 0)
+                    p, q = p[order[new]], q[order[new]]
+                mine = np.ones(len(p), dtype=bool)
+                if not closest:
+                    least = {k: set(lists[i + k].as_py()) for k in {*one[p].tolist(), *two[q].tolist()}}
+                    mine = np.fromiter((min(least[a] & least[b], default=keys[i]) == keys[i] for a, b in zip(one[p].tolist(), two[q].tolist(), strict=True)), dtype=bool, count=len(p))
                 left.append(nodes[i:j][one[p[mine]]])
                 right.append(nodes[i:j][two[q[mine]]])
             a, b = np.concatenate(left or [np.zeros(0, dtype=np.int64)]), np.concatenate(right or [np.zeros(0, dtype=np.int64)])
@@ -416,54 +478,73 @@ def _across(groups: DataFrame, plan: Plan) -> DataFrame:
     return groups.select("key", "one", "two", "side", "node", "n", "root", "sketch", "least").mapInArrow(run, "a long, b long").distinct()
 
 
-def bit_table(bits: DataFrame) -> np.ndarray:
-    """A table of WANTED_BITS bits with those of the column bit set; its size is fixed, so it may be broadcast."""
+def bits_for(n: int) -> int:
+    """How many bits a table of n entries gets."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+
+
+def bit_table(bits: DataFrame, size: int) -> np.ndarray:
+    """A table of size bits with those of the column bit set; its size is bounded, so it may be broadcast."""
     at = F.col("bit") + 1
     per = bits.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
-    for r in per.collect():  # at most WANTED_BITS / 32768 rows of 4 KB
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in per.toLocalIterator():  # at most size / 32768 rows of 4 KB
         start = (r["bucket"] - 1) * 4096
-        out[start : start + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
+        out[start : start + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)[: size // 8 - start]
     return out
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key is not in gone.
-
-    A fixed table of bits tells most rows that their key is surely not there, and
-    these stay where they are; only the others are joined, with their texts.
-    """
-    bit = F.xxhash64(F.col(f"`{key}`")).bitwiseAND(WANTED_BITS - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(bit.alias("bit"))))
+def among(one: Column, keys: DataFrame) -> Column:
+    """Whether a key is perhaps in the column one of keys; false only where it is surely not."""
+    size = bits_for(keys.count())
+    bit = one.bitwiseAND(F.lit(size - 1))
+    shared = keys.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.col("one").bitwiseAND(F.lit(size - 1)).alias("bit")), size))
 
     @F.pandas_udf("boolean")
     def perhaps(at: pd.Series) -> pd.Series:
         n = at.to_numpy()
         return pd.Series((shared.value[n >> 3] >> (n & 7).astype(np.uint8)) & 1 == 1)
 
-    flagged = docs.withColumn("_perhaps", perhaps(bit))
-    sure = flagged.filter("NOT _perhaps").drop("_perhaps")
-    rest = flagged.filter("_perhaps").drop("_perhaps").join(gone.select(f"`{key}`"), key, "left_anti")
-    return sure.unionByName(rest)
+    return perhaps(bit)
+
 
+def without_rows(docs: DataFrame, one: Column, two: Column, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose keys (one, two) are not in gone; of rows whose keys are in again one each stays.
 
-def _fragments(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataFrame) -> DataFrame:
+    A table of bits tells most rows that their key is surely not there, and these
+    stay where they are; only the others are shuffled, with their texts.
+    """
+    names = [free_name(docs, n) for n in ("one", "two", "perhaps")]
+    listed = gone if again is None else gone.unionByName(again)
+    marked = docs.withColumns(dict(zip(names, (one, two, among(one, listed)), strict=True)))
+    named = lambda df: df.select(F.col("one").alias(names[0]), F.col("two").alias(names[1]))
+    columns = [f"`{c}`" for c in docs.columns]
+    sure = marked.filter(~F.col(names[2])).select(*columns)
+    rest = marked.filter(names[2]).join(named(gone), names[:2], "left_anti")
+    if again is None:
+        return sure.unionByName(rest.select(*columns))
+    once = rest.join(named(again), names[:2], "left_semi").dropDuplicates(names[:2])
+    return sure.unionByName(rest.join(named(again), names[:2], "left_anti").select(*columns)).unionByName(once.select(*columns))
+
+
+def _fragments(docs: DataFrame, plan: Plan, seed: int, pairs: DataFrame) -> DataFrame:
     """node, f, shingles: the fragments of every vertex in pairs (and of some besides)."""
-    bits = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.col("node").bitwiseAND(WANTED_BITS - 1).alias("bit")))
+    size = bits_for(2 * pairs.count())
+    bits = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.col("node").bitwiseAND(F.lit(size - 1)).alias("bit")), size)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    named = docs.select(F.col(f"`{column}`").alias("text"))
+    named = docs.select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for chunk in textvec.chunks(batch["text"]):
-                owner, found, _ = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
+                owner, found = textvec.shingle_sets(textvec.words(chunk, textvec.SPACED), plan.words)
                 sizes, node, _ = _vertices(owner, found, len(chunk), seed)
                 if len(seen) > _SEEN:
                     seen.clear()
                 ends = np.cumsum(sizes)
                 out_node, out_f, cuts, parts, total = [], [], [0], [], 0
-                at = node & (WANTED_BITS - 1)
+                at = node & (size - 1)
                 hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
                 for i in np.flatnonzero((hit == 1) & (sizes > 0)).tolist():
                     v = int(node[i])
@@ -487,9 +568,9 @@ def _fragments(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataF
     return named.mapInArrow(sets, "node long, f int, shingles array<long>")
 
 
-def _verified(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(docs: DataFrame, plan: Plan, seed: int, pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that link: overlaps are counted in each fragment and summed for each pair."""
-    made = _fragments(docs, column, plan, seed, pairs).groupBy("node", "f").agg(F.first("shingles").alias("shingles"))
+    made = _fragments(docs, plan, seed, pairs).groupBy("node", "f").agg(F.first("shingles").alias("shingles"))
     cut = scratch.written(made, "fragments")
     each = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("f"))
     one = each.join(cut.select(F.col("node").alias("a"), "f", F.col("shingles").alias("x")), ["a", "f"])
@@ -502,59 +583,93 @@ def _verified(docs: DataFrame, column: str, plan: Plan, seed: int, pairs: DataFr
 
 
 def _blocks_in_pairs(rows: DataFrame) -> DataFrame:
-    """Each row of a key once for every pair of its blocks that holds it; place and last give the blocks."""
-    block, n = (F.col("place") / BLOCK).cast("int"), (F.col("last") / BLOCK).cast("int") + 1
-    others = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(o, block).alias("one"), F.greatest(o, block).alias("two"), (block > o).cast("int").alias("side")))
+    """Each row of a key once for every pair of its key's blocks that holds it."""
+    block = F.col("block")
+    others = F.transform("blocks", lambda o: F.struct(F.least(o, block).alias("one"), F.greatest(o, block).alias("two"), (block > o).cast("int").alias("side")))
     return rows.withColumn("_p", F.explode(others)).select("*", "_p.*").drop("_p")
 
 
+def _checked(num: int, den: int) -> None:
+    if not 0 < num <= den:
+        raise ValueError("the similarity must be above 0 and at most 1")
+
+
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without text, with n_shingles and component_id.
 
     Texts link at a similarity of num / den over sets of `words`-word shingles.
     """
-    if not 0 < num <= den:
-        raise ValueError("the similarity must be above 0 and at most 1")
-    named = ("n_shingles", "component_id")
-    kept = [c for c in docs.columns if c not in (column, *named)]
-    docs = docs.select(*[f"`{c}`" for c in kept], f"`{column}`")
-    plan = Plan(words, num, den)
+    _checked(num, den)
+    kept = [c for c in docs.columns if c not in (column, "n_shingles", "component_id")]
+    # The columns travel in a struct of their own, so that no name can clash.
+    given = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{column}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     with Scratch(docs.sparkSession) as scratch:
-        return written(_linked(docs, id_column, column, plan, kept, scratch), "linked")
+        found = _linked(given, Plan(words, num, den), scratch)
+        own = [F.col("row").getField(c).alias(c) for c in kept]
+        return written(found.select(*own, F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "linked")
+
 
+def keep_one(docs: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, unchanged, but of each component of linked texts only one.
 
-def _linked(docs: DataFrame, id_column: str, column: str, plan: Plan, kept: list[str], scratch: Scratch) -> DataFrame:
+    The row with the smallest id stays (one without an id only if none has one); of
+    rows that share that id, the one of the smallest digest. Rows are told apart by id
+    and text together, so an id that two different texts share loses neither, and of
+    repeated rows one stays. Texts without words link with nothing and all stay.
+    """
+    _checked(num, den)
+    id_, text = F.col(f"`{id_column}`"), F.col(f"`{column}`")
+    one, two = F.xxhash64(id_, text), F.xxhash64(text, id_, F.lit(1))
+    given = docs.select(id_.alias("id"), text.alias("text"), F.struct(one.alias("one"), two.alias("two")).alias("row"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = written(_linked(given, Plan(words, num, den), scratch).filter("node IS NOT NULL").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "row.one", "row.two").alias("at")), "groups")
+    first = found.groupBy("root").agg(F.min("at").alias("first"))
+    apart = (F.col("at.one") != F.col("first.one")) | (F.col("at.two") != F.col("first.two"))
+    gone = written(found.join(first, "root").filter(apart).select("at.one", "at.two").distinct(), "gone")
+    again = found.groupBy("at.one", "at.two").count().filter("count > 1").select("one", "two").join(gone, ["one", "two"], "left_anti")
+    again = written(again, "repeated")
+    return without_rows(docs, one, two, gone, again if again.limit(1).count() else None)
+
+
+def _linked(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+    """row, id, n, node, root and component_id of each row of docs (id, row, text); the last three null without words."""
     seed = 0
     while True:
-        first = scratch.written(_first_pass(docs, column, plan, seed), "sets")
-        grouped = first.filter("_node IS NOT NULL").groupBy(F.col("_node").alias("node")).agg(F.min(f"`{id_column}`").alias("id"), F.min("_n").alias("n"), F.min("_check").alias("low"), F.max("_check").alias("high"))
+        passed = scratch.written(_first_pass(docs, plan, seed), "sets")
+        first = passed.filter("common IS NULL")
+        grouped = first.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
         nodes = scratch.written(grouped, "vertices")
         if not nodes.filter("low <> high").limit(1).count():
             break
         seed += 1  # two sets with one hash: again with others
 
-    members = scratch.written(_distinct_groups(scratch.written(_members(_keys(docs, column, plan, seed)), "keyed")), "members")
-    sketches = first.filter("_sketches IS NOT NULL").select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.explode("_sketches").alias("c")).groupBy("node", "c.k").agg(F.first("c.sketch").alias("sketch"), F.first("n").alias("n"))
+    members = scratch.written(_distinct_groups(scratch.written(_members(_keys(docs, plan, seed, _ranks(passed))), "keyed")), "members")
+    sketches = first.filter("sketches IS NOT NULL").select("node", "n", F.explode("sketches").alias("c")).groupBy("node", "c.k").agg(F.first("c.sketch").alias("sketch"), F.first("n").alias("n"))
     sketched = scratch.written(sketches.join(members.select("node", "k").distinct(), ["node", "k"], "left_semi"), "sketches")
 
-    blocked = members.withColumn("block", (F.col("place") / BLOCK).cast("int")).join(sketched, ["node", "k"])
-    pairs = scratch.written(_leaders(blocked.repartition("key", "block").sortWithinPartitions("key", "block", "node"), plan), "pairs")
-    links = scratch.written(_verified(docs, column, plan, seed, pairs, nodes, scratch), "links")
+    blocked = members.join(sketched, ["node", "k"])
+    tested = scratch.written(_leaders(blocked.repartition("key", "block").sortWithinPartitions("key", "block", "node"), plan), "pairs")
+    links = scratch.written(_verified(docs, plan, seed, tested, nodes, scratch), "links")
     roots = scratch.written(components(links, scratch), "roots")
 
-    of = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last")).filter("low <> high AND last > 1")
-    left = of.join(mixed.select("key", "last"), "key")
-    least = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
-    open_rows = _blocks_in_pairs(left).join(sketched, ["node", "k"]).join(least, "node")
-    across = _across(open_rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node"), plan)
-    more = scratch.written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        links = links.union(_verified(docs, column, plan, seed, more, nodes, scratch))
-        roots = scratch.written(components(links, scratch), "roots")
+    for closest in (True, False):
+        of = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # Of two vertices in one block the only pair was tested by the leader.
+        mixed = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.collect_set("block").alias("blocks")).filter("low <> high AND (m > 2 OR size(blocks) > 1)")
+        mixed = scratch.written(mixed.filter("size(blocks) > 1" if closest else "true").select("key", "blocks"), "mixed")
+        if not mixed.limit(1).count():
+            continue
+        left = of.join(mixed, "key")
+        least = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+        open_rows = _blocks_in_pairs(left).join(sketched, ["node", "k"]).join(least, "node")
+        across = _across(open_rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "node"), plan, closest)
+        more = scratch.written(across.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            tested = tested.union(more)
+            links = links.union(scratch.written(_verified(docs, plan, seed, more, nodes, scratch), "links"))
+            roots = scratch.written(components(links, scratch), "roots")
 
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named_root = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = scratch.written(rooted.join(named_root, "root").select(F.col("node").alias("_node"), "component_id"), "components")
-    out = first.drop("_sketches", "_check").join(final, "_node", "left")
-    return out.select(*[f"`{c}`" for c in kept], F.col("_n").alias("n_shingles"), F.coalesce("component_id", F.col(f"`{id_column}`")).alias("component_id"))
+    final = scratch.written(rooted.join(named_root, "root").select("node", "root", "component_id"), "components")
+    return first.select("row", "id", "n", "node").join(final, "node", "left")

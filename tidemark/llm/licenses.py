@@ -3,11 +3,21 @@
 A text is read as its lower-cased words. One automaton holds every notice phrase
 and identifier tag as words between single spaces; one pass over the words finds
 them all. Behind an identifier tag stands a licence expression ("MIT OR (BSD-3-Clause
-AND NOT GPL)"): its tokens, taken from the original text up to the line's end, go
+AND Zlib)"): its tokens, taken from the original text up to the line's end, go
 through a shunting-yard parser with AND above OR and WITH above both.
 
-The score is 1 - 2**-w, where w adds 1 for each distinct phrase label and 2 for
-each parsed expression: 0 without any evidence, near 1 with much.
+An expression is a choice of sets of licences. OR puts the choices of both sides
+beside each other, AND joins each choice of one side with each of the other, WITH
+adds an exception to the licence before it. Kept of it are the licences that are
+named at all and those that every choice asks for, which is all that AND and OR need:
+asked by "a AND b" are those of a and of b, asked by "a OR b" those of both. So
+"MIT AND GPL-2.0" asks for both licences and "MIT OR GPL-2.0" for neither.
+
+The labels are those of phrases and of all named licences: a family for the known
+ones, the identifier itself for others. `required` holds what every choice of some
+expression asks for, `exceptions` what stands behind WITH. The score is 1 - 2**-w,
+where w adds 1 for each distinct phrase label and, for each expression, 1 and the
+share of its named licences that it requires: 0 without any evidence, near 1 with much.
 
 Null and empty texts have no words, no places, null first_word and last_word and
 empty labels. Texts are read whole, whatever their length. Repeated rows are
@@ -19,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -87,19 +98,38 @@ def parse_expression(text: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def expression_families(postfix: list[str]) -> set[str]:
-    """Licence families named by a postfix expression; what follows WITH is an exception, not a licence."""
-    stack: list[set[str]] = []
+def label_of(identifier: str) -> str | None:
+    """The family of a licence identifier; itself if it is of no known one; None for a plain word."""
+    name = identifier.lower().rstrip("+")
+    bare = name.lstrip("0123456789")
+    for f in FAMILIES:
+        if bare.startswith(f) and not bare[len(f) : len(f) + 1].isalpha():
+            return f
+    return name if any(c.isdigit() or c == "-" for c in name) else None
+
+
+class Expression(NamedTuple):
+    named: frozenset[str]
+    required: frozenset[str]  # by every choice
+    exceptions: frozenset[str] = frozenset()
+
+
+def evaluate(postfix: list[str]) -> Expression:
+    """What a postfix expression names and requires."""
+    stack: list[tuple[str, Expression]] = []  # an operand's own token, and its value
     for token in postfix:
         if token in ("and", "or"):
-            right, left = stack.pop(), stack.pop()
-            stack.append(left | right)
+            (_, b), (_, a) = stack.pop(), stack.pop()
+            required = a.required | b.required if token == "and" else a.required & b.required
+            stack.append((token, Expression(a.named | b.named, required, a.exceptions | b.exceptions)))
         elif token == "with":
-            stack.pop()
+            (exception, _), (name, a) = stack.pop(), stack.pop()
+            stack.append((name, a._replace(exceptions=a.exceptions | {exception.lower()})))
         else:
-            name = token.lower()
-            stack.append({f for f in FAMILIES if name.startswith(f)} and {next(f for f in FAMILIES if name.startswith(f))})
-    return stack.pop() if stack else set()
+            label = label_of(token)
+            own = frozenset() if label is None else frozenset({label})
+            stack.append((token, Expression(own, own)))
+    return stack.pop()[1]
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -116,7 +146,7 @@ _lower[0x41:0x5B] += 32
 
 
 def _scan(batch: pa.RecordBatch, column: str, machine: ahocorasick.Automaton) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
+    out: dict[str, list] = {k: [] for k in RESULT.names}
     for chunk in textvec.chunks(batch[column]):
         w = textvec.words(chunk, textvec.ALNUM, hashed=False)
         # Words with one space after each: every word byte, and the first byte behind each word as the space.
@@ -130,9 +160,9 @@ def _scan(batch: pa.RecordBatch, column: str, machine: ahocorasick.Automaton) ->
         for i in range(len(chunk)):
             low, high = int(w.range[i]), int(w.range[i + 1])
             base: set[str] = set()
-            more: set[str] = set()
+            notices: set[str] = set()
             starts: list[int] = []
-            parsed = 0
+            expressions: list[Expression] = []
             if high > low:
                 begin = int(place[low])
                 text = " " + flat[begin : int(place[high - 1] + lengths[high - 1] + 1)].tobytes().decode("utf-8", "replace")
@@ -145,26 +175,29 @@ def _scan(batch: pa.RecordBatch, column: str, machine: ahocorasick.Automaton) ->
                         base.add(label)
                         starts.append(word)
                     elif kind == "notice":
-                        more.add(label)
+                        notices.add(label)
                     else:
                         behind = int(w.ends[low + word + 2])
                         line = chunk.buf[behind : chunk.bounds[i + 1]].tobytes().split(b"\n", 1)[0].decode("utf-8", "replace").lstrip(": \t")
                         if postfix := parse_expression(line):
-                            parsed += 1
-                            more |= expression_families(postfix)
+                            expressions.append(evaluate(postfix))
             out["n_words"].append(high - low)
             out["n_base"].append(len(starts))
             out["first_word"].append(min(starts, default=None))
             out["last_word"].append(max(starts, default=None))
             out["base_labels"].append(",".join(sorted(base)))
-            out["labels"].append(",".join(sorted(base | more)))
-            out["score"].append(1 - 2.0 ** -(len(base | more) + 2 * parsed))
+            told = [e for e in expressions if e.named]
+            every = lambda part: set().union(*(getattr(e, part) for e in told))
+            out["labels"].append(",".join(sorted(base | notices | every("named"))))
+            out["required"].append(",".join(sorted(every("required"))))
+            out["exceptions"].append(",".join(sorted(every("exceptions"))))
+            out["score"].append(1 - 2.0 ** -(len(base | notices) + sum(1 + len(e.required) / len(e.named) for e in told)))
     return out
 
 
 RESULT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")]
-    + [T.StructField(n, T.StringType()) for n in ("base_labels", "labels")]
+    + [T.StructField(n, T.StringType()) for n in ("base_labels", "labels", "required", "exceptions")]
     + [T.StructField("score", T.DoubleType())]
 )
 
@@ -178,7 +211,7 @@ def scan_licenses(df: DataFrame, column: str = "text") -> DataFrame:
         machine = automaton()
         for batch in batches:
             found = _scan(batch, column, machine)
-            arrays = [batch[c] for c in kept] + [pa.array(found[f.name], type=pa.float64() if f.name == "score" else pa.string() if f.name.endswith("labels") else pa.int64()) for f in RESULT.fields]
+            arrays = [batch[c] for c in kept] + [pa.array(found[f.name], type=pa.float64() if f.name == "score" else pa.int64() if f.dataType == T.LongType() else pa.string()) for f in RESULT.fields]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(run, schema)

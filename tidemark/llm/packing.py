@@ -10,7 +10,9 @@ exact fits.
 Pieces (without their ids) are written to the shared folder, counted, and dealt
 to as many parts as keep each at PART_PIECES or fewer. A part is sorted by
 length and then by all columns, so a lost task repeats itself exactly; it holds
-one counter and one stack of open sequences per gap, never its rows.
+one counter and one stack of open sequences per gap, never its rows. Where there
+are several parts, the sequences that are left with room in any of them are packed
+again, each as one piece of what it holds, so that parts don't each waste some.
 
 Null texts count as empty (their closing token alone). Texts are taken whole,
 and only those longer than a sequence are cut. Repeated rows are packed once
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textvec, tokens
-from tidemark.llm.shared import written
+from tidemark.llm.shared import free_name, written
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -70,11 +72,18 @@ class SumOfSquares:
         return at, offset
 
 
-def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
-    """df with sequence_id and offset (both long); every length is from 1 to capacity."""
-    kept = df.drop("sequence_id", "offset")
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _parts(kept: DataFrame, length: str, capacity: int, part_pieces: int) -> tuple[DataFrame, int]:
+    """kept packed in parts of at most part_pieces, and the number of parts."""
     parts = max(1, -(-kept.count() // part_pieces))
-    rest = [F.col(f"`{c}`") for c in kept.columns if c != length]
+    rest = [F.col(f"`{f.name}`") if _orderable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in kept.schema if f.name != length]
     dealt = kept.repartition(parts).sortWithinPartitions(F.col(f"`{length}`").desc(), *rest)
     schema = T.StructType(kept.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -86,7 +95,23 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, part_p
             found = np.array(placed, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0] + base), pa.array(found[:, 1])], names=schema.names)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema), parts
+
+
+def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
+    """df with sequence_id and offset (both long); every length is from 1 to capacity."""
+    packed, parts = _parts(df.drop("sequence_id", "offset"), length, capacity, part_pieces)
+    if parts == 1:
+        return packed
+    placed = written(packed, "packed")
+    used = placed.groupBy("sequence_id").agg(F.sum(length).alias("used")).filter(F.col("used") < capacity)
+    again, _ = _parts(written(used.select(F.col("sequence_id").alias("block"), "used"), "open"), "used", capacity, part_pieces)
+    # Numbers of the second packing lie above those of the first.
+    moved = again.select(F.col("block").alias("sequence_id"), (F.col("sequence_id") + (1 << 62)).alias("to"), F.col("offset").alias("by"))
+    name, at = free_name(df, "sequence"), free_name(df, "offset")
+    own = placed.withColumnsRenamed({"sequence_id": name, "offset": at})
+    both = own.join(written(moved, "moved").withColumnRenamed("sequence_id", name), name, "left")
+    return both.select(*[f"`{c}`" for c in placed.columns if c not in ("sequence_id", "offset")], F.coalesce("to", name).alias("sequence_id"), (F.col(at) + F.coalesce("by", F.lit(0))).alias("offset"))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, column: str = "text", capacity: int = CAPACITY, closing: int = CLOSING_ID) -> DataFrame:

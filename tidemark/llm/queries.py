@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import itertools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,7 +101,7 @@ SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "required", "exceptions", "score")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +122,59 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE 100 * c >= 90 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(v, r) AS (SELECT a, b FROM e UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a),
+least_of AS (SELECT v, min(r) AS r FROM reach GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(r, doc_id)) AS component_id FROM s LEFT JOIN least_of ON v = doc_id
+"""
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM starts),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.i, p.n, x.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM places) p JOIN win x ON x.n = p.n AND x.g = p.g),
+hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def plain_table(shards: Sequence[str], size: int) -> list[int]:
+    """The lookup table by its definition: preference lists written out, shards taking turns. For the SQL twin."""
+    lists = []
+    for name in shards:
+        d = hashlib.sha256(name.encode()).hexdigest()
+        start, stride = int(d[:16], 16) % size, int(d[16:32], 16) % (size - 1) + 1
+        lists.append(iter([(start + j * stride) % size for j in range(size)]))
+    owner: dict[int, int] = {}
+    for turn in itertools.cycle(range(len(shards))):
+        if len(owner) == size:
+            return [owner[i] for i in range(size)]
+        owner[next(slot for slot in lists[turn] if slot not in owner)] = turn
+
+
+OP10_SQL = f"""
+WITH t AS (SELECT doc_id, CAST(CAST('0x' || substr(md5('k' || doc_id), 1, 15) AS BIGINT) % {sharding.TABLE_SIZE} AS INTEGER) AS slot FROM documents),
+o AS (SELECT string_split('{",".join(map(str, plain_table(sharding.SHARDS, sharding.TABLE_SIZE)))}', ',') AS owner)
+SELECT doc_id, slot, printf('shard-%03d', CAST(owner[slot + 1] AS INTEGER)) AS shard FROM t, o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_format": op2_chat_format,
@@ -135,5 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
     "op5_url_filter": OP5_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op10_sharding": OP10_SQL,
 }

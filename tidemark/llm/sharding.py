@@ -3,8 +3,8 @@
 Each shard has a preference order over the slots of a prime-sized table: a start
 and a stride, both from a digest of its name. Shards take turns claiming their
 next free slot until the table is full, so that slots are dealt evenly, and
-taking one shard away moves few rows besides its own. A row's slot is a digest
-of its key modulo the table size; the table has a fixed number of rows, is
+taking one shard away moves few rows besides its own. A row's slot is an MD5
+digest of its key (60 bits) modulo the table size; the table has a fixed number of rows, is
 broadcast, and placement is one probe.
 
 Nulls: a null key counts as its own value and always lands in the same slot.
@@ -58,7 +58,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SH
     slots = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, owner))), ",")).alias("slot", "n"))
     names = F.array(*[F.lit(s) for s in shards])
     slots = slots.select("slot", F.element_at(names, F.col("n").cast("int") + 1).alias("shard"))
-    digest = F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00null")))
+    named = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("none"))
+    digest = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
     placed = df.drop("slot", "shard").withColumn("slot", F.pmod(digest, F.lit(size)).cast("int"))
     # The table has `size` rows whatever the input; that bound is what allows the broadcast.
     return placed.join(F.broadcast(slots), "slot").select(*[c for c in placed.columns if c != "slot"], "slot", "shard")
