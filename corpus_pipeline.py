@@ -23,19 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links at 0.8 over five-word shingles, the smallest doc_id stays.
+    """Of each group that links at 0.8 over five-word shingles, the row with the smallest doc_id stays.
 
-    Rows without an id cannot be told apart and stay. Repeated rows (one id and
-    text) count as one.
+    A group's row without an id stays only if no row of it has one. Of repeated
+    rows (one id and text) one stays; texts that merely share an id don't count as copies.
     """
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), words=5, num=80, den=100)
-    found = written(found.select("doc_id", "component_id"), "groups")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = jaccard_join.without_ids(docs, gone, "doc_id")
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL"))
+    return jaccard_join.keep_one(docs, words=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
