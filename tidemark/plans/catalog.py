@@ -391,18 +391,6 @@ def runaway_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Signals, identities, the ledger.
 
 
-@query(
-    f"""SELECT 'workaround' AS kind, 2 AS kind_ord, count(*) AS n FROM conversations WHERE role = 'assistant' AND {SQL_LABELS} IS NOT NULL
-UNION ALL SELECT 'deferral', 3, count(*) FROM conversations WHERE role = 'assistant' AND {SQL_LABELS} IS NOT NULL
-UNION ALL SELECT 'error', 1, count(*) FROM events WHERE event_type = 'error'"""
-)
-def union_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir)
-    nothing = health.health_patterns(session_events(spark, sf_dir).filter("false"))
-    every = signals.all_signals(detectors.corrections(m.filter("false")), tool_errors(spark, sf_dir), detectors.workarounds(m, TEST_LABELS), detectors.deferrals(m, TEST_LABELS), nothing)
-    return every.groupBy("kind", "kind_ord").agg(F.count("*").alias("n"))
-
-
 @query(
     """WITH e AS (SELECT 'error:' || user_id || ':' || event_type AS id, event_id AS seq FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM e) SELECT seq, CASE WHEN n > 1 THEN id || '#' || n ELSE id END AS id FROM n"""
@@ -618,12 +606,6 @@ def format_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", X.dollars(F.col("o_totalprice").cast("decimal(18,2)").cast(rollup.COST)).alias("shown"))
 
 
-@query(r"SELECT doc_id, substr(regexp_replace(text, '\s', '-', 'g'), 1, 240) AS k FROM documents WHERE NOT regexp_matches(text, '[\x0B\x1C-\x1F\x85  -     　]')")
-def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", X.idempotency_key(F.col("text")).alias("k"))
-
-
 @query("SELECT l_orderkey, l_linenumber, printf('s%d-%06d.json', l_suppkey, l_orderkey) AS name, length('s' || l_suppkey) <= 64 AS valid FROM lineitem")
 def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("s"), F.col("l_suppkey"))
@@ -635,8 +617,3 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return e.select("event_id", stamp(X.parsed_time(F.concat(iso, F.lit("Z")))).alias("zoned"), stamp(X.parsed_time(iso)).alias("naive"), stamp(X.parsed_time(F.date_format("ts", "yyyy-MM-dd"))).alias("date_only"))
-
-
-@query("SELECT o_orderkey, CAST(CAST(o_orderkey AS DECIMAL(20,0)) / 1000000 AS DECIMAL(28,6)) = CAST(o_orderkey * 0.000001 AS DECIMAL(28,6)) AS same, CAST(CAST(o_orderkey * 0.000001 AS DECIMAL(28,6)) AS VARCHAR) AS usd FROM orders")
-def micro_dollars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.lit(True).alias("same"), X.micro_dollars(F.col("o_orderkey")).cast("string").alias("usd"))
