@@ -119,6 +119,33 @@ def test_projection(spark, tmp_path):
     assert projection.rebuild(spark, folder, root).segments == 3 and len(ids(projection.events(spark, root))) == 3
 
 
+def test_bad_segments_are_reported_and_offered_again(spark, tmp_path):
+    store = filled(tmp_path / "l", 1, 2)
+    root, folder = str(tmp_path / "index"), str(store.folder)
+    good = store.path("src1", 2).read_text()
+    store.path("src1", 2).write_text(good.replace("ssrc1-2", "sX"))
+    store.write(S.seal("src1", 3, []))
+    (store.folder / "nonsense.json").write_text("{}")
+    first = projection.refresh(spark, folder, root)
+    assert (first.segments, first.events, first.failed, first.unnamed) == (2, 1, [("src1", 2, "checksum mismatch")], ["nonsense.json"])
+    assert spark.read.parquet(f"{root}/segments").count() == 2  # the one without events too
+    store.path("src1", 2).write_text(good)
+    again = projection.refresh(spark, folder, root)
+    assert (again.segments, again.events, again.failed) == (1, 1, [])
+
+
+def test_refresh_reads_new_files_only(spark, tmp_path, monkeypatch):
+    store = filled(tmp_path / "l", 1, 2)
+    seen = []
+    read = projection.read_files
+    monkeypatch.setattr(projection, "read_files", lambda s, files: (seen.append(len(files)), read(s, files))[1])
+    for _ in range(2):
+        projection.refresh(spark, str(store.folder), str(tmp_path / "index"))
+    store.write(S.seal("src1", 3, [event("late")]))
+    projection.refresh(spark, str(store.folder), str(tmp_path / "index"))
+    assert seen == [2, 0, 1]
+
+
 def test_stream(spark, tmp_path):
     store = filled(tmp_path / "l", 1, 2)
     root, mark = str(tmp_path / "index"), str(tmp_path / "mark")

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import UTC, date, datetime, timedelta
 from decimal import Decimal
 
@@ -255,3 +256,28 @@ def test_command_tracker():
     assert [make(x) for x in ("a", "b", "c", "d", "d")] == ["#a1", "#5", "#6", "#new", "#new"]
     assert calls == ["list", "list", "reopen", "comment", "create"]
     assert tracker.priority("pattern") == 2 and tracker.idempotency_key("a b\n" + "c" * 300)[:4] == "a-b-"
+
+
+def test_repository_tracker():
+    calls = []
+
+    def run(command):
+        calls.append(command[2])
+        return {"list": "[]", "create": "https://example.org/a/b/issues/17\n", "view": '{"state": "CLOSED"}'}[command[2]]
+
+    t = tracker.RepositoryTracker("a/b", "2031-03-08", run)
+    row = {"session_id": "s", "item": "x"}
+    issue = t.create("deferral", row)
+    assert (issue.id, issue.url) == ("#17", "https://example.org/a/b/issues/17") and t.create("deferral", row) is issue
+    assert calls == ["list", "create"] and t.is_resolved(issue)
+
+
+def test_only_chosen_folders_are_read(spark, tmp_path):
+    storm(tmp_path, "new")
+    storm(tmp_path, "old")
+    old = tmp_path / "t/p/sessions/old/events.jsonl"
+    os.utime(old, (1_000_000_000, 1_000_000_000))
+    reader = SessionFolders(spark, [str(tmp_path / "t")])
+    r = nightly.review(spark, [reader], args(tmp_path, dry_run=True))
+    assert r.sessions_scanned == 1 and [p.rsplit("/", 1)[1] for p in reader.chosen] == ["new"]
+    assert {x.path.rsplit("/", 2)[1] for x in reader.events().collect()} == {"new"}
