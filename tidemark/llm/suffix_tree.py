@@ -141,6 +141,7 @@ class Runs:
     count: np.ndarray | None = None  # in all training texts; 0 below MIN_SUCCESSOR, but for single words
     owned: np.ndarray | None = None
     rest: np.ndarray | None = None  # b where the run is a state, else -1
+    next: tuple[np.ndarray, np.ndarray] | None = None  # its followers, while they are needed
 
 
 @dataclass
@@ -154,7 +155,6 @@ class Group:
 
     def __post_init__(self) -> None:
         ends = np.cumsum(self.sizes)
-        self.place = (np.arange(len(self.ids)) - np.repeat(ends - self.sizes, self.sizes)).astype(np.int32)
         self.train = np.repeat(self.training, self.sizes)
         self.closing = np.zeros(len(self.ids), dtype=bool)
         self.closing[ends - 1] = True
@@ -171,24 +171,24 @@ class Group:
         if not self.runs:
             return Runs(np.arange(len(self.ids)), self.ids, self.words, np.arange(len(self.words)), none, none, np.bincount(self.ids[self.train], minlength=len(self.words)))
         last = self.runs[-1]
-        count = last.count[last.run]
-        tested = count >= MIN_CONTEXT
-        before = self._spread(last.at[tested], last.run[tested])
-        at = last.at[count >= MIN_SUCCESSOR]
-        at = at[self.place[at] >= len(self.runs)]
-        context = before[at - 1]
-        at, context = at[context >= 0], context[context >= 0]
-        size = max(1, len(self.words))
-        pairs, first, run = distinct(context.astype(np.int64) * size + self.ids[at], len(last.keys) * size)
-        context, word = np.divmod(pairs, size)
+        at, context = self.followers(len(self.runs))
+        listed = np.zeros(len(self.ids), dtype=bool)
+        listed[last.at] = (last.count >= MIN_SUCCESSOR)[last.run]
+        mine = listed[at]
+        at, context = at[mine], context[mine]
+        shift = len(self.words).bit_length()
+        pairs, first, run = distinct(context.astype(np.int64) << shift | self.ids[at], len(last.keys) << shift)
+        context, word = pairs >> shift, pairs & ((1 << shift) - 1)
         keys = textvec.mix(last.keys[context] * _CHAIN + self.words[word])
         return Runs(at, run, keys, np.argsort(keys), context, at[first], np.bincount(run[self.train[at]], minlength=len(pairs)))
 
     def followers(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The tokens that follow a tested context of this depth, and the context of each."""
         runs = self.runs[depth - 1]
-        mine = (runs.count[runs.run] >= MIN_CONTEXT) & ~self.closing[runs.at]
-        return runs.at[mine] + 1, runs.run[mine]
+        if runs.next is None:
+            mine = (runs.count >= MIN_CONTEXT)[runs.run] & ~self.closing[runs.at]
+            runs.next = runs.at[mine] + 1, runs.run[mine]
+        return runs.next
 
     def contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(asked, settled, pair): contexts to ask for, by key; others that the group can judge itself, and their listed pair or -1.
@@ -222,11 +222,12 @@ class Group:
         n, c, p = runs.count[settled], longer.count[pair], self.p[longer.first[pair]]
         runs.rest[settled] = _states(n, np.ones(len(n), dtype=np.int64), c, p, c * np.log(c / n / p))
         at, context = self.followers(depth)
-        state = runs.rest[context] >= 0
+        runs.next = None
+        state = (runs.rest >= 0)[context]
         at, context = at[state], context[state]
         pair = self._spread(longer.at, longer.run)[at]
-        count = np.where(pair >= 0, longer.count[np.maximum(pair, 0)], 0) if len(longer.keys) else 0
-        self.p[at] = (count + runs.rest[context] * self.p[at]) / (runs.count[context] + 1)
+        count = np.append(longer.count, 0)[pair]  # the last is for those without a pair
+        self.p[at] = (count + runs.rest[context] * self.p[at]) / (runs.count + 1)[context]
 
     def sums(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """The contexts to ask for, and by context over the pairs that the group owns n, k, listed, expected and gain."""
@@ -256,10 +257,10 @@ def _read(table: pa.Table, lengths: int, depths: int, norm: float) -> Group:
         runs.count, runs.owned = np.zeros(len(runs.keys), dtype=np.int64), np.zeros(len(runs.keys), dtype=bool)
         runs.count[runs.order], runs.owned[runs.order] = joined(_COUNTS, length, 0, np.int64), joined(_COUNTS, length, 1, np.bool_)
         group.runs.append(runs)
-    if lengths:
-        group.p = (group.runs[0].count[group.ids] + 1) / norm
-    for depth in range(1, depths + 1):
-        group.learn(depth, joined(_STATES, depth, 0, np.int64))
+        if length == 1:
+            group.p = ((runs.count + 1) / norm)[group.ids]
+        elif length - 1 <= depths:
+            group.learn(length - 1, joined(_STATES, length - 1, 0, np.int64))
     return group
 
 
