@@ -131,13 +131,12 @@ def distinct(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class Runs:
     """The distinct runs of one length in a group that are asked for."""
 
-    at: np.ndarray  # the tokens with which such a run ends
-    run: np.ndarray  # the run of each
-    keys: np.ndarray
-    order: np.ndarray  # the runs by key
-    context: np.ndarray  # of each run: what stands before its last word, as a run of the length below
-    first: np.ndarray  # a token where it ends
-    trained: np.ndarray  # how often it occurs in the group's training texts
+    at: np.ndarray | None = None  # the tokens with which such a run ends
+    run: np.ndarray | None = None  # the run of each
+    keys: np.ndarray | None = None
+    order: np.ndarray | None = None  # the runs by key
+    context: np.ndarray | None = None  # of each run: what stands before its last word, as a run of the length below
+    first: np.ndarray | None = None  # a token where it ends
     count: np.ndarray | None = None  # in all training texts; 0 below MIN_SUCCESSOR, but for single words
     owned: np.ndarray | None = None
     rest: np.ndarray | None = None  # b where the run is a state, else -1
@@ -150,7 +149,7 @@ class Group:
     ids: np.ndarray  # of each token: its word
     sizes: np.ndarray  # tokens of each text
     training: np.ndarray  # whether each text trains
-    runs: list[Runs] = field(default_factory=list)  # by length
+    runs: list[Runs | None] = field(default_factory=list)  # by length; those that are done with go
     p: np.ndarray | None = None  # of each token: its probability in its longest state so far
 
     def __post_init__(self) -> None:
@@ -169,7 +168,7 @@ class Group:
         """The runs that are one longer than the last."""
         none = np.zeros(0, dtype=np.int64)
         if not self.runs:
-            return Runs(np.arange(len(self.ids)), self.ids, self.words, np.arange(len(self.words)), none, none, np.bincount(self.ids[self.train], minlength=len(self.words)))
+            return Runs(np.arange(len(self.ids)), self.ids, self.words, np.arange(len(self.words)), none, none)
         last = self.runs[-1]
         at, context = self.followers(len(self.runs))
         listed = np.zeros(len(self.ids), dtype=bool)
@@ -180,7 +179,11 @@ class Group:
         pairs, first, run = distinct(context.astype(np.int64) << shift | self.ids[at], len(last.keys) << shift)
         context, word = pairs >> shift, pairs & ((1 << shift) - 1)
         keys = textvec.mix(last.keys[context] * _CHAIN + self.words[word])
-        return Runs(at, run, keys, np.argsort(keys), context, at[first], np.bincount(run[self.train[at]], minlength=len(pairs)))
+        return Runs(at, run, keys, np.argsort(keys), context, at[first])
+
+    def trained(self, runs: Runs) -> np.ndarray:
+        """How often each run occurs in the group's training texts."""
+        return np.bincount(runs.run[self.train[runs.at]], minlength=len(runs.keys))
 
     def followers(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The tokens that follow a tested context of this depth, and the context of each."""
@@ -201,7 +204,8 @@ class Group:
         used = np.zeros(len(runs.keys), dtype=bool)
         used[self.followers(depth)[1]] = True
         listed = np.flatnonzero(longer.count >= MIN_SUCCESSOR)
-        seen = np.bincount(longer.context, np.maximum(longer.count, longer.trained > 0), len(runs.keys))
+        # A pair that is not listed occurs once at most, and then its owner is where it does.
+        seen = np.bincount(longer.context, np.maximum(longer.count, longer.owned), len(runs.keys))
         many = np.bincount(longer.context[listed], minlength=len(runs.keys))
         owning = np.zeros(len(runs.keys), dtype=bool)
         owning[longer.context[listed[longer.owned[listed]]]] = True
@@ -228,6 +232,9 @@ class Group:
         pair = self._spread(longer.at, longer.run)[at]
         count = np.append(longer.count, 0)[pair]  # the last is for those without a pair
         self.p[at] = (count + runs.rest[context] * self.p[at]) / (runs.count + 1)[context]
+        # Nothing below this depth is looked at again, but the counts of single words.
+        self.runs[depth - 1] = Runs(count=runs.count) if depth == 1 else None
+        longer.context = longer.first = longer.owned = None
 
     def sums(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """The contexts to ask for, and by context over the pairs that the group owns n, k, listed, expected and gain."""
@@ -313,7 +320,7 @@ def _asking(length: int | None, depth: int | None, lengths: int, depths: int, ra
 
         if length:
             runs = group.next_runs()
-            send(_COUNTS, runs.keys[runs.order], [runs.trained[runs.order].astype(np.int64)])
+            send(_COUNTS, runs.keys[runs.order], [group.trained(runs)[runs.order].astype(np.int64)])
         if depth:
             asked, sums = group.sums(depth)
             send(_STATES, group.runs[depth - 1].keys[asked], sums)
