@@ -87,14 +87,18 @@ def closed_words(chunk: textvec.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array's byte planes, compressed."""
+    """An array's byte planes, compressed, behind its type; whole numbers as narrow as they fit."""
+    if x.dtype.kind in "iu" and len(x):
+        low, high = np.min_scalar_type(x.min()), np.min_scalar_type(x.max())
+        x = x.astype(np.promote_types(low, high), copy=False)
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(raw: bytes, dtype: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+    stored = np.dtype(chr(raw[0]))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(raw)[1:]), dtype=np.uint8).reshape(stored.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(stored).reshape(-1).astype(dtype, copy=False)
 
 
 def packed_keys(sorted_keys: np.ndarray) -> bytes:
@@ -127,6 +131,12 @@ def distinct(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return values[new], order[new], inverse
 
 
+def key_order(keys: np.ndarray) -> np.ndarray:
+    """The places of keys by their high bits, then by place: the low bits hold the place, so that one plain sort does."""
+    low = _U((1 << len(keys).bit_length()) - 1)
+    return (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+
+
 @dataclass
 class Runs:
     """The distinct runs of one length in a group that are asked for."""
@@ -171,15 +181,18 @@ class Group:
             return Runs(np.arange(len(self.ids)), self.ids, self.words, np.arange(len(self.words)), none, none)
         last = self.runs[-1]
         at, context = self.followers(len(self.runs))
-        listed = np.zeros(len(self.ids), dtype=bool)
-        listed[last.at] = (last.count >= MIN_SUCCESSOR)[last.run]
-        mine = listed[at]
+        mine = (last.count >= MIN_SUCCESSOR)[last.run]
+        if len(last.at) < len(self.ids):
+            listed = np.zeros(len(self.ids), dtype=bool)
+            listed[last.at] = mine
+            mine = listed
+        mine = mine[at]
         at, context = at[mine], context[mine]
         shift = len(self.words).bit_length()
         pairs, first, run = distinct(context.astype(np.int64) << shift | self.ids[at], len(last.keys) << shift)
         context, word = pairs >> shift, pairs & ((1 << shift) - 1)
         keys = textvec.mix(last.keys[context] * _CHAIN + self.words[word])
-        return Runs(at, run, keys, np.argsort(keys), context, at[first])
+        return Runs(at, run, keys, key_order(keys), context, at[first])
 
     def trained(self, runs: Runs) -> np.ndarray:
         """How often each run occurs in the group's training texts."""
