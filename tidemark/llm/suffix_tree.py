@@ -38,6 +38,7 @@ Other columns pass through and columns named like a result are replaced.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -284,6 +285,27 @@ def _read(table: pa.Table, lengths: int, depths: int, norm: float) -> Group:
     return group
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the allocator has a call for it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def _tidy(f: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """f, after which the worker gives back what it no longer uses: it may idle beside others that Spark starts meanwhile."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        made = f(key, table)
+        give_back()
+        return made
+
+    return run
+
+
 def _groups(df: DataFrame, column: str, kept: list[str], training: Column, group_tokens: int) -> DataFrame:
     """One row for each group of texts: its words, tokens, sizes, training flags, and the texts' other columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
@@ -396,8 +418,8 @@ def _answering(length: int | None, depth: int | None) -> Callable[[pa.Table], pa
     return answer
 
 
-def _scoring(kept: list[str], schema: T.StructType, norm: float, n: int, lengths: int, depth: int) -> Callable[[pa.Table], pa.Table]:
-    def score(table: pa.Table) -> pa.Table:
+def _scoring(kept: list[str], schema: T.StructType, norm: float, n: int, lengths: int, depth: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def score(_: tuple, table: pa.Table) -> pa.Table:
         group = _read(table, lengths, depth, norm)
         (rows,) = (x for x in table["rows"].combine_chunks() if x.is_valid)
         rows = rows.values
@@ -442,7 +464,7 @@ def score_texts(df: DataFrame, training: Column, column: str = "text", max_depth
             tested = step - 2 if 0 < step - 2 <= limit else None
             if not length and not tested:
                 break
-            asks = together().applyInArrow(_asking(length, tested, lengths, depth, ranges, norm), _ASKS)
+            asks = together().applyInArrow(_tidy(_asking(length, tested, lengths, depth, ranges, norm)), _ASKS)
             ranged = asks.repartition(min(2 * ranges if tested else ranges, MAX_PARTITIONS), "part").groupBy("part")
             made = scratch.written(ranged.applyInArrow(_answering(length, tested), _ANSWERS), "answers", **_PLAIN)
             stats = {r["kind"]: r for r in made.filter("g < 0").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
@@ -462,4 +484,4 @@ def score_texts(df: DataFrame, training: Column, column: str = "text", max_depth
                     break
                 depth = tested
             step += 1
-        return written(together(("rows",)).applyInArrow(_scoring(kept, schema, norm, n, lengths, depth), schema), "scored")
+        return written(together(("rows",)).applyInArrow(_tidy(_scoring(kept, schema, norm, n, lengths, depth)), schema), "scored")
