@@ -33,3 +33,9 @@ def test_query(spark, db, name):
     assert sorted(expected.columns) == columns
     at = [expected.columns.index(c) for c in columns]
     assert rows == sorted(tuple(cell(r[i]) for i in at) for r in expected.fetchall())
+
+
+def test_documents_are_parsed_once(spark):
+    """Filters stay above the columns read from JSON, so each of the two tables of documents is parsed once a row."""
+    plan = catalog.QUERIES["missing_hook_states"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 2

@@ -206,6 +206,11 @@ def test_worker_evidence(spark):
     assert "2 exec row(s)" in rows[0]["detail"] and str(rows[3]["at"]) == "2026-07-05 09:03:00"
     held = spark.createDataFrame([("p-1-default-4.ended.1",)], "name string")
     assert workers.missing_hook_states(found, owners, held, rollouts, live, since, "h", True).count() == 0
+    # The older name counts, too, and a state of one row drops all rows of its id; what repeats in other tables gives no more rows.
+    older = spark.createDataFrame([("p-1-4",)], "name string")
+    again = found.union(found.withColumn("reference", F.lit("p#2")))
+    assert workers.missing_hook_states(again, owners, older, rollouts, live, since, "h", True).count() == 0
+    assert workers.missing_hook_states(found, owners, older.withColumn("name", F.lit("p-2-4")), rollouts.union(rollouts), live.union(live), since, "h", True).count() == 1
     assert workers.as_messages(workers.evidence(*parts)).count() == 4
 
 

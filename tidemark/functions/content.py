@@ -25,7 +25,7 @@ def at(v: Column, path: str) -> Column:
 def text_at(v: Column, path: str) -> Column:
     """The string there, or null if there is another kind of value or none."""
     found = at(v, path)
-    return F.when(kind(found) == "string", F.try_variant_get(v, path, "string"))
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def compact(v: Column) -> Column:

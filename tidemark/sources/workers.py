@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import content as C
 from tidemark.functions import text as X
+from tidemark.operators.detectors import where_once
 from tidemark.sources import base
 from tidemark.sources.base import Reader, fitted
 from tidemark.sources.transcripts import Rollouts
@@ -48,7 +49,7 @@ def dispatches(issues: DataFrame) -> DataFrame:
         F.concat(F.lit("issue:"), F.coalesce(C.text_at(v, "$.issue.uid"), C.text_at(v, f"{d}.id"))).alias("path"),
         C.items(C.at(v, "$.comments")).alias("comments"),
     )
-    return out.filter("id IS NOT NULL AND start IS NOT NULL")
+    return where_once(out, F.expr("id IS NOT NULL AND start IS NOT NULL"))
 
 
 def candidates(listed: DataFrame, since: Column) -> DataFrame:
@@ -69,7 +70,7 @@ def pane_owners(listed: DataFrame) -> DataFrame:
     v, d = F.col("v"), "$.metadata.dispatch"
     of = lambda name: C.text_at(v, f"{d}.{name}")
     made = listed.select(of("host").alias("host"), F.coalesce(of("tmux_socket"), F.lit("default")).alias("socket"), pane_number(of("pane")).alias("pane"), of("id").alias("id"), X.parsed_time(of("dispatched_at")).alias("at"))
-    return made.filter("host IS NOT NULL AND pane IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL")
+    return where_once(made, F.expr("host IS NOT NULL AND pane IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL"))
 
 
 def trust_prompts(found: DataFrame, since: Column) -> DataFrame:
@@ -124,19 +125,24 @@ def missing_hook_states(found: DataFrame, owners: DataFrame, states: DataFrame,
     owners: host, socket, pane, id, at; states: name; rollouts: cwd, session,
     started, originator, first_turn, path; live: socket, pane, cwd. Any condition
     that is not confirmed drops the row.
+
+    Broadcast are rows of one host only, at most one dispatch for each of its panes:
+    the other tables are as long as the history and stay where they are.
     """
     newest = owners.groupBy("host", "socket", "pane").agg(F.max_by("id", F.struct("at", "id")).alias("newest"))
     mine = found.filter(F.lit(trusted) & (F.col("harness") == "codex") & (F.col("status") == "open") & (F.col("host") == host) & F.col("worktree").isNotNull())
     mine = mine.withColumns({"socket": F.coalesce("socket", F.lit("default")), "pane": pane_number(F.col("pane"))}).filter("pane IS NOT NULL")
-    owned = mine.join(newest, ["host", "socket", "pane"]).filter("newest = id").withColumn("names", hook_state_names(F.col("reference"), F.col("socket"), F.col("pane")))
-    each = owned.select("id", F.explode("names").alias("name"))
-    there = each.join(states.select(F.regexp_replace("name", r"\.ended\..*$", "").alias("name")), "name", "left_semi").select("id")
-    absent = owned.join(there, "id", "left_anti")
+    owned = mine.join(F.broadcast(newest.filter(F.col("host") == host)), ["host", "socket", "pane"]).filter("newest = id").withColumn("names", hook_state_names(F.col("reference"), F.col("socket"), F.col("pane")))
+    # One of the names under which a state stands is enough to drop an id, all its rows included.
+    there = states.select(F.regexp_replace("name", r"\.ended\..*$", "").alias("name"), F.lit(True).alias("there")).distinct()
+    each = owned.select("*", F.posexplode("names").alias("n", "name")).join(there, "name", "left")
+    absent = each.withColumn("there", F.max("there").over(Window.partitionBy("id"))).filter("there IS NULL AND n = 0")
     bound = F.when((F.col("kickoff_id") == F.col("id")) & (F.col("bound") != "-"), F.col("bound"))
-    ran = absent.withColumn("session_bound", bound).join(rollouts.withColumnRenamed("path", "rollout"), F.col("worktree") == F.col("cwd"))
+    ran = F.broadcast(absent.withColumn("session_bound", bound)).join(rollouts.withColumnRenamed("path", "rollout"), F.col("worktree") == F.col("cwd"))
     fits = F.when(F.col("session_bound").isNotNull(), F.col("session") == F.col("session_bound")).otherwise((F.col("started") >= F.col("start")) & (F.coalesce("originator", F.lit("")) != "codex_exec"))
     first = ran.filter(fits & (F.col("first_turn") >= F.col("start"))).groupBy("id", "seat", "path", "worktree", "socket", "pane", "names", "session_bound", "host").agg(F.min("first_turn").alias("at"), F.min_by("rollout", "first_turn").alias("rollout"))
-    sitting = first.filter(F.col("at") >= since).join(live.select("socket", "pane", F.col("cwd").alias("worktree")).distinct(), ["socket", "pane", "worktree"], "left_semi")
+    seated = live.select("socket", "pane", F.col("cwd").alias("worktree")).join(F.broadcast(first.filter(F.col("at") >= since)), ["socket", "pane", "worktree"])
+    sitting = seated.dropDuplicates(["id", "seat", "path", "worktree", "socket", "pane", "names", "session_bound", "host"])
     detail = F.concat(
         F.lit("no dispatch hook state for live pane %"), F.col("pane"), F.lit(" on "), F.col("host"), F.lit(" (socket "), F.col("socket"), F.lit(") after the first assistant turn at "), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ssXXX"),
         F.lit("; expected "), F.array_join("names", " or "), F.lit("; session "), F.coalesce("session_bound", F.lit("unbound")), F.lit("; rollout "), F.col("rollout"),
