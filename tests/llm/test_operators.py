@@ -642,3 +642,14 @@ def test_quality_small_strata(spark):
     found = {a.stratum: a for a in quality.admitted(quality.with_counts(docs), labels, "lang", quality.STRATA, quality.ALPHA, quality.DELTA, quality.CUTOFFS)}
     assert found["de"].pool == ("de",) and found["fr"].pool == found["es"].pool == ("es", "fr") and found["fr"].n == 350
     assert "symbol_rate" not in found["en"].rule and "xx" not in found
+
+
+def test_quality_uses_all_labels(spark):
+    """Rules are fitted on every label: here 600,003 of 600,001 texts, one of them labelled three times."""
+    ids = spark.range(600_001).select(F.col("id").alias("doc_id"))
+    counts = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0}
+    # One text in a hundred has many symbols: few enough for a bound of two in a hundred.
+    counted = ids.select("doc_id", F.lit("en").alias("lang"), *[F.lit(n).cast("long").alias(c) for c, n in counts.items()]).withColumn("n_symbols", F.when(F.col("doc_id") % 100 == 0, 90).otherwise(0).cast("long"))
+    labels = ids.union(spark.createDataFrame([(7,), (7,), (None,)], "doc_id long")).withColumn("quality", F.lit(1))
+    (found,) = quality.admitted(counted, labels, "lang", quality.STRATA, quality.ALPHA, quality.DELTA, quality.CUTOFFS)
+    assert (found.stratum, found.n, found.k) == ("en", 600_003, 6001)

@@ -26,6 +26,9 @@ binomial tail is a fold over its terms.
 Strata are the listed languages and one more for every other (or null) value, so
 their number, and with it what reaches the driver, is fixed by a parameter.
 
+Rules are fitted on all labels, however many: labels and counts meet in a join
+that shuffles both where they are many. Texts take no part in it.
+
 Null and empty texts have no words and fail the base rule. Labels with a null
 id or a null quality are not used; a text with several labels counts once for
 each. Texts are read whole. Repeated rows are judged one by one. Empty tables
@@ -52,8 +55,6 @@ logger = logging.getLogger(__name__)
 STRATA = ("en", "de", "fr", "es")
 ALPHA = 0.02
 DELTA = 0.05
-#: Labelled rows that rules are fitted on, at most; a bound that lets them be broadcast.
-MAX_LABELS = 500_000
 #: Candidate cutoffs of each measure, lowest first.
 CUTOFFS = {
     "symbol_rate": (0.02, 0.05, 0.1, 0.2, 0.4),
@@ -155,23 +156,24 @@ def admitted(counted: DataFrame, labels: DataFrame, lang: str, strata: Sequence[
 
     At most len(strata) + 1 rows for each rule of orders() reach the driver.
     """
-    told = F.broadcast(usable_labels(labels))
     # The row number keeps the filter above the counts, as in keep_good.
     own = counted.select(F.col("doc_id").alias("_id"), stratum(lang, strata).alias("stratum"), *COUNTS, F.monotonically_increasing_id().alias("_at"))
-    joined = own.filter((F.col("_at") >= 0) & ~base_failed()).drop("_at").join(told, "_id")
+    joined = own.filter((F.col("_at") >= 0) & ~base_failed()).drop("_at").join(usable_labels(labels), "_id")
     tried = orders(cutoffs)
     places = [(o, i) for o, rules in enumerate(tried) for i in range(len(rules))]
-    good, sums = F.col("quality") == 1, []
+    sums = []
     for o, i in places:
         broken = breaks(tried[o][i])
-        sums += [F.count_if(good & broken).alias(f"k_{o}_{i}"), F.count_if(~good & broken).alias(f"bad_{o}_{i}")]
-    counts = joined.groupBy("stratum").agg(F.count_if(good).alias("n"), *sums).filter("n > 0")
+        sums += [F.sum(F.when(broken, F.col(x)).otherwise(0)).alias(f"{name}_{o}_{i}") for name, x in (("k", "good"), ("bad", "bad"))]
+    counts = joined.groupBy("stratum").agg(F.sum("good").alias("n"), *sums).filter("n > 0")
     level = delta / ((len(strata) + 1) * len(cutoffs))
     few = math.log(level) / math.log1p(-alpha)  # fewer good texts admit nothing
     pool = F.when(F.col("n") >= few, F.col("stratum"))
     pooled = counts.groupBy(pool.alias("own")).agg(F.sort_array(F.collect_list("stratum")).alias("pool"), F.sum("n").alias("n"), *[F.sum(f"{x}_{o}_{i}").alias(f"{x}_{o}_{i}") for o, i in places for x in ("k", "bad")])
     cells = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(i).alias("i"), F.col(f"k_{o}_{i}").alias("k"), F.col(f"bad_{o}_{i}").alias("bad")) for o, i in places])
-    tested = pooled.select("pool", "n", F.inline(cells)).withColumn("passes", binomial_tail(F.col("k"), F.col("n"), alpha) <= level)
+    # At and above its mean a binomial's tail is at least one half: no need to add up its terms, which may be millions.
+    hopeless = (F.col("k") > F.col("n") * alpha) & F.lit(level < 0.5)
+    tested = pooled.select("pool", "n", F.inline(cells)).withColumn("passes", F.when(hopeless, False).otherwise(binomial_tail(F.col("k"), F.col("n"), alpha) <= level))
     by: dict[tuple[str, ...], dict[tuple[int, int], Row]] = {}
     for row in tested.collect():
         by.setdefault(tuple(row["pool"]), {})[row["o"], row["i"]] = row
@@ -191,10 +193,10 @@ def admitted(counted: DataFrame, labels: DataFrame, lang: str, strata: Sequence[
     return out
 
 
-def usable_labels(labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
-    """_id and quality of the labels that are used: all, or as many as `most`, chosen by a hash; few enough to broadcast."""
-    told = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
-    return told.orderBy(F.xxhash64("_id", "quality"), "_id", "quality").limit(most)
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """_id of every labelled text, once, with the numbers of its good and bad labels."""
+    told = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id"))
+    return told.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
 
 
 def rejection(counted: DataFrame, labels: DataFrame, lang: str, strata: Sequence[str], alpha: float, delta: float, cutoffs: dict[str, Sequence[float]]) -> Column:
