@@ -653,3 +653,14 @@ def test_quality_uses_all_labels(spark):
     labels = ids.union(spark.createDataFrame([(7,), (7,), (None,)], "doc_id long")).withColumn("quality", F.lit(1))
     (found,) = quality.admitted(counted, labels, "lang", quality.STRATA, quality.ALPHA, quality.DELTA, quality.CUTOFFS)
     assert (found.stratum, found.n, found.k) == ("en", 600_003, 6001)
+
+
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_keep_good_counts_all_labelled_texts(spark, monkeypatch, kind):
+    """Every labelled text reaches the rules, beyond 500,000 too, and whatever the type of a label's id."""
+    seen = []
+    monkeypatch.setattr(quality, "admitted", lambda counted, labels, *rest: seen.append(counted.join(quality.usable_labels(labels), F.col("doc_id") == F.col("_id")).count()) or [])
+    docs = spark.range(600_010).select(F.col("id").alias("doc_id"), F.lit("one word").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.filter("doc_id < 600001").select(F.col("doc_id").cast(kind).alias("doc_id"), F.lit(1).alias("quality"))
+    quality.keep_good(docs, labels)
+    assert seen == [600_001]

@@ -19,7 +19,7 @@ pooled with the others like it; its bound then holds for the pool. Which strata
 are pooled depends on the number of labels alone. A stratum without any label has
 no rule. What was admitted is logged for each stratum.
 
-All of it is DataFrame expressions: the words of a text are one array, repeated
+All of it is DataFrame expressions (but for the table of bits in keep_good): the words of a text are one array, repeated
 three-word windows are found by hashing them and sorting the hashes, and the
 binomial tail is a fold over its terms.
 
@@ -48,6 +48,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tidemark.llm.jaccard_join import among
 from tidemark.llm.shared import written
 
 logger = logging.getLogger(__name__)
@@ -223,9 +224,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str
     """The rows of docs, unchanged, that judge() keeps.
 
     Texts stay where they are: labelled ones are counted for the cutoffs, and all
-    as they pass, which costs less than to shuffle or write them.
+    as they pass, which costs less than to shuffle or write them. Which are labelled
+    is told by a table of bits, whose size is bounded; it may let others through,
+    which the join with the labels drops. Ids of two types have hashes that differ,
+    so then all are counted.
     """
-    labelled = docs.join(F.broadcast(usable_labels(labels).select(F.col("_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    labelled, told = docs, usable_labels(labels)
+    if docs.schema["doc_id"].dataType == told.schema["_id"].dataType:
+        labelled = docs.filter(among(F.xxhash64("doc_id"), told.select(F.xxhash64("_id").alias("one"))))
     rejected = rejection(with_counts(labelled, text), labels, lang, strata, alpha, delta, cutoffs or CUTOFFS)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*columns).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`"))
