@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textvec
 from tidemark.llm.shared import free_name, written
+from tidemark.llm.workers import tidy
 
 WINDOW = 10
 SHINGLE = 5
@@ -74,7 +75,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.binary())], names=["id", "words"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("text IS NOT NULL")
-    return items.mapInArrow(run, "id string, words binary").distinct()
+    return items.mapInArrow(tidy(run), "id string, words binary").distinct()
 
 
 def build_index(pairs: Iterable[tuple[str | None, bytes]], shingle: int, window: int) -> Index:
@@ -182,7 +183,7 @@ def mark(docs: DataFrame, index: Index, column: str = "text") -> DataFrame:
             arrays += [pa.array(np.concatenate(n_words), type=pa.int64()), pa.array([[{"start": a, "length": b} for a, b in x] for x in spans], type=pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(items, type=pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_windows: int = MAX_WINDOWS) -> DataFrame:

@@ -61,6 +61,7 @@ from pyspark.sql import types as T
 from tidemark.llm import textvec
 from tidemark.llm.components import components
 from tidemark.llm.shared import Scratch, free_name, written
+from tidemark.llm.workers import tidy
 
 BLOCK = 2048
 MAX_SKETCH_BITS = 1 << 14
@@ -258,7 +259,7 @@ def _first_pass(docs: DataFrame, plan: Plan, seed: int) -> DataFrame:
             arrays = [pa.nulls(1, last["id"].type), pa.nulls(1, last["row"].type), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, sketch_type), told]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select("id", "row", "text").mapInArrow(run, schema)
+    return docs.select("id", "row", "text").mapInArrow(tidy(run), schema)
 
 
 def _ranks(first: DataFrame) -> np.ndarray:
@@ -296,7 +297,7 @@ def _keys(docs: DataFrame, plan: Plan, seed: int, rank: np.ndarray) -> DataFrame
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "k", "key"])
 
-    return docs.select("text").mapInArrow(run, "node long, k int, key long")
+    return docs.select("text").mapInArrow(tidy(run), "node long, k int, key long")
 
 
 def _complete_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -375,7 +376,7 @@ def _members(rows: DataFrame) -> DataFrame:
     # Within a key the order is one of the key's own, so that blocks of one key mix those of another.
     mixed = F.xxhash64("key", "node")
     dealt = rows.repartitionByRange("key", mixed).sortWithinPartitions("key", mixed, "node")
-    return dealt.select("key", "k", "node").mapInArrow(run, "key long, k int, node long, block long")
+    return dealt.select("key", "k", "node").mapInArrow(tidy(run), "key long, k int, node long, block long")
 
 
 def _distinct_groups(members: DataFrame) -> DataFrame:
@@ -430,7 +431,7 @@ def _leaders(groups: DataFrame, plan: Plan) -> DataFrame:
                 a, b = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return groups.select("key", "block", "node", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("key", "block", "node", "n", "sketch").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _across(groups: DataFrame, plan: Plan, closest: bool) -> DataFrame:
@@ -475,7 +476,7 @@ def _across(groups: DataFrame, plan: Plan, closest: bool) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return groups.select("key", "one", "two", "side", "node", "n", "root", "sketch", "least").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("key", "one", "two", "side", "node", "n", "root", "sketch", "least").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def bits_for(n: int) -> int:
@@ -565,7 +566,7 @@ def _fragments(docs: DataFrame, plan: Plan, seed: int, pairs: DataFrame) -> Data
                     lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
                     yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_f, pa.int32()), lists], names=["node", "f", "shingles"])
 
-    return named.mapInArrow(sets, "node long, f int, shingles array<long>")
+    return named.mapInArrow(tidy(sets), "node long, f int, shingles array<long>")
 
 
 def _verified(docs: DataFrame, plan: Plan, seed: int, pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textvec, tokens
 from tidemark.llm.shared import free_name, written
+from tidemark.llm.workers import tidy
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -95,7 +96,7 @@ def _parts(kept: DataFrame, length: str, capacity: int, part_pieces: int) -> tup
             found = np.array(placed, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[:, 0] + base), pa.array(found[:, 1])], names=schema.names)
 
-    return dealt.mapInArrow(run, schema), parts
+    return dealt.mapInArrow(tidy(run), schema), parts
 
 
 def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
@@ -146,7 +147,7 @@ def token_pieces(df: DataFrame, tokenizer: str, column: str = "text", capacity:
                     names=schema.names,
                 )
 
-    return df.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in kept], f"`{column}`").mapInArrow(tidy(run), schema)
 
 
 def pack_texts(df: DataFrame, tokenizer: str, column: str = "text", capacity: int = CAPACITY) -> DataFrame:

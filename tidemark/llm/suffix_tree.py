@@ -38,7 +38,6 @@ Other columns pass through and columns named like a result are replaced.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -53,6 +52,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textvec
 from tidemark.llm.shared import Scratch, written
+from tidemark.llm.workers import give_back
 
 #: Occurrences of a context that is tested, and of a successor that is listed, at any size of corpus.
 MIN_CONTEXT = 2
@@ -285,16 +285,6 @@ def _read(table: pa.Table, lengths: int, depths: int, norm: float) -> Group:
     return group
 
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def give_back() -> None:
-    """Returns freed memory to the system, where the allocator has a call for it."""
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
-
-
 def _tidy(f: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
     """f, after which the worker gives back what it no longer uses: it may idle beside others that Spark starts meanwhile."""
 

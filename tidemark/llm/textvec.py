@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Powers kept between tasks; only a text longer than a chunk needs more.
+LEAST_POWERS = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -39,7 +41,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < n:
-        size = max(n, 1 << 20)
+        size = max(n, LEAST_POWERS)
         with np.errstate(over="ignore"):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -48,6 +50,13 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
+def shorten_tables() -> None:
+    """Drops what a long text has added to the tables of powers."""
+    for base, table in _powers.items():
+        if len(table) > LEAST_POWERS:
+            _powers[base] = table[:LEAST_POWERS].copy()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
