@@ -19,7 +19,7 @@ pooled with the others like it; its bound then holds for the pool. Which strata
 are pooled depends on the number of labels alone. A stratum without any label has
 no rule. What was admitted is logged for each stratum.
 
-All of it is DataFrame expressions (but for the table of bits in keep_good): the words of a text are one array, repeated
+All of it is DataFrame expressions: the words of a text are one array, repeated
 three-word windows are found by hashing them and sorting the hashes, and the
 binomial tail is a fold over its terms.
 
@@ -48,8 +48,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidemark.llm.jaccard_join import among
-from tidemark.llm.shared import written
+from tidemark.llm.jaccard_join import bits_for
+from tidemark.llm.shared import free_name, written
 
 logger = logging.getLogger(__name__)
 
@@ -200,6 +200,18 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     return told.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
 
 
+def perhaps_labelled(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in told's _id, and few others, by a broadcast table of at most MOST_BITS bits."""
+    size = bits_for(told.count())
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit(size - 1)) + 1
+    bucket, place, bits = (free_name(docs, n) for n in ("bucket", "place", "bits"))
+    table = told.groupBy(F.bitmap_bucket_number(at("_id")).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at("_id"))).alias(bits))
+    placed = docs.withColumns({bucket: F.bitmap_bucket_number(at("doc_id")), place: F.bitmap_bit_position(at("doc_id"))})
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(table), bucket).filter(F.getbit(byte, F.col(place).bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def rejection(counted: DataFrame, labels: DataFrame, lang: str, strata: Sequence[str], alpha: float, delta: float, cutoffs: dict[str, Sequence[float]]) -> Column:
     """Whether the admitted rule of its stratum rejects a row."""
     rejected = F.lit(False)
@@ -231,7 +243,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str
     """
     labelled, told = docs, usable_labels(labels)
     if docs.schema["doc_id"].dataType == told.schema["_id"].dataType:
-        labelled = docs.filter(among(F.xxhash64("doc_id"), told.select(F.xxhash64("_id").alias("one"))))
+        labelled = perhaps_labelled(docs, told)
     rejected = rejection(with_counts(labelled, text), labels, lang, strata, alpha, delta, cutoffs or CUTOFFS)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.select(F.struct(*columns).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`"))
